@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finwake.llm import exact_dedup, mixing, quality, sharding, simhash, toxicity
+from finwake.llm import exact_dedup, html_text, lm_scoring, mixing, quality, sharding, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,16 +30,24 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "text", "copy_no", "copies", "shuffle_key")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(_read(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.decisions(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_toxicity, op5_exact_dedup, op6_mixing, op8_simhash, op10_quality)}
+    return {f.__name__: f for f in (op2_sharding, op4_toxicity, op5_exact_dedup, op6_mixing, op7_lm_scoring, op8_simhash, op9_html_text, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
