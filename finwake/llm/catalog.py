@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finwake.llm import exact_dedup, html_text, lm_scoring, mixing, quality, sharding, simhash, toxicity
+from finwake.llm import decontamination, exact_dedup, html_text, lm_scoring, mixing, quality, sharding, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every contaminated document with the items it holds; clean documents have no row."""
+    return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(_read(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_toxicity, op5_exact_dedup, op6_mixing, op7_lm_scoring, op8_simhash, op9_html_text, op10_quality)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op4_toxicity, op5_exact_dedup, op6_mixing, op7_lm_scoring, op8_simhash, op9_html_text, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
