@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finwake.llm import decontamination, exact_dedup, html_text, lm_scoring, mixing, quality, sharding, simhash, toxicity
+from finwake.llm import decontamination, exact_dedup, html_text, lm_scoring, mixing, quality, sharding, simhash, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(_read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(_read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.decisions(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op4_toxicity, op5_exact_dedup, op6_mixing, op7_lm_scoring, op8_simhash, op9_html_text, op10_quality)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_suffix_dedup, op4_toxicity, op5_exact_dedup, op6_mixing, op7_lm_scoring, op8_simhash, op9_html_text, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
