@@ -169,3 +169,99 @@ def near_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", r
     return marked.join(labels, "_fp").select(
         F.col("_id").alias(key), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+# ------------------------------------------------- similar texts beyond the contract's radius
+SIMILARITY = 0.8
+SHINGLE = 5
+WIDE_RADIUS = 5
+
+
+def _rows_of(column) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, word hashes) of every text that has words; A-Z are lower-cased."""
+    for a, b, data, offsets in X.slices(column):
+        data = X.lower_ascii(data)
+        start, end, row = X.words(data, offsets)
+        h = X.span_hashes(X.prefix_sums(data), start, end)
+        cuts = np.searchsorted(row, np.arange(b - a + 1))
+        for r in range(b - a):
+            if cuts[r] < cuts[r + 1]:
+                yield a + r, h[cuts[r] : cuts[r + 1]]
+
+
+def word_fingerprints(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(_id, _wide): majority bits over a text's different words. Few edits change few of them, so similar
+    texts stay within a few bits; texts without words have none and are left out."""
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, value = [], []
+            for r, h in _rows_of(batch.column(1)):
+                at.append(r), value.append(majority(np.unique(h)))
+            ids = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(value, np.uint64).view(np.int64))], ["_id", "_wide"])
+
+    return documents.select(F.col(key).alias("_id"), text).mapInArrow(run, f"_id {kind}, _wide bigint")
+
+
+def shingle_sets(documents: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
+    """(_id, _set): the sorted different ``size``-word shingles of each text as packed 64-bit hashes."""
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, value = [], []
+            for r, h in _rows_of(batch.column(1)):
+                k = min(size, len(h))
+                s = np.zeros(len(h) - k + 1, np.uint64)
+                for j in range(k):
+                    s = X.mix(s * np.uint64(31) + h[j : len(h) - k + 1 + j])
+                at.append(r), value.append(np.unique(s).tobytes())
+            ids = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(value, pa.binary())], ["_id", "_set"])
+
+    return documents.select(F.col(key).alias("_id"), text).mapInArrow(run, f"_id {kind}, _set binary")
+
+
+def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(s, t, assume_unique=True)) if 2 * min(len(s), len(t)) >= max(len(s), len(t)) else 0
+            out.append(both / (len(s) + len(t) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
+
+
+def similar_links(documents: DataFrame, key: str = "doc_id", text: str = "text", radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) with a < b: verified links between documents with unique ids.
+
+    Candidates come from the covering tables of the word fingerprints (2^(radius+1)-1 of them).
+    In each bucket every member is compared with the smallest and the largest id, not with all
+    others; a link needs a Jaccard similarity of 5-word shingles of at least ``similarity``.
+    """
+    masks = covering_masks(radius)
+    marked = materialise(word_fingerprints(documents, key, text), "simhash-wide")
+    table = F.array(*[F.xxhash64(F.lit(v), F.col("_wide").bitwiseAND(F.lit(signed(m)))) for v, m in enumerate(masks)])
+    placed = marked.select("_id", F.explode(table).alias("at")).repartition("at")
+    ends = placed.groupBy("at").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo <> hi")
+    pairs = placed.join(ends, "at").select("_id", F.explode(F.array("lo", "hi")).alias("end")).filter("_id <> end")
+    pairs = pairs.select(F.least("_id", "end").alias("a"), F.greatest("_id", "end").alias("b")).distinct()
+    pairs = materialise(pairs, "simhash-pairs")
+    members = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
+    wanted = documents.join(members, F.col(key) == F.col("_id"), "left_semi")
+    sets = materialise(shingle_sets(wanted, key, text), "simhash-sets")
+    left, right = (sets.select(F.col("_id").alias(n), F.col("_set").alias(f"_{n}")) for n in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b")
+    kind = documents.schema[key].dataType.simpleString()
+    checked = both.mapInArrow(_jaccard, f"a {kind}, b {kind}, similarity double")
+    return checked.filter(F.col("similarity") >= similarity).select("a", "b")
+
+
+def similar_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, component_id) of every document that is linked to another; ids must be unique."""
+    roots = components(similar_links(documents, key, text, radius, similarity), "simhash-similar")
+    smallest = roots.groupBy("root").agg(F.min("node").alias("n"))
+    labels = roots.join(smallest, "root").select(F.col("node").alias(key), F.least("root", "n").alias("component_id"))
+    return labels
