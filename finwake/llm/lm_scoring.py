@@ -204,7 +204,7 @@ def training_totals(documents: DataFrame, key: str, text: str, bits: int = 4) ->
 
 def score_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", strength: float = STRENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    blocks = max(1, math.ceil(estimated_bytes(documents) / block_bytes))
+    blocks = max(1, math.ceil(estimated_bytes(documents, text) / block_bytes))
     bits = range_bits(blocks)
     n_train, n_types = training_totals(documents, key, text, bits)
     log_mass = math.log10(n_train + 0.5 * (n_types + 1))

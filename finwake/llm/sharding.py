@@ -83,7 +83,7 @@ def shuffle_into_shards(
     if clash:
         raise ValueError(f"columns clash with the result: {sorted(clash)}")
     # three times the file size stands for the text in memory
-    buckets = bucket_count(3 * estimated_bytes(records), bucket_bytes)
+    buckets = bucket_count(3 * estimated_bytes(records, text), bucket_bytes)
     spread = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(buckets)).cast("int")
     # equal keys and texts are spread too: rows of one large group of copies have different keys
     scattered = records.withColumn("_bucket", spread).withColumn("_rank", F.lit(0).cast("bigint"))

@@ -262,6 +262,5 @@ def similar_links(documents: DataFrame, key: str = "doc_id", text: str = "text",
 def similar_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """(key, component_id) of every document that is linked to another; ids must be unique."""
     roots = components(similar_links(documents, key, text, radius, similarity), "simhash-similar")
-    smallest = roots.groupBy("root").agg(F.min("node").alias("n"))
-    labels = roots.join(smallest, "root").select(F.col("node").alias(key), F.least("root", "n").alias("component_id"))
-    return labels
+    both = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return both.select(F.col("node").alias(key), F.col("root").alias("component_id"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,10 +27,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size of the relations that ``df`` reads; for file scans, the size of the files."""
+def estimated_bytes(df: DataFrame, text: str) -> int:
+    """Size of the files that ``df`` reads; where a relation has no known size, the bytes of its texts are counted."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    if total < 1 << 55:
+        return total
+    return int(df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
 
 
 def free_names(taken: list[str], *wanted: str) -> list[str]:
