@@ -13,7 +13,7 @@ from finwake.operators import archive_metrics as M
 from finwake.operators import model
 from finwake.operators.events import two_sided, two_sided_union
 from finwake.operators.features import FEATURES, HISTORY, TX_FEATURES, feature_table, feature_table_onepass, matrix, stateless
-from finwake.operators.history import BASE, history
+from finwake.operators.history import BASE, history, history_sliced
 from finwake.sources.adapters import load_events_tx, load_lineitem_tx
 from finwake.sources.sinks import read_features, write_features
 from finwake.sources.transactions import COLUMNS, quality_report
@@ -169,6 +169,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "events_inline": on(two_sided),
         "history_full": on(_hist),
         "history_linear": on(lambda tx: _hist(tx, linear=True)),
+        "history_sliced": on(lambda tx: history_sliced(two_sided(tx)).select(*KEY, *BASE)),
         "feature_table": on(lambda tx: _rounded(feature_table(tx))),
         "feature_table_onepass": on(lambda tx: _rounded(feature_table_onepass(tx))),
         "features_roundtrip": lambda spark, sf_dir: _roundtrip(spark, load_events_tx(spark, sf_dir)),
@@ -252,6 +253,7 @@ def oracle_sql() -> dict[str, str]:
         "events_inline": _with(TX_EVENTS, SIDES, select="SELECT * FROM tx_sides"),
         "history_full": h(full),
         "history_linear": h(full),
+        "history_sliced": h(full),
         "feature_table": t(table),
         "feature_table_onepass": t(table),
         "features_roundtrip": t(table),

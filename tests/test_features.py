@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from finwake.operators.events import two_sided, two_sided_union
 from finwake.operators.features import FEATURES, TX_FEATURES, feature_table, feature_table_onepass, stateless
-from finwake.operators.history import BASE, history
+from finwake.operators.history import BASE, history, history_sliced
 from finwake.plans.pipeline import build_features, run
 from finwake.sources.adapters import from_events
 from finwake.sources.demo import make_demo, make_transactions
@@ -56,6 +56,14 @@ def test_history_golden(spark, how):
         assert got[key] == tuple(w if w is None else pytest.approx(w, abs=1e-6) for w in want), key
 
 
+def test_slices_change_nothing(spark):
+    tx = tx_frame(spark, [*ROWS, (8, "2024-06-01 00:00:00", "A", "B", 5.0), (9, "2024-06-01 00:00:30", "B", "A", 6.0)])
+    tx = tx.unionByName(tx.filter("txn_id = 3").withColumns({"txn_id": F.lit(10).cast("bigint"), "event_time": F.lit(None).cast("timestamp_ntz")}))
+    events = two_sided(tx)
+    for linear in (False, True):
+        assert sorted(history_sliced(events, linear=linear).collect(), key=str) == sorted(history(events).collect(), key=str)
+
+
 def test_inline_equals_union(spark):
     tx = tx_frame(spark)
     assert sorted(two_sided(tx).collect()) == sorted(two_sided_union(tx).collect())
