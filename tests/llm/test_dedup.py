@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from conftest import ODD, prose
+from llm_cases import ODD, prose
 
 from finwake.llm import exact_dedup, simhash, suffix_dedup
 from finwake.llm import textops as X

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import ODD, prose
+from llm_cases import ODD, prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline

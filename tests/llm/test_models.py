@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import ODD, prose
+from llm_cases import ODD, prose
 from pyspark.sql import functions as F
 
 from finwake.llm import decontamination, html_text, lm_scoring, quality, toxicity
