@@ -39,8 +39,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     similarity of 0.8 or more, found through covering tables of wider radius. Repeated rows
     of one id count as one document.
     """
-    first = materialise(_without(docs.dropDuplicates(["doc_id", "text"]), simhash.near_groups(docs.select("doc_id", "text"))), "stage-near")
-    unique = first.select("doc_id", "text").filter("doc_id is not null").dropDuplicates(["doc_id"])
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    if not repeated.isEmpty():  # only then must whole rows be compared
+        docs = materialise(docs.dropDuplicates(["doc_id", "text"]), "stage-rows")
+    first = materialise(_without(docs, simhash.near_groups(docs.select("doc_id", "text"))), "stage-near")
+    unique = first.select("doc_id", "text").filter("doc_id is not null")
+    if not repeated.isEmpty():
+        unique = unique.dropDuplicates(["doc_id"])
     return _without(first, simhash.similar_groups(unique))
 
 
