@@ -15,6 +15,7 @@ from finwake.operators.events import two_sided, two_sided_union
 from finwake.operators.features import FEATURES, HISTORY, TX_FEATURES, feature_table, feature_table_onepass, matrix, stateless
 from finwake.operators.history import BASE, history, history_sliced
 from finwake.sources.adapters import load_events_tx, load_lineitem_tx
+from finwake.sources.demo import make_transactions
 from finwake.sources.sinks import read_features, write_features
 from finwake.sources.transactions import COLUMNS, quality_report
 
@@ -149,10 +150,9 @@ def _invariants(tx: DataFrame) -> DataFrame:
     )
 
 
-def _gbt(spark: SparkSession, tx: DataFrame) -> DataFrame:
-    features = feature_table_onepass(tx)
-    train, test = model.split(features, CUT)
-    return model.score(model.fit(train, trees=20, depth=5), test)
+def _scores(tx: DataFrame, kind: str) -> DataFrame:
+    train, test = model.split(feature_table_onepass(tx), CUT)
+    return model.score(model.fit(train, kind, trees=20, depth=5), test)
 
 
 def _class_weights(tx: DataFrame) -> DataFrame:
@@ -193,7 +193,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "feature_invariants": on(_invariants),
         "ties_daily": lambda spark, sf_dir: _ties(load_lineitem_tx(spark, sf_dir)),
-        "gbt_scores": lambda spark, sf_dir: _gbt(spark, load_events_tx(spark, sf_dir)),
+        "gbt_scores": on(lambda tx: _scores(tx, "gbt")),
+        "logistic_scores": on(lambda tx: _scores(tx, "logistic")),
+        "demo_transactions": lambda spark, sf_dir: make_transactions(spark),
     }
     for name in BASE:
         out[f"hist_{name}"] = on(lambda tx, n=name: _hist(tx).select(*KEY, n))

@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from finwake.operators import alerts, model
+from finwake.operators.events import two_sided
 from finwake.operators.features import FEATURES, feature_table, feature_table_onepass
+from finwake.operators.history import history
 from finwake.sources.sinks import read_features, write_features, write_metrics
 from finwake.sources.transactions import duplicate_ids, read_transactions
 
@@ -19,6 +21,16 @@ def features_frame(tx: DataFrame, linear: bool = False, exact: bool = True) -> D
     return feature_table(tx, exact, linear)
 
 
+def register_views(spark: SparkSession, src: str, prefix: str = "finwake_") -> list[str]:
+    """Temporary views for SQL users: the transfers, their two-sided events, histories and features."""
+    tx = read_transactions(spark, src)
+    sides = two_sided(tx)
+    views = {"tx": tx, "events": sides, "history": history(sides), "feature_table": features_frame(tx)}
+    for name, frame in views.items():
+        frame.createOrReplaceTempView(prefix + name)
+    return [prefix + name for name in views]
+
+
 def build_features(
     spark: SparkSession, src: str, dest: str, mode: str = "static", linear: bool = False, exact: bool = True
 ) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from finwake.operators.events import two_sided, two_sided_union
 from finwake.operators.features import FEATURES, TX_FEATURES, feature_table, feature_table_onepass, stateless
 from finwake.operators.history import BASE, history, history_sliced
-from finwake.plans.pipeline import build_features, run
+from finwake.plans.pipeline import build_features, register_views, run
 from finwake.sources.adapters import from_events
 from finwake.sources.demo import make_demo, make_transactions
 from finwake.sources.transactions import SCHEMA, normalize
@@ -146,6 +146,8 @@ def test_demo_generator_is_deterministic(spark):
 def test_first_demo_row_has_no_history(spark, tmp_path):
     src = make_demo(spark, str(tmp_path / "tx.parquet"), 1000)
     dest = build_features(spark, src, str(tmp_path / "features"))
+    views = register_views(spark, src)
+    assert spark.table(views[-1]).count() == spark.sql(f"select count(distinct txn_id) n from {views[1]}").first().n == 1000
     row = spark.read.parquet(dest).orderBy("txn_id").first()
     assert (row.s_n_1d, row.r_n_1d) == (0, 0)
 
