@@ -43,7 +43,7 @@ SIMILARITY = 0.8
 RECALL = 0.9
 SAMPLED = 3
 MAX_ITEMS = 20_000
-MAX_ITEM_BYTES = 32 << 20
+MAX_ITEM_BYTES = 4 << 20  # three word numbers of one pass fit in one 63-bit key
 
 
 def repetitions(recall: float, similarity: float, sampled: int = SAMPLED) -> int:
@@ -93,9 +93,6 @@ class Items:
         self.vocabulary = np.unique(np.concatenate(self.words))
         v = len(self.vocabulary)
         self.numbers = [np.searchsorted(self.vocabulary, w) + 1 for w in self.words]  # 0: in no item
-        self.member = np.zeros((len(self.words), v + 1), bool)
-        for i, w in enumerate(self.numbers):
-            self.member[i, w] = True
         sizes = sorted(set(self.n.tolist()))
         self.classes = []
         for s in sizes:
@@ -221,6 +218,7 @@ def verify(items: Items, number: np.ndarray, row: np.ndarray, first: np.ndarray,
     for i in np.unique(item):
         at = start[item == i]
         n, e = int(items.n[i]), int(items.edits[i])
+        own = np.unique(items.numbers[i])
         width = n + 2 * e
         begin, stop = first[row[at]], first[row[at] + 1] - 1
         for a in range(0, len(at), 4096):
@@ -229,7 +227,7 @@ def verify(items: Items, number: np.ndarray, row: np.ndarray, first: np.ndarray,
             inside = (grid >= lo[:, None]) & (grid < hi[:, None])
             window = np.where(inside, number[np.clip(grid, 0, len(number) - 1)], 0)
             # at least n - e words of the stretch must be words of the item
-            good = (items.member[i][window] & (window > 0)).sum(axis=1) >= n - e
+            good = _isin(window.ravel(), own).reshape(window.shape).sum(axis=1) >= n - e
             if not good.any():
                 continue
             window, s, lo = window[good], s[good], lo[good]
