@@ -56,13 +56,11 @@ def repetition_rates(documents: DataFrame, source: str, text: str, targets: dict
     else:
         table = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(float(v)))])
         weighted = sums.withColumn("_weight", F.coalesce(F.try_element_at(table, F.coalesce("_source", F.lit(""))), F.lit(0.0)))
-    total = weighted.agg(
-        F.sum("_bytes").cast("double").alias("_all_bytes"),
-        # summed in a fixed order, so that the double does not depend on how rows arrive
-        F.aggregate(F.array_sort(F.collect_list("_weight")), F.lit(0.0), lambda a, w: a + w).alias("_all_weight"),
-    )
-    rate = F.lit(float(epochs)) * F.col("_all_bytes") * F.col("_weight") / F.nullif(F.col("_all_weight"), F.lit(0.0)) / F.col("_bytes")
-    return weighted.crossJoin(F.broadcast(total)).select("_source", "_bytes", rate.alias("_rate"))  # one-row totals
+    # decimals add up to the same total in whatever order rows arrive; two numbers come to the driver
+    total = weighted.agg(F.sum("_bytes"), F.sum(F.col("_weight").cast("decimal(38,6)"))).first()
+    all_bytes, all_weight = float(total[0] or 0), float(total[1] or 0) or None
+    rate = F.lit(float(epochs)) * F.lit(all_bytes) * F.col("_weight") / F.lit(all_weight).cast("double") / F.col("_bytes")
+    return weighted.select("_source", "_bytes", rate.alias("_rate"))
 
 
 def mix(
@@ -100,7 +98,7 @@ ORACLE_SQL = """WITH RECURSIVE sums AS (
   SELECT source, CAST(sum(coalesce(octet_length(encode(text)), 0) + 1) AS BIGINT) AS b FROM documents GROUP BY source),
 rates AS (
   SELECT source, CAST((SELECT sum(b) FROM sums) AS DOUBLE) * sqrt(CAST(b AS DOUBLE))
-    / (SELECT list_reduce(list_sort(list(sqrt(CAST(b AS DOUBLE)))), lambda x, y: x + y) FROM sums) / b AS rate FROM sums),
+    / (SELECT CAST(sum(CAST(sqrt(CAST(b AS DOUBLE)) AS DECIMAL(38, 6))) AS DOUBLE) FROM sums) / b AS rate FROM sums),
 cdf AS (
   SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
   UNION ALL
