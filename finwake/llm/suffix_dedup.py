@@ -45,7 +45,7 @@ LENGTH = 200  # a string of so many bytes counts as repeated
 GRAM = 64  # leading bytes of an anchored suffix
 BLOCKS = (8,)  # starts in a run, from level 2 on
 PIECE = 8 << 20  # longer texts are scanned in pieces that overlap by one string
-SAMPLE = 20_000  # suffixes that the splitters are drawn from
+SAMPLE = 20_000  # about so many suffixes are drawn for the splitters
 RUN_SCHEMA = "kind int, rid bigint, start bigint, count int, base bigint, origin bigint, core bigint, whole bigint, n int"
 
 
@@ -284,33 +284,49 @@ def words_of(suffixes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(suffixes).view(">u8").astype(np.uint64)
 
 
-def multikey_quicksort(keys: np.ndarray, small: int = 512) -> np.ndarray:
-    """Order of the rows of ``keys``: three-way partition on one word at a time, equal rows go on to the next word."""
+def multikey_quicksort(keys: np.ndarray, small: int = 4096) -> np.ndarray:
+    """Order of the rows of ``keys``: three-way partition on one word at a time, equal rows go on to the next word.
+
+    Segments of at most ``small`` rows are finished together, one word a round for all of them.
+    """
     n, depth_end = keys.shape
     order = np.arange(n)
-    todo = [(0, n, 0)]
+    todo, rest = [(0, n, 0)], []
     while todo:
         a, b, depth = todo.pop()
         if b - a < 2 or depth == depth_end:
             continue
-        idx = order[a:b]
-        column = keys[idx, depth]
         if b - a <= small:
-            by = np.argsort(column, kind="stable")
-            order[a:b] = idx[by]
-            column = column[by]
-            cuts = np.flatnonzero(column[1:] != column[:-1]) + 1
-            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), b - a]):
-                if y - x > 1:
-                    todo.append((a + x, a + y, depth + 1))
+            rest.append((a, b, depth))
             continue
-        pivot = np.partition(column[:: max(1, (b - a) // 63)], len(column[:: max(1, (b - a) // 63)]) // 2)[len(column[:: max(1, (b - a) // 63)]) // 2]
+        idx = order[a:b]
+        column = keys[idx, depth]
+        tried = np.sort(column[:: max(1, (b - a) // 63)])
+        pivot = tried[len(tried) // 2]
         less, more = column < pivot, column > pivot
-        lt, gt = idx[less], idx[more]
-        eq = idx[~(less | more)]
+        lt, eq, gt = idx[less], idx[~(less | more)], idx[more]
         order[a:b] = np.concatenate([lt, eq, gt])
         m, e = a + len(lt), a + len(lt) + len(eq)
         todo += [(a, m, depth), (m, e, depth + 1), (e, b, depth)]
+    if rest:
+        first, last, depth = (np.array(x) for x in zip(*sorted(rest)))
+        size = last - first
+        segment = np.repeat(np.arange(len(rest)), size)
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        while len(at):
+            rows = order[at]
+            word = keys[rows, depth[segment]]
+            by = np.lexsort((word, segment))
+            order[at] = rows[by]
+            word = word[by]  # segments keep their places, only rows within them move
+            new = np.ones(len(at), bool)
+            new[1:] = (segment[1:] != segment[:-1]) | (word[1:] != word[:-1])
+            number = np.cumsum(new) - 1
+            depth = depth[segment[new]] + 1
+            open_ = (np.bincount(number) > 1) & (depth < depth_end)
+            keep = open_[number]
+            at, segment = at[keep], (np.cumsum(open_) - 1)[number[keep]]
+            depth = depth[open_]
     return order
 
 
@@ -379,8 +395,9 @@ def sort_bucket(table: pa.Table) -> pa.Table:
 def suffix_spans(bodies: DataFrame, still: DataFrame) -> DataFrame:
     spark = bodies.sparkSession
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # leading bytes of a bounded sample of runs, in the order of a hash
-    lead = bodies.select(F.substring("body", 1, 8).alias("lead"), F.xxhash64("rid", "base").alias("h")).orderBy("h", "lead").limit(SAMPLE)
+    # leading bytes of about SAMPLE runs, picked by a hash
+    share = max(1, -(-bodies.count() // SAMPLE))
+    lead = bodies.filter(F.pmod(F.xxhash64("rid", "base"), F.lit(share)) == 0).select(F.substring("body", 1, 8).alias("lead"))
     tokens = np.sort(np.array([int.from_bytes(bytes(r.lead).ljust(8, b"\0"), "big") for r in lead.collect()], dtype=np.uint64))
     at = (np.arange(1, buckets) * len(tokens)) // buckets
     splitters = tokens[at] if len(tokens) else np.zeros(0, np.uint64)
