@@ -94,7 +94,7 @@ def shuffle_into_shards(
     )
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in scattered.schema])
     placed = (
-        scattered.repartition(buckets, "_bucket")
+        scattered.repartitionById(buckets, F.col("_bucket"))  # one bucket a task: hashing buckets would pile some up
         .sortWithinPartitions("_bucket", F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
         .mapInArrow(lambda batches: _permuted(batches, "_bucket", "_rank", seed), schema)
     )
