@@ -1,25 +1,19 @@
 """Benchmark decontamination by edit distance.
 
 Texts are lower-cased and cut into words (letters, digits and everything not ASCII).
-Every item of the benchmark is compared with the item-sized windows that start at every
-word of every document:
-
-1. CGK embedding: a random walk maps a word sequence to a longer one. At step t it emits
-   the current word and moves on if a random bit of (t, word) is set. Two sequences with
-   few edits emit mostly equal words at equal steps, so edit distance becomes Hamming
-   distance.
-2. Bit sampling: each repetition draws a few steps; a window is a candidate for the items
-   that emit the same words at these steps. ``repetitions`` follows from the target recall
-   for windows at the largest allowed distance. All windows walk at once; windows whose
-   emitted words belong to no item stop early.
+Every stretch of a document within the allowed edit distance of an item is found:
+
+1. Segments: an item of n words with at most e = floor(n (1 - similarity)) edits is cut into
+   e + 1 segments. e edits touch at most e of them, so every copy within the limit holds at
+   least one segment word for word, wherever its edits stand: no copy is missed.
+2. Lookup: runs of words of a document are hashed and looked up among the segments (their
+   first ``KEY_WORDS`` words at most). A found segment tells where its item would start.
 3. Exact verification: the smallest edit distance in words between the item and any
-   stretch of the document around the window. A hit needs similarity
+   stretch of the document around these places. A hit needs similarity
    1 - edits / words >= ``similarity``.
 
-Items share one walk per repetition; they differ in the length of the window (classes of
-sizes within a factor of 1.5; a window has the smallest size of the class). Only the
-benchmark is shared with the tasks, in passes of at most ``MAX_ITEMS`` items of bounded
-total size; documents are never shuffled.
+Only the benchmark is shared with the tasks, in passes of at most ``MAX_ITEMS`` items of
+bounded total size; documents are never shuffled to find hits.
 
 Edge cases: null counts as empty; items of fewer than ``MIN_WORDS`` words are no evidence
 and match nothing; equal items are separate items; repeated documents each get their
@@ -40,19 +34,11 @@ from finwake.llm import textops as X
 
 MIN_WORDS = 5
 SIMILARITY = 0.8
-RECALL = 0.9
-SAMPLED = 3
+KEY_WORDS = 8
 MAX_ITEMS = 20_000
-MAX_ITEM_BYTES = 4 << 20  # three word numbers of one pass fit in one 63-bit key
-
-
-def repetitions(recall: float, similarity: float, sampled: int = SAMPLED) -> int:
-    """Repetitions that find a window at the largest allowed distance with probability ``recall``.
-
-    An edit disturbs about 2.2 emitted steps of the words it touches before the walks meet again.
-    """
-    agree = max(0.05, 1 - 2.2 * (1 - similarity)) ** sampled
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+MAX_ITEM_BYTES = 4 << 20
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+_FLAG_BITS = 20
 
 
 def tokenise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,16 +53,10 @@ def tokenise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, np.repeat(np.arange(rows), n + 1), first
 
 
-def step_bits(tokens: np.ndarray, repetition: int, block: int) -> np.ndarray:
-    """64 random bits of each word, for the steps 64 * block and on; the pad never moves on."""
-    bits = X.mix(tokens + np.uint64((repetition * 1009 + block + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    return np.where(tokens == 0, np.uint64(0), bits)
-
-
 class Items:
-    """The benchmark, prepared: vocabulary, size classes, sampled steps and the items' keys."""
+    """The benchmark, prepared: vocabulary, allowed edits, and the segments by their number of words."""
 
-    def __init__(self, ids: list, texts: list[str], similarity: float, recall: float, seed: int = 42):
+    def __init__(self, ids: list, texts: list[str], similarity: float):
         lowered = pa.array(texts, pa.large_string())
         parts = [tokenise(data, offsets) for _, _, data, offsets in X.slices(lowered)]
         words = []
@@ -85,110 +65,58 @@ class Items:
         keep = [i for i, w in enumerate(words) if len(w) >= MIN_WORDS]
         self.ids = [ids[i] for i in keep]
         self.words = [words[i] for i in keep]
-        self.similarity = similarity
         self.n = np.array([len(w) for w in self.words], np.int64)
-        self.edits = np.floor(self.n * (1 - similarity) + 1e-9).astype(np.int64)
+        # at least one word must agree
+        self.edits = np.minimum(np.floor(self.n * (1 - similarity) + 1e-9).astype(np.int64), self.n - 1)
         if not len(self.words):
             return
         self.vocabulary = np.unique(np.concatenate(self.words))
-        v = len(self.vocabulary)
         self.numbers = [np.searchsorted(self.vocabulary, w) + 1 for w in self.words]  # 0: in no item
-        sizes = sorted(set(self.n.tolist()))
-        self.classes = []
-        for s in sizes:
-            if not self.classes or s > self.classes[-1] * 1.5:
-                self.classes.append(s)
-        self.cls = np.searchsorted(self.classes, self.n, side="right") - 1
-        least = sizes[0]
-        rng = np.random.default_rng(seed)
-        self.plan = []
-        for r in range(repetitions(recall, similarity)):
-            a = int(rng.integers(0, min(8, least)))
-            b = int(rng.integers(min(8, least - 1), least))
-            if b == a:
-                b = a + 1 if a + 1 < least else a
-            thirds = [int(rng.integers(b + 1, max(b + 2, 2 * n))) for n in self.classes]
-            self.plan.append((r, a, b, thirds, self._keys(r, a, b, thirds, v)))
-
-    def _keys(self, r: int, a: int, b: int, thirds: list[int], v: int):
-        """Per class: sorted keys and their items; and which words and pairs any item emits first."""
-        keys = []
-        one, two = np.zeros(v + 1, bool), []
-        for i, (tokens, numbers) in enumerate(zip(self.words, self.numbers)):
-            c = self.cls[i]
-            n = self.classes[c]
-            padded, number = np.append(tokens[:n], np.uint64(0)), np.append(numbers[:n], 0)
-            at, emitted = 0, []
-            bits = [step_bits(padded, r, k) for k in range(thirds[c] // 64 + 1)]
-            for t in range(thirds[c] + 1):
-                if t in (a, b, thirds[c]):
-                    emitted.append(int(number[at]))
-                at += int(bits[t // 64][at] >> np.uint64(t % 64) & np.uint64(1))
-            if a == b:
-                emitted.insert(0, emitted[0])
-            one[emitted[0]] = True
-            two.append(emitted[0] * (v + 1) + emitted[1])
-            keys.append(((emitted[0] * (v + 1) + emitted[1]) * (v + 1) + emitted[2], i))
-        by = []
-        for c in range(len(self.classes)):
-            mine = sorted((k, i) for (k, i) in keys if self.cls[i] == c)
-            by.append((np.array([k for k, _ in mine], np.int64), np.array([i for _, i in mine], np.int64)))
-        return one, np.unique(np.array(two, np.int64)), by
-
-
-def _isin(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(ordered, values)
-    at[at == len(ordered)] = 0
-    return ordered[at] == values
-
-
-def candidates(items: Items, tokens: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window start, item) of all pairs that agree on the sampled steps of some repetition."""
-    v = len(items.vocabulary)
-    starts, found = [], []
-    for r, a, b, thirds, (one, two, by) in items.plan:
-        bits = step_bits(tokens, r, 0)
-        pos = np.arange(len(tokens), dtype=np.int64)
-        for t in range(a):
-            pos += (bits[pos] >> np.uint64(t) & np.uint64(1)).view(np.int64)
-        first = number[pos]
-        live = np.flatnonzero(one[first])
-        pos, first, start = pos[live], first[live], live
-        for t in range(a, b):
-            pos += (bits[pos] >> np.uint64(t) & np.uint64(1)).view(np.int64)
-        pair = first * (v + 1) + number[pos]
-        live = np.flatnonzero(_isin(pair, two))
-        pos, pair, start = pos[live], pair[live], start[live]
-        if not len(pos):
-            continue
-        more: dict[int, np.ndarray] = {}
-        at = b
-        # classes in the order of their third step, along one walk
-        for c in sorted(range(len(thirds)), key=lambda c: thirds[c]):
-            while at < thirds[c]:
-                k = at // 64
-                if k and k not in more:
-                    more[k] = step_bits(tokens, r, k)
-                source = more[k] if k else bits
-                pos += (source[pos] >> np.uint64(at % 64) & np.uint64(1)).view(np.int64)
-                at += 1
-            keys, of = by[c]
-            if not len(keys):
-                continue
-            # a window of this class ends after its own number of words
-            word = np.where(pos - start >= items.classes[c], 0, number[pos])
-            key = pair * (v + 1) + word
-            lo, hi = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
-            many = hi - lo
-            if many.any():
-                starts.append(np.repeat(start, many))
-                run = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                found.append(of[np.repeat(lo, many) + run])
-    if not starts:
-        z = np.zeros(0, np.int64)
-        return z, z
-    code = np.unique(np.concatenate(starts) * len(items.ids) + np.concatenate(found))
-    return code // len(items.ids), code % len(items.ids)
+        found: dict[int, list] = {}
+        for i, number in enumerate(self.numbers):
+            n, parts = len(number), int(self.edits[i]) + 1
+            cuts = [j * n // parts for j in range(parts + 1)]
+            runs: dict[int, np.ndarray] = {}
+            for a, b in zip(cuts, cuts[1:]):
+                k = min(b - a, KEY_WORDS)
+                if k not in runs:
+                    runs[k] = run_hashes(number, k)
+                found.setdefault(k, []).append((int(runs[k][a]), i, a))
+        self.segments = {}
+        for k, rows in sorted(found.items()):
+            rows.sort()
+            keys = np.array([r[0] for r in rows], np.uint64)
+            flags = np.zeros(1 << _FLAG_BITS, bool)
+            flags[keys >> np.uint64(64 - _FLAG_BITS)] = True
+            self.segments[k] = (flags, keys, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
+
+
+def run_hashes(number: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every run of ``k`` word numbers."""
+    n = max(0, len(number) - k + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(k):
+        h = h * _STEP + number[j : j + n].astype(np.uint64)
+    return X.mix(h)
+
+
+def candidates(items: Items, number: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, text, word where the item would start) of every segment found, in this order and without repeats."""
+    item, text, start = [], [], []
+    for k, (flags, keys, of, offset) in items.segments.items():
+        h = run_hashes(number, k)
+        at = np.flatnonzero(flags[h >> np.uint64(64 - _FLAG_BITS)])
+        lo, hi = np.searchsorted(keys, h[at], side="left"), np.searchsorted(keys, h[at], side="right")
+        many = hi - lo
+        which = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        at = np.repeat(at, many)
+        item.append(of[which]), text.append(row[at]), start.append(at - offset[which])
+    item, text, start = (np.concatenate(x) for x in (item, text, start))
+    order = np.lexsort((start, text, item))
+    item, text, start = item[order], text[order], start[order]
+    new = np.ones(len(item), bool)
+    new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1])
+    return item[new], text[new], start[new]
 
 
 def smallest_distance(pattern: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,33 +140,47 @@ def smallest_distance(pattern: np.ndarray, windows: np.ndarray) -> tuple[np.ndar
     return best, end
 
 
-def verify(items: Items, number: np.ndarray, row: np.ndarray, first: np.ndarray, start: np.ndarray, item: np.ndarray):
-    """(row, item, edits, end word) of the true hits: one per text and item, the closest."""
-    hits = []
+def verify(items: Items, number: np.ndarray, first: np.ndarray, item: np.ndarray, text: np.ndarray, start: np.ndarray):
+    """(text, item, edits, end word) of the true hits: one per text and item, the closest.
+
+    Candidates whose surroundings overlap are one stretch, so its words are compared once.
+    """
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    if not len(item):
+        return []
+    n, e = items.n[item], items.edits[item]
+    lo = np.maximum(start - e, first[text])
+    hi = np.minimum(start + n + e, first[text + 1] - 1)
+    new = np.ones(len(item), bool)
+    new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (lo[1:] > hi[:-1])
+    head = np.flatnonzero(new)
+    item, text, lo, hi = item[head], text[head], lo[head], np.maximum.reduceat(hi, head)
     for i in np.unique(item):
-        at = start[item == i]
+        mine = np.flatnonzero(item == i)
+        mine = mine[np.argsort(hi[mine] - lo[mine], kind="stable")]
         n, e = int(items.n[i]), int(items.edits[i])
-        own = np.unique(items.numbers[i])
-        width = n + 2 * e
-        begin, stop = first[row[at]], first[row[at] + 1] - 1
-        for a in range(0, len(at), 4096):
-            s, lo, hi = at[a : a + 4096], begin[a : a + 4096], stop[a : a + 4096]
-            grid = (s - e)[:, None] + np.arange(width)
-            inside = (grid >= lo[:, None]) & (grid < hi[:, None])
-            window = np.where(inside, number[np.clip(grid, 0, len(number) - 1)], 0)
+        own = np.zeros(len(items.vocabulary) + 1, bool)
+        own[items.numbers[i]] = True
+        a = 0
+        while a < len(mine):
+            # rows of about the same width, of bounded size in all
+            width = int(hi[mine[a]] - lo[mine[a]])
+            b = min(len(mine), a + max(1, (1 << 21) // (max(n, width) + 1)))
+            b = a + int(np.searchsorted(hi[mine[a:b]] - lo[mine[a:b]], 2 * width + 16, side="right"))
+            part = mine[a:b]
+            a = b
+            grid = lo[part][:, None] + np.arange(int((hi[part] - lo[part]).max()))
+            window = np.where(grid < hi[part][:, None], number[np.minimum(grid, len(number) - 1)], 0)
             # at least n - e words of the stretch must be words of the item
-            good = _isin(window.ravel(), own).reshape(window.shape).sum(axis=1) >= n - e
+            good = own[window].sum(axis=1) >= n - e
             if not good.any():
                 continue
-            window, s, lo = window[good], s[good], lo[good]
-            edits, end = smallest_distance(items.numbers[i], window)
-            ok = edits <= e
-            for r, d, w in zip(row[s[ok]].tolist(), edits[ok].tolist(), (s[ok] - e + end[ok] - lo[ok]).tolist()):
-                hits.append((r, int(i), d, w))
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    for r, i, d, w in hits:
-        if (r, i) not in best or (d, w) < best[r, i]:
-            best[r, i] = (d, w)
+            part = part[good]
+            edits, end = smallest_distance(items.numbers[i], window[good])
+            for k in np.flatnonzero(edits <= e).tolist():
+                r = int(text[part[k]])
+                hit = (int(edits[k]), int(lo[part[k]] + end[k] - first[r]))
+                best[r, int(i)] = min(best.get((r, int(i)), hit), hit)
     return [(r, i, d, w) for (r, i), (d, w) in sorted(best.items())]
 
 
@@ -252,8 +194,7 @@ def matches(items: Items, column) -> list[tuple[int, int, int, int]]:
         number = np.searchsorted(items.vocabulary, tokens)
         number[number == len(items.vocabulary)] = 0
         number = np.where(items.vocabulary[number] == tokens, number + 1, 0)
-        start, item = candidates(items, tokens, number)
-        out += [(a + r, i, d, w) for r, i, d, w in verify(items, number, row, first, start, item)]
+        out += [(a + r, i, d, w) for r, i, d, w in verify(items, number, first, *candidates(items, number, row))]
     return out
 
 
@@ -264,7 +205,6 @@ def contaminated(
     text: str = "text",
     item: str = "item_id",
     similarity: float = SIMILARITY,
-    recall: float = RECALL,
 ) -> DataFrame:
     """(key, item, edits, similarity, end_word): every document and item that it holds a copy of."""
     spark = documents.sparkSession
@@ -278,7 +218,7 @@ def contaminated(
     for p in range(passes):
         part = benchmark.select(F.col(item).alias("i"), lowered.alias("t")).filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == p)
         rows = sorted(((r.i, r.t) for r in part.collect()), key=lambda x: (str(x[0]), x[1]))  # at most MAX_ITEMS, MAX_ITEM_BYTES
-        prepared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], similarity, recall))
+        prepared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], similarity))
 
         def run(batches: Iterator[pa.RecordBatch], prepared=prepared) -> Iterator[pa.RecordBatch]:
             items = prepared.value

@@ -180,6 +180,21 @@ def test_decontamination(spark, frame):
     assert decontamination.contaminated(frame(rows), benchmark.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("where", ["head", "middle", "tail"])
+def test_decontamination_of_edits_in_one_place(spark, frame, where):
+    bench = [(i, prose(n, 700 + i)) for i, n in enumerate([15, 25, 40, 59, 59, 120] * 3)] + [(90, prose(5, 790))]
+    rows = []
+    for i, text in bench:
+        w = text.split()
+        e = len(w) // 5
+        a = {"head": 0, "middle": len(w) // 2 - e // 2, "tail": len(w) - e}[where]
+        rows.append((i, prose(30, i) + " " + " ".join(w[:a] + w[a + e :]) + " " + prose(30, 50 + i)))
+        rows.append((100 + i, " ".join(w[:a] + [f"new{k}" for k in range(e)] + w[a + e :])))
+    benchmark = spark.createDataFrame(bench, "item_id bigint, text string")
+    hits = {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(rows), benchmark).collect()}
+    assert hits == {(d, d % 100) for d, _ in rows}
+
+
 def test_smallest_distance_against_dynamic_programming():
     r = random.Random(5)
 
