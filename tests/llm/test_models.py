@@ -195,6 +195,35 @@ def test_decontamination_of_edits_in_one_place(spark, frame, where):
     assert hits == {(d, d % 100) for d, _ in rows}
 
 
+def test_decontamination_in_scripts_without_spaces_and_of_short_items(spark, frame):
+    r = random.Random(8)
+    han = "".join(chr(r.randrange(0x4E00, 0x5E00)) for _ in range(60))
+    thai = "".join(chr(r.randrange(0x0E01, 0x0E2E)) for _ in range(40)) + " 2024 " + chr(0x0E01) * 3
+    bench = [(1, han), (2, thai), (3, "It’s the “last” word – of\u00a0all, today"), (4, "forty two"), (5, "?!"), (6, "naïve")]
+    rows = [
+        (1, "前" + han[:20] + "乙丙" + han[22:] + "。後"),
+        (2, "x" + thai + "y"),
+        (3, "he said it's the \"last\" word - of all, today."),
+        (4, "it is Forty-Two now"),
+        (5, "forty and two ?!"),
+        (6, "forty twos, naïvely"),
+        (7, "so naïve!"),
+    ]
+    benchmark = spark.createDataFrame(bench, "item_id bigint, text string")
+    hits = {(h.doc_id, h.item_id, h.edits) for h in decontamination.contaminated(frame(rows), benchmark).collect()}
+    assert hits == {(1, 1, 2), (2, 2, 0), (3, 3, 0), (4, 4, 0), (7, 6, 0)}
+
+
+def test_words_of_many_scripts():
+    texts = ["ab é日本x", "", "語", "a\u3000b\u2019c", "😀😀a", "\U00020000z", "日", "ß"]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    start, end, row = decontamination.words(data, np.cumsum([0] + [len(x) for x in raw]))
+    got = [(int(k), bytes(data[a:b]).decode()) for a, b, k in zip(start, end, row)]
+    want = [["ab", "é", "日", "本", "x"], [], ["語"], ["a", "b", "c"], ["😀", "😀", "a"], ["\U00020000", "z"], ["日"], ["ß"]]
+    assert got == [(k, w) for k, ws in enumerate(want) for w in ws]
+
+
 def test_smallest_distance_against_dynamic_programming():
     r = random.Random(5)
 
