@@ -36,8 +36,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Groups are, first, fingerprints linked at two bits (texts without any word share
     fingerprint zero) and then, of what stays, texts whose 5-word shingles have a Jaccard
-    similarity of 0.8 or more, found through covering tables of wider radius. Repeated rows
-    of one id count as one document.
+    similarity of 0.8 or more, found through their rarest shingles. Repeated rows of one id
+    count as one document.
     """
     repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
     if not repeated.isEmpty():  # only then must whole rows be compared

@@ -25,6 +25,7 @@ rows are members of one node; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,7 +175,8 @@ def near_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", r
 # ------------------------------------------------- similar texts beyond the contract's radius
 SIMILARITY = 0.8
 SHINGLE = 5
-WIDE_RADIUS = 5
+SAMPLE = 32  # one document of so many tells which shingles are common
+COMMON = 1_000_000
 
 
 def _rows_of(column) -> Iterator[tuple[int, np.ndarray]]:
@@ -189,20 +191,67 @@ def _rows_of(column) -> Iterator[tuple[int, np.ndarray]]:
                 yield a + r, h[cuts[r] : cuts[r + 1]]
 
 
-def word_fingerprints(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(_id, _wide): majority bits over a text's different words. Few edits change few of them, so similar
-    texts stay within a few bits; texts without words have none and are left out."""
+def shingles_of(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """The sorted different runs of ``size`` words, as 64-bit hashes (fewer words: the whole)."""
+    k = min(size, len(h))
+    s = np.zeros(len(h) - k + 1, np.uint64)
+    for j in range(k):
+        s = X.mix(s * np.uint64(31) + h[j : len(h) - k + 1 + j])
+    return np.unique(s)
+
+
+def common_shingles(documents: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that many documents hold, and how many of a sample do; at most ``COMMON``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, h in _rows_of(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(h).view(np.int64))], ["s"])
+
+    sample = documents.filter(F.pmod(F.xxhash64(key), F.lit(SAMPLE)) == 0).select(text)
+    counts = materialise(sample.mapInArrow(run, "s bigint").groupBy("s").agg(F.count("*").alias("n")).filter("n > 2"), "simhash-common")
+    # of all occurrences only so many shingles can have this share
+    least = (counts.agg(F.sum("n")).first()[0] or 0) / COMMON
+    table = counts.filter(F.col("n") >= least).toArrow()
+    s, n = table.column("s").to_numpy().astype(np.int64).view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def prefixes(documents: DataFrame, key: str, text: str, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(_id, at): of n different shingles of a text the n - ceil(similarity n) + 1 first ones, the rarest first.
+
+    Two texts with a Jaccard similarity of ``similarity`` share ceil(similarity n) shingles at
+    least, n being the larger number, so in any common order they share one of their first
+    ones. The order only decides how many other texts share it.
+    """
     kind = documents.schema[key].dataType.simpleString()
+    shared = documents.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, many = shared.value
         for batch in batches:
-            at, value = [], []
-            for r, h in _rows_of(batch.column(1)):
-                at.append(r), value.append(majority(np.unique(h)))
-            ids = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(value, np.uint64).view(np.int64))], ["_id", "_wide"])
+            at, value, waiting = [], [], 0
 
-    return documents.select(F.col(key).alias("_id"), text).mapInArrow(run, f"_id {kind}, _wide bigint")
+            def out():
+                ids = batch.column(0).take(pa.array(np.repeat(at, [len(v) for v in value])))
+                return pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(value).view(np.int64))], ["_id", "at"])
+
+            for r, h in _rows_of(batch.column(1)):
+                s = shingles_of(h)
+                n = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
+                if len(known):
+                    k = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[k] == s, many[k], 0), kind="stable")]
+                at.append(r), value.append(s[:n])
+                waiting += min(n, len(s))
+                if waiting > 1 << 18:
+                    yield out()
+                    at, value, waiting = [], [], 0
+            if at:
+                yield out()
+
+    return documents.select(F.col(key).alias("_id"), text).mapInArrow(run, f"_id {kind}, at bigint")
 
 
 def shingle_sets(documents: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
@@ -213,11 +262,7 @@ def shingle_sets(documents: DataFrame, key: str, text: str, size: int = SHINGLE)
         for batch in batches:
             at, value = [], []
             for r, h in _rows_of(batch.column(1)):
-                k = min(size, len(h))
-                s = np.zeros(len(h) - k + 1, np.uint64)
-                for j in range(k):
-                    s = X.mix(s * np.uint64(31) + h[j : len(h) - k + 1 + j])
-                at.append(r), value.append(np.unique(s).tobytes())
+                at.append(r), value.append(shingles_of(h, size).tobytes())
             ids = batch.column(0).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(value, pa.binary())], ["_id", "_set"])
 
@@ -229,29 +274,36 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(s, t, assume_unique=True)) if 2 * min(len(s), len(t)) >= max(len(s), len(t)) else 0
+            both = len(np.intersect1d(s, t, assume_unique=True))
             out.append(both / (len(s) + len(t) - both))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
-def similar_links(documents: DataFrame, key: str = "doc_id", text: str = "text", radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def similar_links(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) with a < b: verified links between documents with unique ids.
 
-    Candidates come from the covering tables of the word fingerprints (2^(radius+1)-1 of them).
-    In each bucket every member is compared with the smallest and the largest id, not with all
-    others; a link needs a Jaccard similarity of 5-word shingles of at least ``similarity``.
+    Candidates share one of their first shingles (``prefixes``), as all pairs of this
+    similarity do. In each bucket every member is compared with the smallest and the largest
+    id, not with all others; a link needs a Jaccard similarity of 5-word shingles of at least
+    ``similarity``.
     """
-    masks = covering_masks(radius)
-    marked = materialise(word_fingerprints(documents, key, text), "simhash-wide")
-    table = F.array(*[F.xxhash64(F.lit(v), F.col("_wide").bitwiseAND(F.lit(signed(m)))) for v, m in enumerate(masks)])
-    placed = marked.select("_id", F.explode(table).alias("at")).repartition("at")
+    placed = prefixes(documents, key, text, similarity, common_shingles(documents, key, text)).repartition("at")
     ends = placed.groupBy("at").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo <> hi")
     pairs = placed.join(ends, "at").select("_id", F.explode(F.array("lo", "hi")).alias("end")).filter("_id <> end")
     pairs = pairs.select(F.least("_id", "end").alias("a"), F.greatest("_id", "end").alias("b")).distinct()
-    pairs = materialise(pairs, "simhash-pairs")
+    return verified(documents, materialise(pairs, "simhash-pairs"), key, text, similarity)
+
+
+def verified(documents: DataFrame, pairs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose texts are as similar as ``similarity``."""
     members = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
     wanted = documents.join(members, F.col(key) == F.col("_id"), "left_semi")
     sets = materialise(shingle_sets(wanted, key, text), "simhash-sets")
+    size = sets.select("_id", F.octet_length("_set").alias("n"))
+    # sets of too different sizes cannot be similar
+    for n in "ab":
+        pairs = pairs.join(size.select(F.col("_id").alias(n), F.col("n").alias(f"n{n}")), n)
+    pairs = pairs.filter(F.least("na", "nb") >= F.greatest("na", "nb") * (similarity - 1e-9)).select("a", "b")
     left, right = (sets.select(F.col("_id").alias(n), F.col("_set").alias(f"_{n}")) for n in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b")
     kind = documents.schema[key].dataType.simpleString()
@@ -259,8 +311,8 @@ def similar_links(documents: DataFrame, key: str = "doc_id", text: str = "text",
     return checked.filter(F.col("similarity") >= similarity).select("a", "b")
 
 
-def similar_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", radius: int = WIDE_RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+def similar_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(key, component_id) of every document that is linked to another; ids must be unique."""
-    roots = components(similar_links(documents, key, text, radius, similarity), "simhash-similar")
+    roots = components(similar_links(documents, key, text, similarity), "simhash-similar")
     both = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     return both.select(F.col("node").alias(key), F.col("root").alias("component_id"))

@@ -130,6 +130,36 @@ def test_similar_groups(frame):
     assert got == {10 * s + k: 10 * s for s in range(3) for k in range(3)}
 
 
+def brute_similar(rows, ratio=0.8):
+    """The smallest id of each component of texts whose 5-word shingles have this Jaccard similarity."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if (w := t.split())}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= ratio * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in sets if sum(find(j) == find(i) for j in sets) > 1}
+
+
+def test_similar_groups_of_trimmed_and_extended_copies(frame):
+    rows = []
+    for s in range(24):
+        text = prose(150 + 40 * s, 300 + s)
+        w = text.split()
+        cut = int(len(w) * (0.06, 0.12, 0.18)[s % 3])
+        rows += [(10 * s, text), (10 * s + 1, " ".join(w[cut:] if s % 2 else w[:-cut])), (10 * s + 2, text + " " + prose(cut, 600 + s))]
+    want = brute_similar(rows)
+    assert len(want) == 72
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(rows)).collect()} == want
+
+
 def brute_repeats(rows):
     texts = [(t or "").encode() for _, t in rows]
     n = suffix_dedup.LENGTH
