@@ -177,6 +177,8 @@ SIMILARITY = 0.8
 SHINGLE = 5
 SAMPLE = 32  # one document of so many tells which shingles are common
 COMMON = 1_000_000
+TURNS = 5
+MANY = 2  # pairs left a shingle row, above which ends are compared again
 
 
 def _rows_of(column) -> Iterator[tuple[int, np.ndarray]]:
@@ -219,7 +221,7 @@ def common_shingles(documents: DataFrame, key: str, text: str) -> tuple[np.ndarr
 
 
 def prefixes(documents: DataFrame, key: str, text: str, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(_id, at): of n different shingles of a text the n - ceil(similarity n) + 1 first ones, the rarest first.
+    """(_id, at, pos, n): of n different shingles of a text the n - ceil(similarity n) + 1 first ones, the rarest first.
 
     Two texts with a Jaccard similarity of ``similarity`` share ceil(similarity n) shingles at
     least, n being the larger number, so in any common order they share one of their first
@@ -231,11 +233,14 @@ def prefixes(documents: DataFrame, key: str, text: str, similarity: float, commo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, many = shared.value
         for batch in batches:
-            at, value, waiting = [], [], 0
+            at, value, size, waiting = [], [], [], 0
 
             def out():
-                ids = batch.column(0).take(pa.array(np.repeat(at, [len(v) for v in value])))
-                return pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(value).view(np.int64))], ["_id", "at"])
+                many = [len(v) for v in value]
+                ids = batch.column(0).take(pa.array(np.repeat(at, many)))
+                place = np.concatenate([np.arange(m, dtype=np.int32) for m in many])
+                arrays = [ids, pa.array(np.concatenate(value).view(np.int64)), pa.array(place), pa.array(np.repeat(np.array(size, np.int32), many))]
+                return pa.RecordBatch.from_arrays(arrays, ["_id", "at", "pos", "n"])
 
             for r, h in _rows_of(batch.column(1)):
                 s = shingles_of(h)
@@ -243,15 +248,15 @@ def prefixes(documents: DataFrame, key: str, text: str, similarity: float, commo
                 if len(known):
                     k = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[k] == s, many[k], 0), kind="stable")]
-                at.append(r), value.append(s[:n])
+                at.append(r), value.append(s[:n]), size.append(len(s))
                 waiting += min(n, len(s))
                 if waiting > 1 << 18:
                     yield out()
-                    at, value, waiting = [], [], 0
+                    at, value, size, waiting = [], [], [], 0
             if at:
                 yield out()
 
-    return documents.select(F.col(key).alias("_id"), text).mapInArrow(run, f"_id {kind}, at bigint")
+    return documents.select(F.col(key).alias("_id"), text).mapInArrow(run, f"_id {kind}, at bigint, pos int, n int")
 
 
 def shingle_sets(documents: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
@@ -280,18 +285,80 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_links(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) with a < b: verified links between documents with unique ids.
+    """(a, b): verified links that connect all documents of this similarity; ids must be unique and not null.
 
     Candidates share one of their first shingles (``prefixes``), as all pairs of this
-    similarity do. In each bucket every member is compared with the smallest and the largest
-    id, not with all others; a link needs a Jaccard similarity of 5-word shingles of at least
-    ``similarity``.
+    similarity do; a link needs a Jaccard similarity of 5-word shingles of at least
+    ``similarity``. Every member of a bucket is first compared with two ends of it, which
+    joins large families. Then all pairs of a bucket that are not yet in one component are
+    compared, so each pair is either connected or known to be different. While those are
+    many, and comparing with other ends joins some, ends are compared again.
     """
     placed = prefixes(documents, key, text, similarity, common_shingles(documents, key, text)).repartition("at")
-    ends = placed.groupBy("at").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo <> hi")
-    pairs = placed.join(ends, "at").select("_id", F.explode(F.array("lo", "hi")).alias("end")).filter("_id <> end")
-    pairs = pairs.select(F.least("_id", "end").alias("a"), F.greatest("_id", "end").alias("b")).distinct()
-    return verified(documents, materialise(pairs, "simhash-pairs"), key, text, similarity)
+    shared = placed.groupBy("at").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo <> hi").select("at")
+    placed = materialise(placed.join(shared, "at", "left_semi"), "simhash-placed")
+    bound = MANY * placed.count()
+    found, seen, before = None, None, None
+    for turn in range(TURNS):
+        members = _unsettled(placed, None if found is None else components(found, f"simhash-turn{turn}"))
+        if turn:
+            members = materialise(members, "simhash-open")
+            left = members.groupBy("at", "root").agg(F.count("*").cast("double").alias("n")).groupBy("at")
+            left = left.agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("n")).agg(F.sum("n")).first()[0] or 0
+            if left <= bound or before is not None and left > before / 2 or turn == TURNS - 1:
+                break
+            before = left
+        pairs = _new_pairs(_with_ends(members, turn), seen, similarity)
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        links = verified(documents, pairs, key, text, similarity)
+        found = materialise(links if found is None else found.unionByName(links), "simhash-found")
+    pairs = _new_pairs(_all_pairs(members), seen, similarity)
+    return found.unionByName(verified(documents, pairs, key, text, similarity))
+
+
+def _unsettled(placed: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(at, _id, pos, n, root): the members of the buckets that hold more than one component."""
+    if roots is None:
+        return placed.withColumn("root", F.col("_id"))
+    members = placed.join(roots, F.col("_id") == F.col("node"), "left").select("at", "_id", "pos", "n", F.coalesce("root", "_id").alias("root"))
+    several = members.groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("at")
+    return members.join(several, "at", "left_semi")
+
+
+def _end(name: str, n: str) -> list[Column]:
+    return [F.col(f"{name}.{c}").alias(f"{c}{n}") for c in ("_id", "pos", "n", "root")]
+
+
+def _with_ends(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a member and one of the two ends of its bucket, in another order each turn."""
+    order = F.struct(F.xxhash64("_id", F.lit(turn)) if turn else F.lit(0).cast("bigint"), "_id", "pos", "n", "root")
+    ends = members.groupBy("at").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
+    pairs = members.join(ends, "at").select(F.struct("_id", "pos", "n", "root").alias("x"), F.explode(F.array("lo", "hi")).alias("y"))
+    return pairs.select(*_end("x", "1"), *_end("y", "2"))
+
+
+def _all_pairs(members: DataFrame) -> DataFrame:
+    """All pairs of a bucket in different components; the largest component is not paired with itself."""
+    many = members.groupBy("at", "root").agg(F.count("*").alias("m")).groupBy("at").agg(F.max_by("root", F.struct("m", "root")).alias("big"))
+    members = members.join(many, "at")
+    x = members.filter("root <> big").select("at", F.struct("_id", "pos", "n", "root").alias("x"))
+    y = members.select("at", F.struct("_id", "pos", "n", "root").alias("y"), "big")
+    pairs = x.join(y, "at").filter("x.root <> y.root and (y.root = big or x._id < y._id)")
+    return pairs.select(*_end("x", "1"), *_end("y", "2"))
+
+
+def _new_pairs(pairs: DataFrame, seen: DataFrame | None, similarity: float) -> DataFrame:
+    """(a, b) with a < b of pairs in different components that can be similar and were not compared yet.
+
+    At the first shingle that two texts share, in the common order, they have as many shared
+    ones as shingles are left in either, at most.
+    """
+    least = F.ceil(similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-9)
+    pairs = pairs.filter(F.col("root1") != F.col("root2")).filter(F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= least)
+    pairs = pairs.select(F.least("_id1", "_id2").alias("a"), F.greatest("_id1", "_id2").alias("b")).distinct()
+    if seen is not None:
+        pairs = pairs.join(seen, ["a", "b"], "left_anti")
+    return materialise(pairs, "simhash-pairs")
 
 
 def verified(documents: DataFrame, pairs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
@@ -299,11 +366,6 @@ def verified(documents: DataFrame, pairs: DataFrame, key: str, text: str, simila
     members = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
     wanted = documents.join(members, F.col(key) == F.col("_id"), "left_semi")
     sets = materialise(shingle_sets(wanted, key, text), "simhash-sets")
-    size = sets.select("_id", F.octet_length("_set").alias("n"))
-    # sets of too different sizes cannot be similar
-    for n in "ab":
-        pairs = pairs.join(size.select(F.col("_id").alias(n), F.col("n").alias(f"n{n}")), n)
-    pairs = pairs.filter(F.least("na", "nb") >= F.greatest("na", "nb") * (similarity - 1e-9)).select("a", "b")
     left, right = (sets.select(F.col("_id").alias(n), F.col("_set").alias(f"_{n}")) for n in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b")
     kind = documents.schema[key].dataType.simpleString()

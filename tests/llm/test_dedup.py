@@ -160,6 +160,21 @@ def test_similar_groups_of_trimmed_and_extended_copies(frame):
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(rows)).collect()} == want
 
 
+def test_similar_groups_of_permuted_texts(frame):
+    # five arrangements of the same paragraphs, three near copies of each, ids dealt over all of them
+    parts = [prose(60, 700 + k) for k in range(8)]
+    r = random.Random(5)
+    rows = []
+    for s in range(5):
+        order = [w for p in r.sample(parts, 8) for w in r.sample(p.split(), 60)]
+        rows += [(s + 5 * k, " ".join(order[k:])) for k in range(3)]
+    rows += [(100 + k, " ".join(f"same{j}" for j in range(40)) + " " + prose(12, 800 + k)) for k in range(12)]
+    rows += [(205, rows[-6][1] + " end")]  # a copy of one in the middle of a bucket of texts that are no copies
+    want = brute_similar(rows)
+    assert len(want) == 17
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(rows)).collect()} == want
+
+
 def brute_repeats(rows):
     texts = [(t or "").encode() for _, t in rows]
     n = suffix_dedup.LENGTH
