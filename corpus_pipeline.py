@@ -12,41 +12,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finwake.llm import decontamination, mixing, quality, sharding, simhash
-from finwake.llm.store import materialise
+from finwake.llm.store import materialise, with_rows
 
 ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. Labels of documents that are gone play no part."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = materialise(quality.score_quality(docs, labels), "stage-quality")
-    bad = scored.filter(F.col("score") < quality.CUT).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    columns, labels = docs.columns, spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = with_rows(docs, "doc_id", "_row", "stage-rows")
+    scored = materialise(quality.score_quality(docs, labels, row="_row"), "stage-quality")
+    bad = scored.filter(F.col("score") < quality.CUT).select("_row")
+    return docs.join(bad, "_row", "left_anti").select(*columns)
 
 
 def _without(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """docs without the members of ``groups`` that are not their component's smallest id."""
-    drop = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col("_drop")), "left_anti")
+    """docs without the members of ``groups`` that are not their component's smallest row."""
+    drop = groups.filter(F.col("_row") != F.col("component_id")).select("_row")
+    return docs.join(drop, "_row", "left_anti")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id.
+    """One row of each group stays: the one with the smallest id.
 
     Groups are, first, fingerprints linked at two bits (texts without any word share
     fingerprint zero) and then, of what stays, texts whose 5-word shingles have a Jaccard
-    similarity of 0.8 or more, found through their rarest shingles. Repeated rows of one id
-    count as one document.
+    similarity of 0.8 or more, found through their rarest shingles. Rows that share an id,
+    or have none, are decided one by one.
     """
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
-    if not repeated.isEmpty():  # only then must whole rows be compared
-        docs = materialise(docs.dropDuplicates(["doc_id", "text"]), "stage-rows")
-    first = materialise(_without(docs, simhash.near_groups(docs.select("doc_id", "text"))), "stage-near")
-    unique = first.select("doc_id", "text").filter("doc_id is not null")
-    if not repeated.isEmpty():
-        unique = unique.dropDuplicates(["doc_id"])
-    return _without(first, simhash.similar_groups(unique))
+    columns = docs.columns
+    docs = with_rows(docs, "doc_id", "_row", "stage-rows")
+    first = materialise(_without(docs, simhash.near_groups(docs.select("_row", "text"), "_row")), "stage-near")
+    return _without(first, simhash.similar_groups(first.select("_row", "text"), "_row")).select(*columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finwake.llm import textops as X
+from finwake.llm.store import free_names, with_rows
 
 SIMILARITY = 0.8
 KEY_WORDS = 8
@@ -312,9 +313,11 @@ def contaminated(
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents without any hit, columns unchanged.
+    """The documents without any hit, columns unchanged; rows that share a key are decided one by one.
 
-    The ids of contaminated documents go back by an anti join that Spark plans by their size.
+    The rows of contaminated documents go back by an anti join that Spark plans by their size.
     """
-    bad = contaminated(documents, benchmark, key).select(F.col(key).alias("_bad")).distinct()
-    return documents.join(bad, documents[key].eqNullSafe(F.col("_bad")), "left_anti")
+    (row,) = free_names([*documents.columns, *benchmark.columns], "_row")
+    rows = with_rows(documents, key, row, "clean-rows")
+    bad = contaminated(rows, benchmark, row).select(row).distinct()
+    return rows.join(bad, row, "left_anti").select(*documents.columns)

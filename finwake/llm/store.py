@@ -27,6 +27,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def with_rows(df: DataFrame, key: str, row: str, name: str) -> DataFrame:
+    """``df`` with a column ``row`` that is different in every row, in the order of ``key`` (nulls last).
+
+    Keys that are all different and not null serve as they are. Otherwise the rows are sorted,
+    numbered and written, so that they keep their numbers.
+    """
+    odd = df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > 1).select(key).unionByName(df.select(key).filter(F.col(key).isNull()))
+    if odd.isEmpty():
+        return df.withColumn(row, F.col(key))
+    # the random number deals the rows of one key over many tasks
+    ordered = df.orderBy(F.col(key).asc_nulls_last(), F.rand(7))
+    return materialise(ordered.withColumn(row, F.monotonically_increasing_id()), name)
+
+
 def estimated_bytes(df: DataFrame, text: str) -> int:
     """Size of the files that ``df`` reads; where a relation has no known size, the bytes of its texts are counted."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

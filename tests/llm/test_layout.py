@@ -100,6 +100,30 @@ def test_pipeline_on_planted_rows(spark, tmp_path):
     assert out.count() == current.count() and {"shard", "slot"} <= set(out.columns)
 
 
+def test_stages_decide_row_by_row(spark, frame, tmp_path):
+    good = [prose(120, 500 + k) for k in range(6)]
+    passage = prose(40, 900)
+    spark.createDataFrame([(1, passage)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    held = prose(60, 901) + " " + passage + " " + prose(60, 902)
+    rows = [(None, good[0]), (None, good[1]), (None, held), (7, good[2]), (7, good[3]), (7, held + " x"), (8, good[4]), (None, good[5])]
+    out = corpus_pipeline.decontamination_stage(spark, frame(rows), str(tmp_path))
+    assert sorted(r.text for r in out.collect()) == sorted(good)
+    copies = [(None, good[0] + " tail"), (3, good[1]), (7, good[2] + " end"), (9, good[4])]
+    out = corpus_pipeline.near_dedup_stage(spark, frame([(i, t) for i, t in rows if t in good] + copies), str(tmp_path))
+    got = sorted((r.doc_id if r.doc_id is not None else -1, good.index(next(g for g in good if r.text.startswith(g)))) for r in out.collect())
+    assert got == [(-1, 0), (-1, 5), (3, 1), (7, 2), (7, 3), (8, 4)]
+    # one bad row of a hot id and of the null ids
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kinds = {q: docs.join(labels.filter(f"quality = {q}"), "doc_id").select(docs.columns) for q in (0, 1)}
+    odd = kinds[1].orderBy("doc_id").limit(12).unionByName(kinds[0].orderBy("doc_id").limit(4))
+    for new in (None, -5):
+        mixed = docs.unionByName(odd.withColumn("doc_id", F.lit(new).cast(docs.schema["doc_id"].dataType)))
+        out = corpus_pipeline.quality_stage(spark, mixed, str(tmp_path)).filter(F.col("doc_id").eqNullSafe(F.lit(new)))
+        assert 8 <= out.count() <= 13
+
+
 def test_catalogue():
     q = catalog.queries()
     assert [f"op{n}" for n in range(1, 11)] == sorted({k.split("_")[0] for k in q}, key=lambda s: int(s[2:]))
