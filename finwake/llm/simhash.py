@@ -177,6 +177,7 @@ SIMILARITY = 0.8
 SHINGLE = 5
 SAMPLE = 32  # one document of so many tells which shingles are common
 COMMON = 1_000_000
+SIGN = 1024
 TURNS = 5
 MANY = 2  # pairs left a shingle row, above which ends are compared again
 
@@ -274,6 +275,26 @@ def shingle_sets(documents: DataFrame, key: str, text: str, size: int = SHINGLE)
     return documents.select(F.col(key).alias("_id"), text).mapInArrow(run, f"_id {kind}, _set binary")
 
 
+def signatures(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(_id, _sign, n): the parities of how many of a text's n shingles fall on each of ``SIGN`` bits.
+
+    Two signatures differ in no more bits than there are shingles in one text only.
+    """
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, value, n = [], [], []
+            for r, h in _rows_of(batch.column(1)):
+                s = shingles_of(h)
+                odd = np.bincount((s % np.uint64(SIGN)).astype(np.int64), minlength=SIGN) & 1
+                at.append(r), value.append(np.packbits(odd.astype(np.uint8)).tobytes()), n.append(len(s))
+            ids = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(value, pa.binary()), pa.array(n, pa.int64())], ["_id", "_sign", "n"])
+
+    return documents.select(F.col(key).alias("_id"), text).mapInArrow(run, f"_id {kind}, _sign binary, n bigint")
+
+
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -295,7 +316,9 @@ def similar_links(documents: DataFrame, key: str = "doc_id", text: str = "text",
     many, and comparing with other ends joins some, ends are compared again.
     """
     placed = prefixes(documents, key, text, similarity, common_shingles(documents, key, text)).repartition("at")
-    shared = placed.groupBy("at").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).filter("lo <> hi").select("at")
+    # all columns, so that the exchange serves both sides of the join
+    row = F.struct("_id", "pos", "n")
+    shared = placed.groupBy("at").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).filter("lo._id <> hi._id").select("at")
     placed = materialise(placed.join(shared, "at", "left_semi"), "simhash-placed")
     bound = MANY * placed.count()
     found, seen, before = None, None, None
@@ -365,10 +388,25 @@ def verified(documents: DataFrame, pairs: DataFrame, key: str, text: str, simila
     """The (a, b) of ``pairs`` whose texts are as similar as ``similarity``."""
     members = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
     wanted = documents.join(members, F.col(key) == F.col("_id"), "left_semi")
+    kind = documents.schema[key].dataType.simpleString()
+    signs = materialise(signatures(wanted, key, text), "simhash-signs")
+    left, right = (signs.select(F.col("_id").alias(n), F.col("_sign").alias(f"_{n}"), F.col("n").alias(f"n{n}")) for n in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b", "na", "nb")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
+                n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+                good = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n * ((1 - similarity) / (1 + similarity)) + 1e-6
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
+
+    pairs = materialise(both.mapInArrow(near, f"a {kind}, b {kind}"), "simhash-near")
+    members = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
+    wanted = documents.join(members, F.col(key) == F.col("_id"), "left_semi")
     sets = materialise(shingle_sets(wanted, key, text), "simhash-sets")
     left, right = (sets.select(F.col("_id").alias(n), F.col("_set").alias(f"_{n}")) for n in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b")
-    kind = documents.schema[key].dataType.simpleString()
     checked = both.mapInArrow(_jaccard, f"a {kind}, b {kind}, similarity double")
     return checked.filter(F.col("similarity") >= similarity).select("a", "b")
 
