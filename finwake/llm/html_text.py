@@ -33,6 +33,7 @@ DIM_BITS = 14
 LABELS = 2  # 0 boilerplate, 1 content
 # Fixed values of HTML: elements whose content is no text, elements without content, and inline elements.
 RAW = frozenset("script style noscript template svg math iframe object textarea select canvas audio video head title".split())
+FALLBACK = frozenset("svg math object select canvas audio video".split())  # of these, only a closed one hides what follows
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong "
@@ -118,7 +119,8 @@ def blocks_of(page: str) -> list[Block]:
                 stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 if tag in ("select", "svg", "math", "object", "iframe", "video", "audio", "canvas", "textarea"):
                     flush()
-                at = stop.end() if stop else len(page)
+                if stop or tag not in FALLBACK:
+                    at = stop.end() if stop else len(page)
             continue
         if tag == "br":
             parts.append((" ", links > 0))

@@ -243,3 +243,10 @@ def test_smallest_distance_against_dynamic_programming():
         t = np.array([[r.randrange(5) for _ in range(12)] for _ in range(3)])
         edits, _ = decontamination.smallest_distance(p, t)
         assert edits.tolist() == [brute(p.tolist(), x) for x in t.tolist()]
+
+
+@pytest.mark.parametrize("tag", ["object", "video", "audio", "canvas", "svg", "math", "select"])
+def test_unclosed_embedded_elements_hide_nothing(tag):
+    texts = [b.text for b in html_text.blocks_of(f"<p>one</p><{tag}><p>two</p><script>var x;</script><p>three</p>")]
+    assert texts == ["one", "two", "three"]
+    assert [b.text for b in html_text.blocks_of(f"<p>one</p><{tag}>gone</{tag}><p>two</p>")] == ["one", "two"]
