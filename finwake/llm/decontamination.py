@@ -26,9 +26,7 @@ rows; an empty table on either side gives an empty result.
 from __future__ import annotations
 
 import math
-import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,80 +44,10 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _FLAG_BITS = 20
 
 
-SPACELESS = (
-    (0x0E00, 0x109F),  # Thai, Lao, Tibetan, Myanmar
-    (0x1780, 0x17FF),  # Khmer
-    (0x1950, 0x19FF),
-    (0x1A20, 0x1AAF),
-    (0x2E80, 0x2FDF),
-    (0x3005, 0x312F),  # kana
-    (0x31A0, 0x31BF),
-    (0x31F0, 0x31FF),
-    (0x3400, 0x4DBF),
-    (0x4E00, 0xA4CF),  # Chinese characters, Yi
-    (0xA980, 0xA9DF),
-    (0xF900, 0xFAFF),
-    (0xFF66, 0xFF9F),
-    (0x16FE0, 0x18DFF),
-    (0x1AFF0, 0x1B2FF),
-    (0x20000, 0x3FFFF),
-)
-
-
-@lru_cache(maxsize=1)
-def _kinds() -> np.ndarray:
-    """Of every code point: 0 a separator, 1 part of a word, 2 a word of its own."""
-    out = np.ones(0x40001, np.uint8)  # the last stands for all that follow
-    out[:128] = ~X.NOT_WORD[:128]
-    alone = np.zeros(len(out), bool)
-    for a, b in SPACELESS:
-        alone[a : b + 1] = True
-    for c in range(128, 0x20000):
-        kind = unicodedata.category(chr(c))
-        if kind in ("So", "Sm", "Sc"):
-            out[c] = 2
-        elif kind[0] in "ZPS" or kind in ("Cc", "Cf"):
-            out[c] = 0
-        elif alone[c]:
-            out[c] = 2
-    out[0x20000:0x40000] = 2
-    return out
-
-
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every word of UTF-8 texts."""
-    lead = np.flatnonzero(data >= 0xC0)
-    if not len(lead):
-        return X.words(data, offsets, X.NOT_WORD)
-    n = len(data)
-    byte = lambda j: data[np.minimum(lead + j, n - 1)].astype(np.int64)
-    b, b1, b2, b3 = (byte(j) for j in range(4))
-    size = 2 + (b >= 0xE0) + (b >= 0xF0)
-    two, three = (b & 31) << 6 | b1 & 63, (b & 15) << 12 | (b1 & 63) << 6 | b2 & 63
-    four = (b & 7) << 18 | (b1 & 63) << 12 | (b2 & 63) << 6 | b3 & 63
-    code = np.where(size == 2, two, np.where(size == 3, three, four))
-    kind = _kinds()[np.minimum(code, 0x40000)]
-    inside = ~X.NOT_WORD[data]
-    for j in range(4):
-        here = (size > j) & (lead + j < n)
-        inside[lead[here] + j] = kind[here] > 0
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    a = lead[kind == 2]
-    z = np.minimum(a + size[kind == 2], n)
-    cuts = np.concatenate([offsets[1:-1], a, z])
-    cuts = cuts[(cuts > 0) & (cuts < n)]
-    first[cuts] = inside[cuts]
-    last[cuts - 1] = inside[cuts - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return start, end, np.searchsorted(offsets, start, side="right") - 1
-
-
 def tokenise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes with a zero (the pad) after each text, the text of each, and where each text begins."""
     rows = len(offsets) - 1
-    start, end, row = words(data, offsets)
+    start, end, row = X.unicode_words(data, offsets)
     h = X.span_hashes(X.prefix_sums(data), start, end) | np.uint64(1)
     n = np.bincount(row, minlength=rows)
     out = np.zeros(len(h) + rows, np.uint64)

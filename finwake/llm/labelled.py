@@ -5,41 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TRAIN_CHARS = 200_000  # longer texts are scored like all others but not used for fitting
-
-
 def remainder(key: Column, parts: int = 5) -> Column:
     """crc32 of the id's text modulo ``parts``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def training_sample(
-    documents: DataFrame, labels: DataFrame, label: str, per_class: int, key: str = "doc_id", text: str = "text", held: int = 0
-) -> list[tuple[int, int, str]]:
-    """At most ``per_class`` labelled texts of each class as (fold, label, text), outside fold ``held``.
+def training_rows(
+    documents: DataFrame, labels: DataFrame, label: str, per_class: int | None, key: str = "doc_id", text: str = "text", held: int = 0
+) -> DataFrame:
+    """Labelled texts as (_k, f, _y, _text), f being the fold, outside fold ``held``; with ``per_class`` at most so many ids a class.
 
-    The sample is the same at every size and partitioning: rows are taken in the order of a
-    hash of their id. Only the sampled ids (at most twice ``per_class``) are broadcast.
+    The choice is the same at every size and partitioning: ids are taken in the order of their
+    hash. Of conflicting labels of an id the larger one counts; null ids and other labels than 0
+    and 1 do not. Repeated ids give a row each; ``one_per_id`` keeps one of what is made of them.
+    Only bounded choices are broadcast, and texts stay on the executors.
     """
     known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
     known = known.filter("_k is not null and _y in (0, 1)").groupBy("_k").agg(F.max("_y").alias("_y"))
     known = known.filter(remainder(F.col("_k")) != held)
-    picked = None
-    for y in (0, 1):
-        part = known.filter(F.col("_y") == y).orderBy(F.xxhash64("_k", F.lit(7)), "_k").limit(per_class)
-        picked = part if picked is None else picked.unionByName(part)
+    if per_class is not None:
+        parts = [known.filter(F.col("_y") == y).orderBy(F.xxhash64("_k", F.lit(7)), "_k").limit(per_class) for y in (0, 1)]
+        known = F.broadcast(parts[0].unionByName(parts[1]))
     body = documents.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    body = body.filter(F.char_length("_text") <= MAX_TRAIN_CHARS)
-    rows = body.join(F.broadcast(picked), "_k").select("_k", remainder(F.col("_k")).alias("f"), "_y", "_text")
-    table = rows.toArrow()
-    # a repeated id must not count twice, and the order must not depend on partitioning
-    ids = table.column("_k").to_pylist()
-    seen, out = {}, []
-    for k, f, y, t in zip(ids, table.column("f").to_pylist(), table.column("_y").to_pylist(), table.column("_text").to_pylist()):
-        seen[k] = min(seen.get(k, (f, y, t)), (f, y, t))
-    for k in sorted(seen):
-        out.append(seen[k])
-    return out
+    return body.join(known, "_k").select("_k", remainder(F.col("_k")).cast("int").alias("f"), "_y", "_text")
+
+
+def one_per_id(rows: list[tuple]) -> list[tuple]:
+    """Of (id, ...) rows the least of each id, in the order of the ids: independent of partitioning."""
+    least: dict = {}
+    for r in rows:
+        least[r[0]] = min(least.get(r[0], r), r)
+    return [least[k] for k in sorted(least)]
 
 
 def logistic_fit(x, y, l2: float = 1.0, rounds: int = 30, weight=None):

@@ -25,13 +25,12 @@ rows are members of one node; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finwake.llm import textops as X
@@ -138,11 +137,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Large-star links every larger neighbour to the smallest of the neighbourhood, small-star
     every smaller one; both reduce with a minimum and a join, so no neighbourhood is gathered.
-    The loop ends when a round changes nothing.
+    The loop ends when a round changes nothing, however many rounds that takes (their number
+    grows with the logarithm of the longest chain).
     """
     e = materialise(edges.select("a", "b"), f"{name}-0")
-    before = None
-    for turn in range(1, 60):
+    before, turn = None, 0
+    while True:
+        turn += 1
         both = e.select(F.col("a").alias("u"), F.col("b").alias("w")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("w")))
         low = both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m"))
         large = both.filter("w > u").join(low, "u").filter("w <> m").select(F.col("m").alias("a"), F.col("w").alias("b")).distinct()
@@ -170,249 +171,3 @@ def near_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", r
     return marked.join(labels, "_fp").select(
         F.col("_id").alias(key), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-# ------------------------------------------------- similar texts beyond the contract's radius
-SIMILARITY = 0.8
-SHINGLE = 5
-SAMPLE = 32  # one document of so many tells which shingles are common
-COMMON = 1_000_000
-SIGN = 1024
-TURNS = 5
-MANY = 2  # pairs left a shingle row, above which ends are compared again
-
-
-def _rows_of(column) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, word hashes) of every text that has words; A-Z are lower-cased."""
-    for a, b, data, offsets in X.slices(column):
-        data = X.lower_ascii(data)
-        start, end, row = X.words(data, offsets)
-        h = X.span_hashes(X.prefix_sums(data), start, end)
-        cuts = np.searchsorted(row, np.arange(b - a + 1))
-        for r in range(b - a):
-            if cuts[r] < cuts[r + 1]:
-                yield a + r, h[cuts[r] : cuts[r + 1]]
-
-
-def shingles_of(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """The sorted different runs of ``size`` words, as 64-bit hashes (fewer words: the whole)."""
-    k = min(size, len(h))
-    s = np.zeros(len(h) - k + 1, np.uint64)
-    for j in range(k):
-        s = X.mix(s * np.uint64(31) + h[j : len(h) - k + 1 + j])
-    return np.unique(s)
-
-
-def common_shingles(documents: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that many documents hold, and how many of a sample do; at most ``COMMON``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, h in _rows_of(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(h).view(np.int64))], ["s"])
-
-    sample = documents.filter(F.pmod(F.xxhash64(key), F.lit(SAMPLE)) == 0).select(text)
-    counts = materialise(sample.mapInArrow(run, "s bigint").groupBy("s").agg(F.count("*").alias("n")).filter("n > 2"), "simhash-common")
-    # of all occurrences only so many shingles can have this share
-    least = (counts.agg(F.sum("n")).first()[0] or 0) / COMMON
-    table = counts.filter(F.col("n") >= least).toArrow()
-    s, n = table.column("s").to_numpy().astype(np.int64).view(np.uint64), table.column("n").to_numpy()
-    order = np.argsort(s)
-    return s[order], n[order]
-
-
-def prefixes(documents: DataFrame, key: str, text: str, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(_id, at, pos, n): of n different shingles of a text the n - ceil(similarity n) + 1 first ones, the rarest first.
-
-    Two texts with a Jaccard similarity of ``similarity`` share ceil(similarity n) shingles at
-    least, n being the larger number, so in any common order they share one of their first
-    ones. The order only decides how many other texts share it.
-    """
-    kind = documents.schema[key].dataType.simpleString()
-    shared = documents.sparkSession.sparkContext.broadcast(common)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, many = shared.value
-        for batch in batches:
-            at, value, size, waiting = [], [], [], 0
-
-            def out():
-                many = [len(v) for v in value]
-                ids = batch.column(0).take(pa.array(np.repeat(at, many)))
-                place = np.concatenate([np.arange(m, dtype=np.int32) for m in many])
-                arrays = [ids, pa.array(np.concatenate(value).view(np.int64)), pa.array(place), pa.array(np.repeat(np.array(size, np.int32), many))]
-                return pa.RecordBatch.from_arrays(arrays, ["_id", "at", "pos", "n"])
-
-            for r, h in _rows_of(batch.column(1)):
-                s = shingles_of(h)
-                n = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
-                if len(known):
-                    k = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.argsort(np.where(known[k] == s, many[k], 0), kind="stable")]
-                at.append(r), value.append(s[:n]), size.append(len(s))
-                waiting += min(n, len(s))
-                if waiting > 1 << 18:
-                    yield out()
-                    at, value, size, waiting = [], [], [], 0
-            if at:
-                yield out()
-
-    return documents.select(F.col(key).alias("_id"), text).mapInArrow(run, f"_id {kind}, at bigint, pos int, n int")
-
-
-def shingle_sets(documents: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
-    """(_id, _set): the sorted different ``size``-word shingles of each text as packed 64-bit hashes."""
-    kind = documents.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, value = [], []
-            for r, h in _rows_of(batch.column(1)):
-                at.append(r), value.append(shingles_of(h, size).tobytes())
-            ids = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(value, pa.binary())], ["_id", "_set"])
-
-    return documents.select(F.col(key).alias("_id"), text).mapInArrow(run, f"_id {kind}, _set binary")
-
-
-def signatures(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(_id, _sign, n): the parities of how many of a text's n shingles fall on each of ``SIGN`` bits.
-
-    Two signatures differ in no more bits than there are shingles in one text only.
-    """
-    kind = documents.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, value, n = [], [], []
-            for r, h in _rows_of(batch.column(1)):
-                s = shingles_of(h)
-                odd = np.bincount((s % np.uint64(SIGN)).astype(np.int64), minlength=SIGN) & 1
-                at.append(r), value.append(np.packbits(odd.astype(np.uint8)).tobytes()), n.append(len(s))
-            ids = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(value, pa.binary()), pa.array(n, pa.int64())], ["_id", "_sign", "n"])
-
-    return documents.select(F.col(key).alias("_id"), text).mapInArrow(run, f"_id {kind}, _sign binary, n bigint")
-
-
-def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(both / (len(s) + len(t) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
-
-
-def similar_links(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): verified links that connect all documents of this similarity; ids must be unique and not null.
-
-    Candidates share one of their first shingles (``prefixes``), as all pairs of this
-    similarity do; a link needs a Jaccard similarity of 5-word shingles of at least
-    ``similarity``. Every member of a bucket is first compared with two ends of it, which
-    joins large families. Then all pairs of a bucket that are not yet in one component are
-    compared, so each pair is either connected or known to be different. While those are
-    many, and comparing with other ends joins some, ends are compared again.
-    """
-    placed = prefixes(documents, key, text, similarity, common_shingles(documents, key, text)).repartition("at")
-    # all columns, so that the exchange serves both sides of the join
-    row = F.struct("_id", "pos", "n")
-    shared = placed.groupBy("at").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).filter("lo._id <> hi._id").select("at")
-    placed = materialise(placed.join(shared, "at", "left_semi"), "simhash-placed")
-    bound = MANY * placed.count()
-    found, seen, before = None, None, None
-    for turn in range(TURNS):
-        members = _unsettled(placed, None if found is None else components(found, f"simhash-turn{turn}"))
-        if turn:
-            members = materialise(members, "simhash-open")
-            left = members.groupBy("at", "root").agg(F.count("*").cast("double").alias("n")).groupBy("at")
-            left = left.agg(((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)) / 2).alias("n")).agg(F.sum("n")).first()[0] or 0
-            if left <= bound or before is not None and left > before / 2 or turn == TURNS - 1:
-                break
-            before = left
-        pairs = _new_pairs(_with_ends(members, turn), seen, similarity)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        links = verified(documents, pairs, key, text, similarity)
-        found = materialise(links if found is None else found.unionByName(links), "simhash-found")
-    pairs = _new_pairs(_all_pairs(members), seen, similarity)
-    return found.unionByName(verified(documents, pairs, key, text, similarity))
-
-
-def _unsettled(placed: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(at, _id, pos, n, root): the members of the buckets that hold more than one component."""
-    if roots is None:
-        return placed.withColumn("root", F.col("_id"))
-    members = placed.join(roots, F.col("_id") == F.col("node"), "left").select("at", "_id", "pos", "n", F.coalesce("root", "_id").alias("root"))
-    several = members.groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("at")
-    return members.join(several, "at", "left_semi")
-
-
-def _end(name: str, n: str) -> list[Column]:
-    return [F.col(f"{name}.{c}").alias(f"{c}{n}") for c in ("_id", "pos", "n", "root")]
-
-
-def _with_ends(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a member and one of the two ends of its bucket, in another order each turn."""
-    order = F.struct(F.xxhash64("_id", F.lit(turn)) if turn else F.lit(0).cast("bigint"), "_id", "pos", "n", "root")
-    ends = members.groupBy("at").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    pairs = members.join(ends, "at").select(F.struct("_id", "pos", "n", "root").alias("x"), F.explode(F.array("lo", "hi")).alias("y"))
-    return pairs.select(*_end("x", "1"), *_end("y", "2"))
-
-
-def _all_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket in different components; the largest component is not paired with itself."""
-    many = members.groupBy("at", "root").agg(F.count("*").alias("m")).groupBy("at").agg(F.max_by("root", F.struct("m", "root")).alias("big"))
-    members = members.join(many, "at")
-    x = members.filter("root <> big").select("at", F.struct("_id", "pos", "n", "root").alias("x"))
-    y = members.select("at", F.struct("_id", "pos", "n", "root").alias("y"), "big")
-    pairs = x.join(y, "at").filter("x.root <> y.root and (y.root = big or x._id < y._id)")
-    return pairs.select(*_end("x", "1"), *_end("y", "2"))
-
-
-def _new_pairs(pairs: DataFrame, seen: DataFrame | None, similarity: float) -> DataFrame:
-    """(a, b) with a < b of pairs in different components that can be similar and were not compared yet.
-
-    At the first shingle that two texts share, in the common order, they have as many shared
-    ones as shingles are left in either, at most.
-    """
-    least = F.ceil(similarity / (1 + similarity) * (F.col("n1") + F.col("n2")) - 1e-9)
-    pairs = pairs.filter(F.col("root1") != F.col("root2")).filter(F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= least)
-    pairs = pairs.select(F.least("_id1", "_id2").alias("a"), F.greatest("_id1", "_id2").alias("b")).distinct()
-    if seen is not None:
-        pairs = pairs.join(seen, ["a", "b"], "left_anti")
-    return materialise(pairs, "simhash-pairs")
-
-
-def verified(documents: DataFrame, pairs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts are as similar as ``similarity``."""
-    members = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    wanted = documents.join(members, F.col(key) == F.col("_id"), "left_semi")
-    kind = documents.schema[key].dataType.simpleString()
-    signs = materialise(signatures(wanted, key, text), "simhash-signs")
-    left, right = (signs.select(F.col("_id").alias(n), F.col("_sign").alias(f"_{n}"), F.col("n").alias(f"n{n}")) for n in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b", "na", "nb")
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
-                n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-                good = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n * ((1 - similarity) / (1 + similarity)) + 1e-6
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
-
-    pairs = materialise(both.mapInArrow(near, f"a {kind}, b {kind}"), "simhash-near")
-    members = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    wanted = documents.join(members, F.col(key) == F.col("_id"), "left_semi")
-    sets = materialise(shingle_sets(wanted, key, text), "simhash-sets")
-    left, right = (sets.select(F.col("_id").alias(n), F.col("_set").alias(f"_{n}")) for n in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b")
-    checked = both.mapInArrow(_jaccard, f"a {kind}, b {kind}, similarity double")
-    return checked.filter(F.col("similarity") >= similarity).select("a", "b")
-
-
-def similar_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(key, component_id) of every document that is linked to another; ids must be unique."""
-    roots = components(similar_links(documents, key, text, similarity), "simhash-similar")
-    both = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    return both.select(F.col("node").alias(key), F.col("root").alias("component_id"))

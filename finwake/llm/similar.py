@@ -1,0 +1,183 @@
+"""Near copies of whole texts: a Jaccard similarity of five-word shingles of 0.8 or more.
+
+The radius of the covering tables guarantees what differs in a few fingerprint bits; texts
+as dissimilar as 0.8 differ in about ten of 64, which no affordable number of tables
+covers. Their candidates come from minima instead:
+
+1. Sketch: the minima of ``BANDS * WIDTH`` hash functions over a text's shingles. Two texts
+   agree in each minimum with a probability equal to their similarity, so they share one of
+   the ``BANDS`` keys (of ``WIDTH`` minima each) with probability 1 - (1 - s^WIDTH)^BANDS:
+   0.997 at 0.8, 0.0001 at 0.2.
+2. Hubs: in each bucket of texts with the same key the member that meets most others is
+   compared with all others. What it is linked to is settled; the hub leaves the bucket, and
+   while members of different components are left, further hubs follow, twice as many each
+   round. So every pair of a bucket is connected or compared; a family of copies, however
+   large, costs one comparison a member.
+3. Verification: the share of equal minima, then the shingle sets themselves.
+
+Words are runs of letters, marks and digits of any script, in lower case. Texts under five
+words are one shingle; texts without any word are never linked. Ids must be unique and not null.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from finwake.llm import textops as X
+from finwake.llm.simhash import components
+from finwake.llm.store import materialise
+
+SIMILARITY = 0.8
+SHINGLE = 5
+BANDS, WIDTH = 32, 8
+SLACK = 0.12  # the share of 256 equal minima stays within this of the similarity, five standard deviations
+_ODD = X.mix(np.arange(1, BANDS * WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
+
+
+def shingles(column) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted different shingle hashes) of every text that has words."""
+    for a, b, data, offsets in X.slices(column):
+        start, end, row = X.unicode_words(data, offsets)
+        h = X.span_hashes(X.prefix_sums(data), start, end)
+        cuts = np.searchsorted(row, np.arange(b - a + 1))
+        for r in range(b - a):
+            w = h[cuts[r] : cuts[r + 1]]
+            if len(w):
+                k = min(SHINGLE, len(w))
+                s = np.zeros(len(w) - k + 1, np.uint64)
+                for j in range(k):
+                    s = X.mix(s * np.uint64(31) + w[j : len(w) - k + 1 + j])
+                yield a + r, np.unique(s)
+
+
+def minima(s: np.ndarray) -> np.ndarray:
+    """The least 32-bit value of each hash function over the shingles ``s``."""
+    out = np.full(len(_ODD), np.iinfo(np.uint32).max, np.uint32)
+    high = (s >> np.uint64(32)).astype(np.uint32)
+    for lo in range(0, len(s), 128):
+        np.minimum(out, ((high[lo : lo + 128, None] ^ _ODD[::-1]) * _ODD).min(axis=0), out=out)
+    return out
+
+
+def sketches(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(_id, n, sign, keys): number of shingles, one byte of each minimum, and the band keys."""
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, n, least = [], [], []
+            for r, s in shingles(batch.column(1)):
+                at.append(r), n.append(len(s)), least.append(minima(s))
+            if not at:
+                continue
+            m = np.array(least).astype(np.uint64)
+            keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(m), BANDS))
+            for j in range(WIDTH):
+                keys = X.mix(keys * np.uint64(31) + m.reshape(len(m), BANDS, WIDTH)[:, :, j])
+            sign = (X.mix(m) >> np.uint64(56)).astype(np.uint8)
+            flat = pa.array(np.ascontiguousarray(keys).view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat)
+            ids = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array([x.tobytes() for x in sign], pa.binary()), lists], ["_id", "n", "sign", "keys"])
+
+    return documents.select(F.col(key).alias("_id"), F.lower(text)).mapInArrow(run, f"_id {kind}, n int, sign binary, keys array<bigint>")
+
+
+def shingle_sets(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(_id, _set): the sorted different shingles of each text as packed 64-bit hashes."""
+    kind = documents.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, value = [], []
+            for r, s in shingles(batch.column(1)):
+                at.append(r), value.append(s.tobytes())
+            ids = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(value, pa.binary())], ["_id", "_set"])
+
+    return documents.select(F.col(key).alias("_id"), F.lower(text)).mapInArrow(run, f"_id {kind}, _set binary")
+
+
+def _both(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` with the columns of both members as a_<column> and b_<column>."""
+    for side in "ab":
+        pairs = pairs.join(facts.select(F.col("_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+    return pairs.select("a", "b", *[f"{side}_{c}" for c in columns for side in "ab"])
+
+
+def verified(documents: DataFrame, sketch: DataFrame, pairs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose shingle sets are as similar as ``similarity``."""
+    kind = documents.schema[key].dataType.simpleString()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+                good = pa.array((x == y).mean(axis=1) >= similarity - SLACK)
+                yield pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:2]], ["a", "b"])
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                good.append(both >= similarity * (len(s) + len(t) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+
+    sized = _both(pairs, sketch, "n", "sign").filter(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9)
+    close = materialise(sized.select("a", "b", "a_sign", "b_sign").mapInArrow(near, f"a {kind}, b {kind}"), "similar-close")
+    members = close.select(F.col("a").alias("_id")).unionByName(close.select(F.col("b").alias("_id"))).distinct()
+    wanted = documents.join(members, F.col(key) == F.col("_id"), "left_semi")
+    sets = materialise(shingle_sets(wanted, key, text), "similar-sets")
+    return _both(close, sets, "_set").mapInArrow(exact, f"a {kind}, b {kind}")
+
+
+def similar_links(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): verified links that connect all pairs of a bucket that are as similar as ``similarity``."""
+    sketch = materialise(sketches(documents, key, text), "similar-sketch")
+    placed = sketch.select(F.explode("keys").alias("at"), "_id")
+    shared = placed.groupBy("at").agg(F.count("*").alias("m")).filter("m > 1")
+    members = materialise(placed.join(shared, "at"), "similar-placed")
+    # a text that is the middle of a family meets more others than those around it
+    degree = members.groupBy("_id").agg(F.sum("m").alias("degree"))
+    members = materialise(members.select("at", "_id").join(degree, "_id"), "similar-open-0")
+    found = seen = None
+    turn = 0
+    while True:
+        hubs_a_bucket = 1 << max(0, turn - 1)
+        part = F.pmod(F.xxhash64("_id", F.lit(turn)), F.lit(hubs_a_bucket)).alias("part")
+        hubs = members.groupBy("at", part).agg(F.max(F.struct("degree", "_id")).alias("hub")).select("at", F.col("hub._id").alias("hub"))
+        hubs = materialise(hubs, f"similar-hubs-{turn}")
+        pairs = members.join(hubs, "at").filter("_id <> hub").select(F.least("_id", "hub").alias("a"), F.greatest("_id", "hub").alias("b")).distinct()
+        if seen is not None:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, f"similar-pairs-{turn}")
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        links = verified(documents, sketch, pairs, key, text, similarity)
+        found = materialise(links if found is None else found.unionByName(links), f"similar-found-{turn}")
+        rest = members.join(hubs, (members["at"] == hubs["at"]) & (F.col("_id") == F.col("hub")), "left_anti")
+        turn += 1
+        members = _open(rest, components(found, f"similar-turn-{turn}"), turn)
+        if members.isEmpty():
+            return found
+
+
+def _open(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """The members of buckets that still hold more than one component."""
+    rooted = members.join(roots, F.col("_id") == F.col("node"), "left").select("at", "_id", "degree", F.coalesce("root", "_id").alias("root"))
+    rooted = materialise(rooted, f"similar-rooted-{turn}")
+    several = rooted.groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("at")
+    return materialise(rooted.join(several, "at", "left_semi").select("at", "_id", "degree"), f"similar-open-{turn}")
+
+
+def similar_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(key, component_id) of every document that is linked to another."""
+    roots = components(similar_links(documents, key, text, similarity), "similar-groups")
+    both = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return both.select(F.col("node").alias(key), F.col("root").alias("component_id"))

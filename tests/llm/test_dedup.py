@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from llm_cases import ODD, prose
 
-from finwake.llm import exact_dedup, simhash, suffix_dedup
+from finwake.llm import exact_dedup, simhash, similar, suffix_dedup
 from finwake.llm import textops as X
 
 
@@ -126,7 +126,7 @@ def test_similar_groups(frame):
     base = [prose(300, s) for s in range(3)]
     edit = lambda t, k: " ".join(w if j % 150 != k else w + "x" for j, w in enumerate(t.split()))
     rows = [(10 * s + k, edit(base[s], k)) for s in range(3) for k in range(3)] + [(90 + i, prose(200, 70 + i)) for i in range(5)]
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame(rows)).collect()}
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(frame(rows)).collect()}
     assert got == {10 * s + k: 10 * s for s in range(3) for k in range(3)}
 
 
@@ -157,7 +157,7 @@ def test_similar_groups_of_trimmed_and_extended_copies(frame):
         rows += [(10 * s, text), (10 * s + 1, " ".join(w[cut:] if s % 2 else w[:-cut])), (10 * s + 2, text + " " + prose(cut, 600 + s))]
     want = brute_similar(rows)
     assert len(want) == 72
-    assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(rows)).collect()} == want
+    assert {r.doc_id: r.component_id for r in similar.similar_groups(frame(rows)).collect()} == want
 
 
 def test_similar_groups_of_permuted_texts(frame):
@@ -172,7 +172,7 @@ def test_similar_groups_of_permuted_texts(frame):
     rows += [(205, rows[-6][1] + " end")]  # a copy of one in the middle of a bucket of texts that are no copies
     want = brute_similar(rows)
     assert len(want) == 17
-    assert {r.doc_id: r.component_id for r in simhash.similar_groups(frame(rows)).collect()} == want
+    assert {r.doc_id: r.component_id for r in similar.similar_groups(frame(rows)).collect()} == want
 
 
 def brute_repeats(rows):
