@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finwake.llm import decontamination, mixing, quality, sharding, simhash
+from finwake.llm import decontamination, mixing, quality, sharding, simhash, similar
 from finwake.llm.store import materialise, with_rows
 
 ORACLE_SQL = None
@@ -37,13 +37,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Groups are, first, fingerprints linked at two bits (texts without any word share
     fingerprint zero) and then, of what stays, texts whose 5-word shingles have a Jaccard
-    similarity of 0.8 or more, found through their rarest shingles. Rows that share an id,
-    or have none, are decided one by one.
+    similarity of 0.8 or more. Rows that share an id, or have none, are decided one by one.
     """
     columns = docs.columns
     docs = with_rows(docs, "doc_id", "_row", "stage-rows")
     first = materialise(_without(docs, simhash.near_groups(docs.select("_row", "text"), "_row")), "stage-near")
-    return _without(first, simhash.similar_groups(first.select("_row", "text"), "_row")).select(*columns)
+    return _without(first, similar.similar_groups(first.select("_row", "text"), "_row")).select(*columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
