@@ -1,16 +1,19 @@
-"""Benchmark decontamination by edit distance.
+"""Benchmark decontamination by the CGK embedding and bit-sampling LSH.
 
 Texts are lower-cased and cut into words: runs of letters, marks and digits of any script.
 Spaces, punctuation and controls of all of Unicode separate words; in scripts without
 spaces (Chinese, Japanese, Thai and others) every character is a word, and so is a symbol
-such as an emoji.
-Every stretch of a document within the allowed edit distance of an item is found:
-
-1. Segments: an item of n words with at most e = floor(n (1 - similarity)) edits is cut into
-   e + 1 segments. e edits touch at most e of them, so every copy within the limit holds at
-   least one segment word for word, wherever its edits stand: no copy is missed.
-2. Lookup: runs of words of a document are hashed and looked up among the segments (their
-   first ``KEY_WORDS`` words at most). A found segment tells where its item would start.
+such as an emoji. Stretches of a document within the allowed edit distance of an item are
+found in three steps:
+
+1. Embedding: a random walk reads a word at each step and stays or moves on by a random bit
+   of (walk, step, word). Two texts read by the same walk meet again after an edit, so a few
+   edits become few differing steps (Chakraborty, Goldenberg and Koucky).
+2. Bit sampling: each repetition has its own walk and samples a few of its steps; the words
+   read there are the key (``PLANS``, by the item's number of words). Walks begin at every
+   word of a document and of an item (long items: every second), so some begin behind an
+   edit wherever the edits stand. Where the key is equal, the item would start as many words
+   earlier as its walk did.
 3. Exact verification: the smallest edit distance in words between the item and any
    stretch of the document around these places. A hit needs similarity
    1 - edits / words >= ``similarity``.
@@ -19,8 +22,9 @@ Only the benchmark is shared with the tasks, in passes of at most ``MAX_ITEMS``
 bounded total size; documents are never shuffled to find hits.
 
 Edge cases: null counts as empty; items of fewer words than one edit needs (five, at 0.8)
-match word for word only; items without any word match nothing; equal items are separate items; repeated documents each get their
-rows; an empty table on either side gives an empty result.
+match word for word only; items without any word match nothing; equal items are separate
+items; repeated documents each get their rows; other columns are not read; an empty table on
+either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,11 +41,17 @@ from finwake.llm import textops as X
 from finwake.llm.store import free_names, with_rows
 
 SIMILARITY = 0.8
-KEY_WORDS = 8
 MAX_ITEMS = 20_000
 MAX_ITEM_BYTES = 4 << 20
+# Of items with at least so many words: between starts of walks so many words, then the sampled steps of each repetition.
+PLANS = (
+    (64, 2, ((0, 2, 4, 7), (0, 2, 5, 8))),
+    (20, 1, ((0, 2, 4, 7), (0, 3, 5, 8), (0, 2, 5, 8))),
+    (10, 1, ((0, 2, 5), (0, 3, 5), (0, 3, 6), (0, 3, 6))),
+    (5, 1, ((0, 2), (1, 4), (0, 3), (0, 3))),
+)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_FLAG_BITS = 20
+_FLAG_BITS = 22
 
 
 def tokenise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,8 +66,42 @@ def tokenise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, np.repeat(np.arange(rows), n + 1), first
 
 
+def run_hashes(number: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every run of ``k`` word numbers."""
+    n = max(0, len(number) - k + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(k):
+        h = h * _STEP + number[j : j + n].astype(np.uint64)
+    return X.mix(h)
+
+
+def walks(number: np.ndarray, repetition: int, steps: int) -> list[np.ndarray]:
+    """Of each step the words that the walks of one repetition read which begin at every word (at the end: the last one)."""
+    bits = X.mix(number.astype(np.uint64) + np.uint64(1 + repetition) * _STEP).astype(np.uint32)
+    at = np.arange(len(number), dtype=np.int32)
+    out = []
+    for j in range(steps):
+        out.append(at)
+        at = at + (bits.take(at, mode="clip") >> np.uint32(j) & np.uint32(1)).astype(np.int32)
+    return out
+
+
+def sampled(number: np.ndarray, walk: list[np.ndarray], steps: tuple[int, ...]) -> np.ndarray:
+    """The key of each walk: a hash of the words read at ``steps``."""
+    h = np.zeros(len(number), np.uint64)
+    wide = number.astype(np.uint64)
+    for j in steps:
+        h = h * _STEP + wide.take(walk[j], mode="clip")
+    return X.mix(h)
+
+
+def plan_of(words: int) -> int | None:
+    """The index of the plan for an item, or None if it must match word for word."""
+    return next((p for p, (least, _, _) in enumerate(PLANS) if words >= least), None)
+
+
 class Items:
-    """The benchmark, prepared: vocabulary, allowed edits, and the segments by their number of words."""
+    """The benchmark, prepared: vocabulary, allowed edits, and the sorted keys of each plan and repetition."""
 
     def __init__(self, ids: list, texts: list[str], similarity: float):
         lowered = pa.array(texts, pa.large_string())
@@ -71,50 +115,64 @@ class Items:
         self.n = np.array([len(w) for w in self.words], np.int64)
         # at least one word must agree
         self.edits = np.minimum(np.floor(self.n * (1 - similarity) + 1e-9).astype(np.int64), self.n - 1)
+        self.whole, self.keys = {}, {}
         if not len(self.words):
             return
         self.vocabulary = np.unique(np.concatenate(self.words))
         self.numbers = [np.searchsorted(self.vocabulary, w) + 1 for w in self.words]  # 0: in no item
-        found: dict[int, list] = {}
+        whole: dict[int, list] = {}
+        keyed: dict[tuple[int, int], list] = {}
         for i, number in enumerate(self.numbers):
-            n, parts = len(number), int(self.edits[i]) + 1
-            cuts = [j * n // parts for j in range(parts + 1)]
-            runs: dict[int, np.ndarray] = {}
-            for a, b in zip(cuts, cuts[1:]):
-                k = min(b - a, KEY_WORDS)
-                if k not in runs:
-                    runs[k] = run_hashes(number, k)
-                found.setdefault(k, []).append((int(runs[k][a]), i, a))
-        self.segments = {}
-        for k, rows in sorted(found.items()):
-            rows.sort()
-            keys = np.array([r[0] for r in rows], np.uint64)
-            flags = np.zeros(1 << _FLAG_BITS, bool)
-            flags[keys >> np.uint64(64 - _FLAG_BITS)] = True
-            self.segments[k] = (flags, keys, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
-
-
-def run_hashes(number: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every run of ``k`` word numbers."""
-    n = max(0, len(number) - k + 1)
-    h = np.zeros(n, np.uint64)
-    for j in range(k):
-        h = h * _STEP + number[j : j + n].astype(np.uint64)
-    return X.mix(h)
+            n = len(number)
+            plan = plan_of(n)
+            if plan is None or not self.edits[i]:
+                k = min(n, PLANS[-1][0])
+                whole.setdefault(k, []).append((run_hashes(number, k)[:1], np.array([i]), np.array([0])))
+                continue
+            _, stride, repetitions = PLANS[plan]
+            some = False
+            for r, steps in enumerate(repetitions):
+                walk = walks(number, r, max(steps) + 1)
+                start = np.arange(0, n, stride)
+                read = np.array([walk[j][start] for j in steps])
+                # walks that end inside the item and read different places say most
+                good = (read[-1] < n) & (np.diff(read, axis=0) > 0).all(axis=0)
+                if r + 1 == len(repetitions) and not some and not good.any():
+                    good = read[-1] < n
+                some |= good.any()
+                start = start[good]
+                keyed.setdefault((plan, r), []).append((sampled(number, walk, steps)[start], np.full(len(start), i), start))
+        self.whole = {k: self._table(v) for k, v in sorted(whole.items())}
+        self.keys = {k: self._table(v) for k, v in sorted(keyed.items())}
+
+    @staticmethod
+    def _table(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        keys, item, offset = (np.concatenate(x) for x in zip(*rows))
+        order = np.argsort(keys, kind="stable")
+        flags = np.zeros(1 << _FLAG_BITS, bool)
+        flags[keys >> np.uint64(64 - _FLAG_BITS)] = True
+        return flags, keys[order], item[order].astype(np.int64), offset[order].astype(np.int64)
+
+
+def _looked_up(table: tuple[np.ndarray, ...], h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``h``, item, offset of the key in the item) of all equal keys."""
+    flags, keys, of, offset = table
+    at = np.flatnonzero(flags[h >> np.uint64(64 - _FLAG_BITS)])
+    lo, hi = np.searchsorted(keys, h[at], side="left"), np.searchsorted(keys, h[at], side="right")
+    many = hi - lo
+    which = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+    return np.repeat(at, many), of[which], offset[which]
 
 
 def candidates(items: Items, number: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item, text, word where the item would start) of every segment found, in this order and without repeats."""
-    item, text, start = [], [], []
-    for k, (flags, keys, of, offset) in items.segments.items():
-        h = run_hashes(number, k)
-        at = np.flatnonzero(flags[h >> np.uint64(64 - _FLAG_BITS)])
-        lo, hi = np.searchsorted(keys, h[at], side="left"), np.searchsorted(keys, h[at], side="right")
-        many = hi - lo
-        which = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-        at = np.repeat(at, many)
-        item.append(of[which]), text.append(row[at]), start.append(at - offset[which])
-    item, text, start = (np.concatenate(x) for x in (item, text, start))
+    """(item, text, word where the item would start) of every key found, in this order and without repeats."""
+    found = [_looked_up(table, run_hashes(number, k)) for k, table in items.whole.items()]
+    for r in sorted({r for _, r in items.keys}):
+        mine = [(PLANS[p][2][q], table) for (p, q), table in items.keys.items() if q == r]
+        walk = walks(number, r, max(max(steps) for steps, _ in mine) + 1)
+        found += [_looked_up(table, sampled(number, walk, steps)) for steps, table in mine]
+    at, item, offset = (np.concatenate(x) for x in zip(*found))
+    text, start = row[at], at - offset
     order = np.lexsort((start, text, item))
     item, text, start = item[order], text[order], start[order]
     new = np.ones(len(item), bool)

@@ -1,13 +1,16 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters every record into one of many buckets by a seeded hash of its
-content; a bucket holds about ``bucket_bytes``. Pass two takes one bucket at a time
-into memory, puts it in a canonical order, runs Fisher-Yates on it with a generator
-seeded by (seed, bucket) and writes it. Buckets in order form one random permutation
-of all records; shards are equal consecutive cuts of it (law ``rows``: counts differ
-by one at most). Recomputed tasks give the same order, whatever order rows arrive in.
-
-Edge cases: a null text counts as empty (size 1); repeated rows are separate records,
+Pass one scatters every record into one of many buckets by a seeded hash of its key, its
+text and a salt: the number of the record among equal ones of its input partition, with
+that partition's number. So equal records are scattered like all others. The number of
+buckets follows the counted bytes; a bucket holds about ``bucket_bytes`` of text. Pass two
+takes one bucket at a time into memory, puts it in a canonical order, runs Fisher-Yates on
+it with a generator seeded by (seed, bucket) and writes it. Buckets in order form one
+random permutation of all records; shards are equal consecutive cuts of it (law ``rows``:
+counts differ by one at most). Recomputed tasks give the same order, whatever order rows
+arrive in: salts and the canonical order depend on what a partition holds only.
+
+Edge cases: a null text counts as empty (size 1); equal records are separate records,
 their mutual order is immaterial; an empty table gives an empty result; other columns
 are kept, a clash with an added name is an error named up front. One very long text
 makes its bucket larger by its own size.
@@ -24,9 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from finwake.llm.store import estimated_bytes
+from finwake.llm.store import materialise
 
 ADDED = ["shard", "slot", "position"]
+TASKS = 20_000  # more buckets than this share tasks, consecutive ones together; still one in memory at a time
+COARSE = 1024  # buckets whose sizes are added up first
 
 
 def bucket_count(bytes_in: int, bucket_bytes: int) -> int:
@@ -72,33 +77,53 @@ def _permuted(batches: Iterator[pa.RecordBatch], bucket: str, rank: str, seed: i
         yield from flush()
 
 
+def salts(hashes: DataFrame, column: str, salt: str) -> DataFrame:
+    """All columns plus ``salt``: 0, 1, 2, ... for the rows of a partition with equal ``column``."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for batch in batches:
+            out = []
+            for h in batch.column(batch.schema.get_field_index(column)).to_pylist():
+                out.append(n := seen.get(h, 0))
+                seen[h] = n + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, salt])
+
+    return hashes.mapInArrow(number, T.StructType([*hashes.schema, T.StructField(salt, T.LongType())]))
+
+
 def shuffle_into_shards(
     records: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", seed: int = 42, bucket_bytes: int = 24 << 20
 ) -> DataFrame:
     """All columns of ``records`` plus shard, slot (gapless from 0 in its shard) and position.
 
-    ``bucket_bytes`` bounds what pass two holds at once, by the size estimate of the input.
+    ``bucket_bytes`` bounds the text that pass two holds at once.
     """
-    clash = {c.lower() for c in records.columns} & {a.lower() for a in [*ADDED, "_bucket", "_rank"]}
+    clash = {c.lower() for c in records.columns} & {a.lower() for a in [*ADDED, "_bucket", "_rank", "_hash"]}
     if clash:
         raise ValueError(f"columns clash with the result: {sorted(clash)}")
-    # three times the file size stands for the text in memory
-    buckets = bucket_count(3 * estimated_bytes(records, text), bucket_bytes)
-    spread = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(buckets)).cast("int")
-    # equal keys and texts are spread too: rows of one large group of copies have different keys
-    scattered = records.withColumn("_bucket", spread).withColumn("_rank", F.lit(0).cast("bigint"))
-    counts = scattered.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"), F.sum("_n").over(Window.partitionBy()).alias("_all")
-    )
+    total = records.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint") + 64)).first()[0] or 0
+    buckets = bucket_count(total, bucket_bytes)
+    hashed = records.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
+    spread = F.pmod(F.xxhash64("_hash", F.spark_partition_id(), "_rank"), F.lit(buckets)).cast("int")
+    scattered = salts(hashed, "_hash", "_rank").withColumn("_bucket", spread).drop("_hash")
+    tasks = min(buckets, TASKS)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in scattered.schema])
-    placed = (
-        scattered.repartitionById(buckets, F.col("_bucket"))  # one bucket a task: hashing buckets would pile some up
+    shuffled = (
+        scattered.repartitionById(tasks, F.expr(f"cast(cast(_bucket as bigint) * {tasks}L div {buckets}L as int)"))
         .sortWithinPartitions("_bucket", F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
         .mapInArrow(lambda batches: _permuted(batches, "_bucket", "_rank", seed), schema)
     )
-    # one row per bucket: a few hundred a GB of text, far below the rows themselves
+    placed = materialise(shuffled, "shuffled")  # pass two writes each bucket; sizes are counted from what was written
+    counts = placed.groupBy("_bucket").agg(F.count("*").alias("_n")).withColumn("_coarse", F.expr(f"_bucket div {COARSE}"))
+    before = lambda order: Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    # sums over groups of buckets first: one row a thousand buckets meets in one place
+    groups = counts.groupBy("_coarse").agg(F.sum("_n").alias("_m"))
+    groups = groups.select("_coarse", F.coalesce(F.sum("_m").over(before("_coarse")), F.lit(0)).alias("_base"), F.sum("_m").over(Window.partitionBy()).alias("_all"))
+    inner = Window.partitionBy("_coarse").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_in", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(groups, "_coarse")
+    offsets = offsets.select("_bucket", (F.col("_base") + F.col("_in")).alias("_at"), "_all")
+    # one row per bucket, far below the rows themselves
     out = placed.join(F.broadcast(offsets), "_bucket") if buckets <= 100_000 else placed.join(offsets, "_bucket")
     position = F.col("_at") + F.col("_rank")
     # integer arithmetic: shard s starts at ceil(s * all / n)

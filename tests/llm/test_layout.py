@@ -44,6 +44,15 @@ def test_shards_do_not_depend_on_partitions(frame):
         sharding.shuffle_into_shards(docs.withColumn("Shard", F.lit(1)))
 
 
+def test_copies_are_scattered_like_other_rows(frame):
+    docs = frame([(5, "copy")] * 1000 + [(i, prose(4, i)) for i in range(100, 1100)]).repartition(4)
+    got = sharding.shuffle_into_shards(docs, 8, bucket_bytes=1 << 12).collect()
+    n = Counter(r["shard"] for r in got if r.doc_id == 5)
+    assert sum((n[s] - 125) ** 2 / 125 for s in range(8)) < 24.3  # chi-square, 7 degrees of freedom, 0.999
+    place = np.array([r.position for r in got if r.doc_id == 5])
+    assert len({r.position for r in got}) == 2000 and abs(place.mean() - 1000) < 60
+
+
 def test_fisher_yates_is_uniform():
     seen = Counter(tuple(sharding.fisher_yates(4, 1, b).tolist()) for b in range(12_000))
     assert len(seen) == 24 and all(abs(n - 500) < 120 for n in seen.values())

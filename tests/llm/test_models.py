@@ -13,6 +13,7 @@ from llm_cases import ODD, prose
 from pyspark.sql import functions as F
 
 from finwake.llm import decontamination, html_text, lm_scoring, quality, toxicity
+from finwake.llm import textops as X
 
 SF = "/root/testdata/sf0.1"
 
@@ -195,6 +196,25 @@ def test_decontamination_of_edits_in_one_place(spark, frame, where):
     assert hits == {(d, d % 100) for d, _ in rows}
 
 
+@pytest.mark.parametrize("n", [5, 10, 20, 40, 100, 400])
+@pytest.mark.parametrize("short", [False, True])
+def test_recall_of_the_sampled_walks(n, short):
+    """Copies at 20 % edits, by dynamic programming within the limit: candidates must hold 0.9 of them wherever the edits stand."""
+    for where in ("random", "spaced", "head", "middle", "tail"):
+        texts = [prose(n, 1000 + k) for k in range(40)]
+        items = decontamination.Items(list(range(40 + short)), texts + [prose(5, 99)] * short, 0.8)
+        copies = []
+        for k, t in enumerate(texts):
+            r, w = random.Random(k), t.split()
+            e = n // 5
+            at = {"random": r.sample(range(n), e), "spaced": [int((j + 0.5) * n / e) for j in range(e)], "head": range(e), "middle": range(n // 2 - e // 2, n // 2 - e // 2 + e), "tail": range(n - e, n)}[where]
+            for j in sorted(at, reverse=True):
+                w[j : j + 1] = [[f"new{j}"], [], [w[j], f"new{j}"]][r.randrange(3) if where in ("random", "spaced") else 0]
+            copies.append(prose(15, k + 1) + " " + " ".join(w) + " " + prose(15, k + 2))
+        hits = {(row, item) for row, item, *_ in decontamination.matches(items, pa.array(copies))}
+        assert sum((k, k) in hits for k in range(40)) >= 38, where
+
+
 def test_decontamination_in_scripts_without_spaces_and_of_short_items(spark, frame):
     r = random.Random(8)
     han = "".join(chr(r.randrange(0x4E00, 0x5E00)) for _ in range(60))
@@ -218,7 +238,7 @@ def test_words_of_many_scripts():
     texts = ["ab é日本x", "", "語", "a\u3000b\u2019c", "😀😀a", "\U00020000z", "日", "ß"]
     raw = [t.encode() for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
-    start, end, row = decontamination.words(data, np.cumsum([0] + [len(x) for x in raw]))
+    start, end, row = X.unicode_words(data, np.cumsum([0] + [len(x) for x in raw]))
     got = [(int(k), bytes(data[a:b]).decode()) for a, b, k in zip(start, end, row)]
     want = [["ab", "é", "日", "本", "x"], [], ["語"], ["a", "b", "c"], ["😀", "😀", "a"], ["\U00020000", "z"], ["日"], ["ß"]]
     assert got == [(k, w) for k, ws in enumerate(want) for w in ws]
