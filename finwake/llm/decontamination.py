@@ -77,7 +77,8 @@ def run_hashes(number: np.ndarray, k: int) -> np.ndarray:
 
 def walks(number: np.ndarray, repetition: int, steps: int) -> list[np.ndarray]:
     """Of each step the words that the walks of one repetition read which begin at every word (at the end: the last one)."""
-    bits = X.mix(number.astype(np.uint64) + np.uint64(1 + repetition) * _STEP).astype(np.uint32)
+    seed = np.uint64((1 + repetition) * int(_STEP) % (1 << 64))
+    bits = X.mix(number.astype(np.uint64) + seed).astype(np.uint32)
     at = np.arange(len(number), dtype=np.int32)
     out = []
     for j in range(steps):
