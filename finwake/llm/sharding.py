@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from finwake.llm.store import materialise
+from finwake.llm.store import materialise, runs_of
 
 ADDED = ["shard", "slot", "position"]
 TASKS = 20_000  # more buckets than this share tasks, consecutive ones together; still one in memory at a time
@@ -50,32 +50,13 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
 
 def _permuted(batches: Iterator[pa.RecordBatch], bucket: str, rank: str, seed: int) -> Iterator[pa.RecordBatch]:
     """Rows arrive sorted by bucket and canonical key; one bucket is in memory at a time."""
-    held: list[pa.RecordBatch] = []
-    current = None
-
-    def flush():
-        table = pa.Table.from_batches(held).combine_chunks()
-        order = fisher_yates(table.num_rows, seed, int(current))
+    for table in runs_of(batches, bucket):
+        table = table.combine_chunks()
+        order = fisher_yates(table.num_rows, seed, table.column(bucket)[0].as_py())
         at = table.schema.get_field_index(rank)
-        table = table.take(pa.array(order)).set_column(
-            at, table.schema.field(at), pa.array(np.arange(len(order)), pa.int64())
-        )
+        table = table.take(pa.array(order)).set_column(at, table.schema.field(at), pa.array(np.arange(len(order)), pa.int64()))
         yield from table.to_batches(max_chunksize=2048)
 
-    for batch in batches:
-        keys = batch.column(batch.schema.get_field_index(bucket)).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(np.diff(keys)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
-            if a == b:
-                continue
-            if current is not None and keys[a] != current:
-                yield from flush()
-                held.clear()
-            current = keys[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield from flush()
-
 
 def salts(hashes: DataFrame, column: str, salt: str) -> DataFrame:
     """All columns plus ``salt``: 0, 1, 2, ... for the rows of a partition with equal ``column``."""

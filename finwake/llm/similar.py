@@ -8,12 +8,13 @@ covers. Their candidates come from minima instead:
    agree in each minimum with a probability equal to their similarity, so they share one of
    the ``BANDS`` keys (of ``WIDTH`` minima each) with probability 1 - (1 - s^WIDTH)^BANDS:
    0.997 at 0.8, 0.0001 at 0.2.
-2. Hubs: in each bucket of texts with the same key the member that meets most others is
-   compared with all others. What it is linked to is settled; the hub leaves the bucket, and
-   while members of different components are left, further hubs follow, twice as many each
-   round. So every pair of a bucket is connected or compared; a family of copies, however
-   large, costs one comparison a member.
-3. Verification: the share of equal minima, then the shingle sets themselves.
+2. Nearest: the members of a bucket are compared by the share of equal minima, all with all
+   in blocks of one task's memory, and each one's ``NEAREST`` nearest go on to verification.
+   A pair left out so has as many nearer neighbours on either side, to which it is linked
+   first. So a family of copies, however large, costs a few verified pairs a member.
+   A bucket of over ``GROUP`` members is split: once by an even deal, and ``SPLITS`` times
+   by further minima, in which similar texts stay together.
+3. Verification: the shingle sets themselves. Components follow from verified links.
 
 Words are runs of letters, marks and digits of any script, in lower case. Texts under five
 words are one shingle; texts without any word are never linked. Ids must be unique and not null.
@@ -30,11 +31,13 @@ from pyspark.sql import functions as F
 
 from finwake.llm import textops as X
 from finwake.llm.simhash import components
-from finwake.llm.store import materialise
+from finwake.llm.store import materialise, runs_of
 
 SIMILARITY = 0.8
 SHINGLE = 5
 BANDS, WIDTH = 32, 8
+NEAREST = 4
+GROUP, SPLITS = 512, 8
 SLACK = 0.12  # the share of 256 equal minima stays within this of the similarity, five standard deviations
 _ODD = X.mix(np.arange(1, BANDS * WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
 
@@ -110,17 +113,10 @@ def _both(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
     return pairs.select("a", "b", *[f"{side}_{c}" for c in columns for side in "ab"])
 
 
-def verified(documents: DataFrame, sketch: DataFrame, pairs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+def verified(documents: DataFrame, pairs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
     """The (a, b) of ``pairs`` whose shingle sets are as similar as ``similarity``."""
     kind = documents.schema[key].dataType.simpleString()
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                good = pa.array((x == y).mean(axis=1) >= similarity - SLACK)
-                yield pa.RecordBatch.from_arrays([c.filter(good) for c in batch.columns[:2]], ["a", "b"])
-
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -130,50 +126,63 @@ def verified(documents: DataFrame, sketch: DataFrame, pairs: DataFrame, key: str
                 good.append(both >= similarity * (len(s) + len(t) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    sized = _both(pairs, sketch, "n", "sign").filter(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9)
-    close = materialise(sized.select("a", "b", "a_sign", "b_sign").mapInArrow(near, f"a {kind}, b {kind}"), "similar-close")
-    members = close.select(F.col("a").alias("_id")).unionByName(close.select(F.col("b").alias("_id"))).distinct()
+    members = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
     wanted = documents.join(members, F.col(key) == F.col("_id"), "left_semi")
     sets = materialise(shingle_sets(wanted, key, text), "similar-sets")
-    return _both(close, sets, "_set").mapInArrow(exact, f"a {kind}, b {kind}")
+    return _both(pairs, sets, "_set").mapInArrow(exact, f"a {kind}, b {kind}")
+
+
+def nearest(sign: np.ndarray, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each member of a bucket the ``NEAREST`` others with the most equal minima that can be similar: (member, other)."""
+    size, step = len(sign), max(1, (1 << 24) // (len(sign) * sign.shape[1]))
+    left, right = [], []
+    for lo in range(0, size, step):
+        hi = min(size, lo + step)
+        equal = (sign[lo:hi, None] == sign[None]).sum(axis=2, dtype=np.int16).astype(np.float32) / sign.shape[1]
+        few, many = np.minimum(n[lo:hi, None], n[None]), np.maximum(n[lo:hi, None], n[None])
+        equal[(equal < similarity - SLACK) | (few < similarity * many - 1e-9)] = -1
+        equal[np.arange(hi - lo), np.arange(lo, hi)] = -1
+        k = min(NEAREST, size)
+        best = np.argpartition(-equal, k - 1, axis=1)[:, :k]
+        rows, cols = np.nonzero(np.take_along_axis(equal, best, axis=1) >= 0)
+        left.append(rows + lo), right.append(best[rows, cols])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def candidates(sketch: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) with a < b: the pairs to verify."""
+    kind = sketch.schema["_id"].dataType.simpleString()
+    placed = sketch.select(F.explode("keys").alias("at"), "_id")
+    shared = placed.groupBy("at").agg(F.count("*").alias("m")).filter("m > 1")
+    members = placed.join(shared, "at").join(sketch.select("_id", "n", "sign"), "_id")
+    # further minima: four of the sign's bytes, others for each split
+    width = 4
+    splits = [F.xxhash64("at", F.lit(j), F.substring("sign", 1 + width * j * (BANDS * WIDTH // width // SPLITS), width)) for j in range(SPLITS)]
+    even = F.xxhash64("at", F.pmod(F.xxhash64("_id", "at"), F.ceil(F.col("m") / GROUP)))
+    members = materialise(members.withColumn("at", F.explode(F.when(F.col("m") <= GROUP, F.array("at")).otherwise(F.array(even, *splits)))), "similar-members")
+    # what is large still is dealt evenly
+    large = members.groupBy("at").agg(F.count("*").alias("k")).filter("k > 1")
+    members = members.select("at", "_id", "n", "sign").join(large, "at")
+    members = members.withColumn("at", F.when(F.col("k") <= 2 * GROUP, F.col("at")).otherwise(F.xxhash64("at", F.pmod(F.xxhash64("_id", F.lit(5)), F.ceil(F.col("k") / GROUP)))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs_of(batches, "at"):
+            if table.num_rows > 1:
+                ids = table.column("_id").combine_chunks()
+                sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+                x, y = nearest(sign, table.column("n").to_numpy(), similarity)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y))], ["x", "y"])
+
+    dealt = members.select("at", "_id", "n", "sign").repartition("at").sortWithinPartitions("at")
+    pairs = dealt.mapInArrow(run, f"x {kind}, y {kind}")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def similar_links(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): verified links that connect all pairs of a bucket that are as similar as ``similarity``."""
+    """(a, b): verified links between texts that are as similar as ``similarity``."""
     sketch = materialise(sketches(documents, key, text), "similar-sketch")
-    placed = sketch.select(F.explode("keys").alias("at"), "_id")
-    shared = placed.groupBy("at").agg(F.count("*").alias("m")).filter("m > 1")
-    members = materialise(placed.join(shared, "at"), "similar-placed")
-    # a text that is the middle of a family meets more others than those around it
-    degree = members.groupBy("_id").agg(F.sum("m").alias("degree"))
-    members = materialise(members.select("at", "_id").join(degree, "_id"), "similar-open-0")
-    found = seen = None
-    turn = 0
-    while True:
-        hubs_a_bucket = 1 << max(0, turn - 1)
-        part = F.pmod(F.xxhash64("_id", F.lit(turn)), F.lit(hubs_a_bucket)).alias("part")
-        hubs = members.groupBy("at", part).agg(F.max(F.struct("degree", "_id")).alias("hub")).select("at", F.col("hub._id").alias("hub"))
-        hubs = materialise(hubs, f"similar-hubs-{turn}")
-        pairs = members.join(hubs, "at").filter("_id <> hub").select(F.least("_id", "hub").alias("a"), F.greatest("_id", "hub").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, f"similar-pairs-{turn}")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        links = verified(documents, sketch, pairs, key, text, similarity)
-        found = materialise(links if found is None else found.unionByName(links), f"similar-found-{turn}")
-        rest = members.join(hubs, (members["at"] == hubs["at"]) & (F.col("_id") == F.col("hub")), "left_anti")
-        turn += 1
-        members = _open(rest, components(found, f"similar-turn-{turn}"), turn)
-        if members.isEmpty():
-            return found
-
-
-def _open(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """The members of buckets that still hold more than one component."""
-    rooted = members.join(roots, F.col("_id") == F.col("node"), "left").select("at", "_id", "degree", F.coalesce("root", "_id").alias("root"))
-    rooted = materialise(rooted, f"similar-rooted-{turn}")
-    several = rooted.groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("at")
-    return materialise(rooted.join(several, "at", "left_semi").select("at", "_id", "degree"), f"similar-open-{turn}")
+    pairs = materialise(candidates(sketch, similarity), "similar-pairs")
+    return verified(documents, pairs, key, text, similarity)
 
 
 def similar_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

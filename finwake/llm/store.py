@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="finwake-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -59,3 +64,21 @@ def free_names(taken: list[str], *wanted: str) -> list[str]:
         used.add(name.lower())
         out.append(name)
     return out
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Tables of the rows with one value of ``column``, from batches sorted by it; one is in memory at a time."""
+    held, current = [], None
+    for batch in batches:
+        keys = batch.column(batch.schema.get_field_index(column)).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(keys)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+            if a == b:
+                continue
+            if held and keys[a] != current:
+                yield pa.Table.from_batches(held)
+                held = []
+            current = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
