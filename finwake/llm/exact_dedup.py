@@ -9,15 +9,17 @@
    grouped by the whole normalised text. All others are alone and need no comparison.
 
 The row that stays is the one with most code points in its original text, then the
-smallest id. Groups are reduced before any shuffle (partial aggregation), so a group
-with a third of all rows sends one row per task.
+smallest id, then (of rows alike in both) the first one written. Groups are reduced before
+any shuffle (partial aggregation), so a group with a third of all rows sends one row per task.
 
 Edge cases: null text counts as empty, as does a text of white space only; null ids sort
-first; repeated rows form one group; an empty table gives an empty result.
+first; repeated rows and ids form one group of which exactly one row is kept; other columns
+are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from finwake.llm.store import materialise
 
-QUOTIENT_BITS = 8  # high bits that deal runs to merge tasks; raised for very many partitions
+RANGE_ROWS = 1 << 20  # about so many fingerprints meet in a merge task
 MAX_BROADCAST_ROWS = 20_000  # proven by a count before any broadcast
 
 
@@ -75,7 +77,7 @@ def partition_filters(fingerprints: DataFrame, column: str, bits: int) -> DataFr
     return fingerprints.select(column).mapInArrow(build, "quotient bigint, remainders binary, counts binary")
 
 
-def repeated_fingerprints(fingerprints: DataFrame, column: str, bits: int = QUOTIENT_BITS) -> DataFrame:
+def repeated_fingerprints(fingerprints: DataFrame, column: str, bits: int) -> DataFrame:
     """Fingerprints that occur more than once, with their counts: (fingerprint, copies)."""
 
     def merge(table: pa.Table) -> pa.Table:
@@ -90,6 +92,11 @@ def repeated_fingerprints(fingerprints: DataFrame, column: str, bits: int = QUOT
     return filters.groupBy("quotient").applyInArrow(merge, "fingerprint bigint, copies bigint")
 
 
+def quotient_bits(rows: int) -> int:
+    """High bits that deal runs to merge tasks: as many quotients as ranges of ``RANGE_ROWS`` rows, 256 at least."""
+    return max(8, math.ceil(math.log2(max(1, rows) / RANGE_ROWS)))
+
+
 def exact_groups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, keep_id, group_size, kept, text_sha256, fingerprint_copies (1: never compared)."""
     body = normalised(F.col(text))
@@ -98,28 +105,26 @@ def exact_groups(documents: DataFrame, key: str = "doc_id", text: str = "text")
         F.xxhash64(body).alias("_fp"),
         F.sha2(body, 256).alias("_sha"),
         F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("_len"),
+        F.monotonically_increasing_id().alias("_row"),  # written, so it stays what it is
     )
     facts = materialise(facts, "exact-facts")
-    repeated = materialise(repeated_fingerprints(facts, "_fp"), "exact-repeated")
+    repeated = materialise(repeated_fingerprints(facts, "_fp", quotient_bits(facts.count())), "exact-repeated")
     small = repeated.count() <= MAX_BROADCAST_ROWS
-    marks = F.broadcast(repeated) if small else repeated
+    marks = (F.broadcast(repeated) if small else repeated).withColumnRenamed("fingerprint", "_fp")
     # byte verification: only texts with a repeated fingerprint, grouped by their bytes
-    suspects = documents.select(F.xxhash64(body).alias("_fp"), body.alias("_body"), F.col(key).alias("_id"), F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("_len"))
-    suspects = suspects.join(marks.select(F.col("fingerprint").alias("_fp")), "_fp", "left_semi")
-    best = F.min(F.struct((-F.col("_len")).alias("n"), F.col("_id").alias("id")))
-    groups = suspects.groupBy("_fp", F.sha2("_body", 256).alias("_sha"), "_body").agg(F.count("*").alias("group_size"), best.alias("best"))
-    groups = groups.select("_fp", "_sha", "group_size", F.col("best.id").alias("keep_id"), (-F.col("best.n")).alias("keep_len"))
-    return _labelled(facts, groups, repeated, key, small)
-
-
-def _labelled(facts: DataFrame, groups: DataFrame, repeated: DataFrame, key: str, small: bool) -> DataFrame:
-    groups = groups.join(repeated.withColumnRenamed("fingerprint", "_fp"), "_fp")
+    suspects = documents.select(F.xxhash64(body).alias("_fp"), body.alias("_body"))
+    suspects = suspects.join(marks.select("_fp"), "_fp", "left_semi")
+    groups = suspects.groupBy("_fp", F.sha2("_body", 256).alias("_sha"), "_body").agg(F.count("*").alias("group_size"))
+    best = F.min(F.struct((-F.col("_len")).alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row")))
+    stays = facts.join(marks, "_fp").groupBy("_fp", "_sha").agg(best.alias("best"), F.first("copies").alias("copies"))
+    groups = groups.drop("_body").join(stays, ["_fp", "_sha"])
     out = facts.join(F.broadcast(groups) if small else groups, ["_fp", "_sha"], "left")
+    alone = F.col("group_size").isNull()
     return out.select(
         F.col("_id").alias(key),
-        F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(alone, F.col("_id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
-        F.when(F.col("group_size").isNull(), True).otherwise(F.col("_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        (alone | (F.col("_row") == F.col("best.row"))).alias("kept"),
         F.col("_sha").alias("text_sha256"),
         F.coalesce("copies", F.lit(1)).cast("bigint").alias("fingerprint_copies"),
     )
@@ -129,5 +134,6 @@ ORACLE_SQL = r"""WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body, length(coalesce(text, '')) AS len FROM documents),
 g AS (
   SELECT doc_id, sha256(body) AS text_sha256, count(*) OVER (PARTITION BY body) AS group_size,
+    row_number() OVER (PARTITION BY body ORDER BY len DESC, doc_id) = 1 AS kept,
     first_value(doc_id) OVER (PARTITION BY body ORDER BY len DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS fingerprint_copies FROM n)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256, fingerprint_copies FROM g"""
+SELECT doc_id, keep_id, group_size, kept, text_sha256, fingerprint_copies FROM g"""

@@ -33,20 +33,20 @@ def test_quotient_filters_merge_losslessly():
 def brute_groups(rows):
     body = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
     groups = defaultdict(list)
-    for i, t in rows:
-        groups[body(t)].append((-len(t or ""), i is not None, i, i))
+    for k, (i, t) in enumerate(rows):
+        groups[body(t)].append((-len(t or ""), i is not None, i or 0, k))
     out = []
-    for i, t in rows:
+    for k, (i, t) in enumerate(rows):
         g = groups[body(t)]
-        keep = min((n, has, x or 0, x) for n, has, x, _ in g)[3]
-        out.append((i, keep, len(g), i == keep, hashlib.sha256(body(t).encode()).hexdigest()))
+        out.append((i, rows[min(g)[3]][0], len(g), min(g)[3] == k, hashlib.sha256(body(t).encode()).hexdigest()))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("rows", [ODD, [(i, prose(5, i % 4) + " " * (i % 3)) for i in range(40)], []])
+@pytest.mark.parametrize("rows", [ODD, [(i, prose(5, i % 4) + " " * (i % 3)) for i in range(40)], [(7, "ab"), (7, "a  b"), (8, "ab"), (9, "x"), (9, "x")], []])
 def test_exact_groups(frame, rows):
     got = exact_dedup.exact_groups(frame(rows)).collect()
     assert sorted([(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got], key=str) == brute_groups(rows)
+    assert exact_dedup.quotient_bits(0) == 8 and exact_dedup.quotient_bits(1 << 34) == 14
 
 
 def brute_fingerprint(text):
