@@ -1,25 +1,33 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores by a weighted backoff automaton of order three.
 
-Model: a bigram model with Dirichlet smoothing,
+Model: Jelinek-Mercer smoothing, the weight of the backoff following the count of the history,
 
-    P(w)     = (c(w) + 0.5) / (N + 0.5 (V + 1))
-    P(w | v) = (c(v w) + m P(w)) / (c(v) + m)
+    P(w)       = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    P(w | v)   = (1 - b2(c(v))) c(v w) / c(v) + b2(c(v)) P(w)
+    P(w | u v) = (1 - b3(c(u v))) c(u v w) / c(u v) + b3(c(u v)) P(w | v)
 
-As an automaton, each word is a state. State v has an arc for every w seen after it,
-with weight log10 P(w | v), and a failure arc with weight log10(m / (c(v) + m)) to the
-root, whose arcs carry log10 P(w). Each text is one left-to-right traversal: it carries
-the state and adds up arc weights, from the start state (the end token) to the end token.
+b_k(c) = d c^(a - 1): a history seen c times has about c^a different successors (Heaps), so
+this is the share of new ones. d comes from the counts of counts of order k, a from the
+number of different n-grams and the histogram of their histories' counts, both over all
+training documents; nothing is tuned.
+
+Automaton: the root, every training word and every training pair are states. State u v has an
+arc for every w seen after it, with weight log10 P(w | u v), and a failure arc with weight
+log10 b3(c(u v)) to state v, whose own leads with log10 b2(c(v)) to the root. Each text is one
+left-to-right traversal from the start (the end token): at a state without an arc for the next
+word failure arcs are followed, adding their weights, then the arc found; the state after it
+is the longest seen suffix, a pair, a word or the root.
 
 The model grows with the corpus and is never whole in one place. Texts are dealt into
-blocks by a hash. A block lists its different words and word pairs once, with its
-training counts, packed into sorted runs by hash range. One task per range merges the
-runs of all blocks (adding counts) and answers each block with the corpus counts of what
-it asked for, in the order asked. So a block receives exactly the part of the automaton
-that its texts can reach, and traverses all of them at once.
+blocks by a hash, equal ones too (salted). A block lists its different words, pairs and
+triples once, with its training counts, packed into sorted runs by hash range (64-bit keys).
+One task per range merges the runs of all blocks (adding counts) and answers each block with
+the corpus counts of what it asked for, in the order asked. So a block receives exactly the
+part of the automaton that its texts can reach, and traverses all of them at once.
 
 Edge cases: null counts as empty; an empty text is the end token alone; unseen words get
-P with c = 0; repeated rows count each; an empty table gives an empty result; without
-training rows N = V = 0 and every word is unseen.
+P with c = 0; repeated rows count each; other columns are not read; an empty table gives an
+empty result; without training rows N = V = 0 and every word is unseen.
 """
 
 from __future__ import annotations
@@ -34,12 +42,13 @@ from pyspark.sql import functions as F
 
 from finwake.llm import textops as X
 from finwake.llm.labelled import remainder
-from finwake.llm.store import estimated_bytes
+from finwake.llm.store import materialise, runs_of, salts, text_bytes
 
 END = np.uint64(0x5EED0F7E57E4D000)
 HELD = 1  # the remainder that is kept out of training
-STRENGTH = 1000.0  # m, the weight of the backoff; chosen on held-out texts
-BLOCK_BYTES = 12 << 20  # of input files
+BLOCK_BYTES = 12 << 20
+ORDERS = ("w", "p", "t")  # words, pairs, triples
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def range_bits(blocks: int) -> int:
@@ -66,13 +75,21 @@ def text_tokens(column) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hs), np.concatenate(rs)
 
 
-def pair_hashes(tokens: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Hash of (previous token, token); the first token of a text follows END. Top 48 bits, for packing."""
+def grams(tokens: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first of its text, hashes of the token, of it with the one before, of it with the two before).
+
+    The first token of a text follows END; a text's first token has no triple (its hash is that of the pair).
+    """
+    first = np.ones(len(tokens), bool)
+    first[1:] = row[1:] != row[:-1]
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
-    if len(tokens):
-        before[np.concatenate([[True], row[1:] != row[:-1]])] = END
-    return X.mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens) >> np.uint64(16)
+    before[first] = END
+    pairs = X.mix(before * _STEP + tokens)
+    history = np.empty_like(pairs)
+    history[1:] = pairs[:-1]
+    triples = np.where(first, pairs, X.mix(history * _STEP + (tokens ^ END)))
+    return first, tokens, pairs, triples
 
 
 def _narrow(counts: np.ndarray) -> bytes:
@@ -116,159 +133,163 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-KINDS = (("w", 64), ("p", 48))
-
-
-def _requests(tokens: np.ndarray, pairs: np.ndarray, train: np.ndarray, range_: int) -> Iterator[tuple[str, int, bytes, bytes]]:
-    """(kind, range, keys, training counts) of one block: every different word and pair it holds."""
-    for (kind, bits), values in zip(KINDS, (tokens, pairs)):
-        keys, at = np.unique(values, return_inverse=True)
-        counts = np.bincount(at[train], minlength=len(keys))
-        part = (keys >> np.uint64(bits - range_)).astype(np.int64)
-        cuts = np.searchsorted(part, np.arange((1 << range_) + 1))
-        for r in range(1 << range_):
+def _requests(keyed: tuple[np.ndarray, ...], first: np.ndarray, train: np.ndarray, bits: int) -> Iterator[tuple[str, int, bytes, bytes]]:
+    """(order, range, keys, training counts) of one block: every different n-gram it holds."""
+    for kind, values in zip(ORDERS, keyed):
+        use = ~first if kind == "t" else np.ones(len(values), bool)
+        keys, at = np.unique(values[use], return_inverse=True)
+        counts = np.bincount(at[train[use]], minlength=len(keys))
+        part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
+        for r in range(1 << bits):
             a, b = cuts[r], cuts[r + 1]
             if a < b:
                 yield kind, r, _pack(keys[a:b]), _narrow(counts[a:b])
 
 
-def _merge(table: pa.Table) -> Iterator[tuple[int, bytes]]:
-    """For one kind and range: add up all blocks' counts, then answer each block in its own order."""
+def _merge(table: pa.Table) -> tuple[list[tuple[int, bytes]], np.ndarray]:
+    """For one order and range: all blocks' counts added up, answered to each block in its own order; and all counts."""
     runs = [_unpack(k) for k in table.column("keys").to_pylist()]
     counts = [_wide(c) for c in table.column("counts").to_pylist()]
     keys, at = np.unique(np.concatenate(runs), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
     edges = np.cumsum([0, *map(len, runs)])
-    for i, block in enumerate(table.column("block").to_pylist()):
-        yield block, _narrow(total[at[edges[i] : edges[i + 1]]])
+    answers = [(block, _squeeze(_narrow(total[at[edges[i] : edges[i + 1]]]))) for i, block in enumerate(table.column("block").to_pylist())]
+    return answers, total
+
+
+def _squeeze(blob: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.compress(blob, 1)
+
+
+def _unsqueeze(blob: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(blob)
+
+
+def histogram(counts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, how many, sum) of positive counts: 1, 2, then powers of two."""
+    counts = counts[counts > 0]
+    bucket = np.where(counts < 3, counts, np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 2)
+    kinds, at = np.unique(bucket, return_inverse=True)
+    n, s = np.bincount(at, minlength=len(kinds)), np.bincount(at, weights=counts, minlength=len(kinds))
+    return [(int(k), int(x), int(y)) for k, x, y in zip(kinds, n, s)]
+
+
+def backoff(order: dict[int, tuple[int, int]], histories: dict[int, tuple[int, int]]) -> tuple[float, float]:
+    """(d, a - 1) of b(c) = d c^(a - 1), from the histograms of an order's counts and of its histories'."""
+    n1, n2 = order.get(1, (0, 0))[0], order.get(2, (0, 0))[0]
+    d = min(max(n1 / max(1, n1 + 2 * n2), 0.05), 0.95)
+    types = sum(n for n, _ in order.values())
+    lo, hi = 0.0, 1.0
+    for _ in range(40):
+        a = (lo + hi) / 2
+        lo, hi = (a, hi) if sum(n * (s / n) ** a for n, s in histories.values()) < types else (lo, a)
+    return d, (lo + hi) / 2 - 1
+
+
+def traverse(first: np.ndarray, counts: tuple[np.ndarray, ...], start: int, n: int, v: int, weights: tuple[tuple[float, float], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """log10 weights that the automaton adds at each token: by the root's arcs alone, and on its way.
+
+    ``counts`` are those of the token, its pair and its triple; ``start`` is that of END.
+    """
+    root = np.log10(counts[0] + 0.5) - math.log10(n + 0.5 * (v + 1))
+    # counts of the states that the token is read in: the word before, and the two words before
+    word, pair = np.empty_like(counts[0]), np.empty_like(counts[1])
+    word[1:], pair[1:] = counts[0][:-1], counts[1][:-1]
+    word[first], pair[first] = start, 0
+    value = root
+    for state, arc, (d, power) in ((word, counts[1], weights[0]), (pair, counts[2], weights[1])):
+        seen = np.maximum(state, 1).astype(float)
+        fail = d * seen**power
+        with_arc = np.log10(np.maximum((1 - fail) * arc / seen, 1e-300) + fail * 10.0**value)
+        # from a state: its arc where there is one, else its failure arc and what follows; the root is no such state
+        value = np.where(state == 0, value, np.where(arc > 0, with_arc, np.log10(fail) + value))
+    return root, value
 
 
 def _blocks(documents: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    block = F.pmod(F.xxhash64(F.lit(11), F.col(key), F.col(text)), F.lit(n)).cast("int")
     train = remainder(F.col(key)) != HELD
-    rows = documents.select(F.col(key).alias("_id"), F.col(text).alias("_text"), train.alias("_train"), block.alias("block"))
-    return rows.repartition(n, "block")
-
-
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """Tables of one block each, from batches sorted by block."""
-    held, current = [], None
-    for batch in batches:
-        keys = batch.column(batch.schema.get_field_index("block")).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(np.diff(keys)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
-            if a == b:
-                continue
-            if current is not None and keys[a] != current:
-                yield int(current), pa.Table.from_batches(held)
-                held = []
-            current = keys[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield int(current), pa.Table.from_batches(held)
-
-
-def training_totals(documents: DataFrame, key: str, text: str, bits: int = 4) -> tuple[int, int]:
-    """(N, V): training tokens and different training tokens. Words travel as packed runs of each task."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, seen, fresh, held = 0, np.zeros(0, np.uint64), [], 0
-        for batch in batches:
-            h, _ = text_tokens(batch.column(0))
-            n += len(h)
-            u = np.unique(h)
-            fresh.append(u)
-            held += len(u)
-            if held > 1 << 21:
-                seen, fresh, held = np.unique(np.concatenate([seen, *fresh])), [], 0
-        seen = np.unique(np.concatenate([seen, *fresh]))
-        if n:
-            part = (seen >> np.uint64(64 - bits)).astype(np.int64)
-            cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
-            for r in range(1 << bits):
-                blob = _pack(seen[cuts[r] : cuts[r + 1]]) if cuts[r] < cuts[r + 1] else None
-                arrays = [pa.array([r], pa.int32()), pa.array([n if r == 0 else 0], pa.int64()), pa.array([blob], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["range", "n", "keys"])
-
-    def distinct(table: pa.Table) -> pa.Table:
-        runs = [_unpack(k) for k in table.column("keys").to_pylist() if k is not None]
-        v = len(np.unique(np.concatenate(runs))) if runs else 0
-        n = sum(table.column("n").to_pylist())
-        return pa.table({"n": pa.array([n], pa.int64()), "v": pa.array([v], pa.int64())})
-
-    train = documents.filter(remainder(F.col(key)) != HELD).select(F.col(text))
-    parts = train.mapInArrow(count, "range int, n bigint, keys binary")
-    row = parts.groupBy("range").applyInArrow(distinct, "n bigint, v bigint").agg(F.sum("n"), F.sum("v")).first()
-    return int(row[0] or 0), int(row[1] or 0)
-
-
-def score_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", strength: float = STRENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    rows = documents.select(F.col(key).alias("_id"), F.col(text).alias("_text"), train.alias("_train"), F.xxhash64(F.lit(11), key, text).alias("_hash"))
+    block = F.pmod(F.xxhash64("_hash", F.spark_partition_id(), "_salt"), F.lit(n)).cast("int")
+    return salts(rows, "_hash", "_salt").withColumn("block", block).drop("_hash", "_salt").repartition(n, "block")
+
+
+def score_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    blocks = max(1, math.ceil(estimated_bytes(documents, text) / block_bytes))
+    blocks = max(1, math.ceil(text_bytes(documents, text) / block_bytes))
     bits = range_bits(blocks)
-    n_train, n_types = training_totals(documents, key, text, bits)
-    log_mass = math.log10(n_train + 0.5 * (n_types + 1))
     dealt = _blocks(documents, key, text, blocks)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, table in _by_block(batches):
+        for table in runs_of(batches, "block"):
             tokens, row = text_tokens(table.column("_text"))
-            train = table.column("_train").to_numpy()[row]
-            for kind, r, keys, counts in _requests(tokens, pair_hashes(tokens, row), train, bits):
+            train = table.column("_train").to_numpy()[row].astype(bool)
+            first, *keyed = grams(tokens, row)
+            block = table.column("block")[0].as_py()
+            for kind, r, keys, counts in _requests(keyed, first, train, bits):
                 arrays = [pa.array([block], pa.int32()), pa.array([kind]), pa.array([r], pa.int32()), pa.array([keys], pa.binary()), pa.array([counts], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["block", "kind", "range", "keys", "counts"])
 
     def merge(table: pa.Table) -> pa.Table:
-        kind, r = table.column("kind")[0].as_py(), table.column("range")[0].as_py()
-        got = list(_merge(table))
+        got, total = _merge(table)
+        found = histogram(total)
+        pad = [None] * len(found)
         return pa.table(
             {
-                "block": pa.array([b for b, _ in got], pa.int32()),
-                "kind": pa.array([kind] * len(got)),
-                "range": pa.array([r] * len(got), pa.int32()),
-                "counts": pa.array([c for _, c in got], pa.binary()),
+                "block": pa.array([b for b, _ in got] + pad, pa.int32()),
+                "kind": pa.array([table.column("kind")[0].as_py()] * (len(got) + len(found))),
+                "range": pa.array([table.column("range")[0].as_py()] * (len(got) + len(found)), pa.int32()),
+                "counts": pa.array([c for _, c in got] + pad, pa.binary()),
+                "bucket": pa.array([None] * len(got) + [x[0] for x in found], pa.int32()),
+                "n": pa.array([None] * len(got) + [x[1] for x in found], pa.int64()),
+                "s": pa.array([None] * len(got) + [x[2] for x in found], pa.int64()),
             }
         )
 
     requests = dealt.sortWithinPartitions("block").mapInArrow(ask, "block int, kind string, range int, keys binary, counts binary")
-    answers = requests.groupBy("kind", "range").applyInArrow(merge, "block int, kind string, range int, counts binary")
-
-    def traverse(left: pa.Table, right: pa.Table) -> pa.Table:
+    answers = requests.groupBy("kind", "range").applyInArrow(merge, "block int, kind string, range int, counts binary, bucket int, n bigint, s bigint")
+    answers = materialise(answers, "lm-answers")
+    table: dict[str, dict[int, tuple[int, int]]] = {kind: {} for kind in ORDERS}
+    for r in answers.filter("block is null").groupBy("kind", "bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():
+        table[r.kind][r.bucket] = (r.n, r.s)  # at most some sixty rows an order
+    n_train, n_types = sum(s for _, s in table["w"].values()), sum(n for n, _ in table["w"].values())
+    weights = (backoff(table["p"], table["w"]), backoff(table["t"], table["p"]))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
         tokens, row = text_tokens(left.column("_text"))
         rows = left.num_rows
-        counts = {}
         replies = sorted(zip(right.column("kind").to_pylist(), right.column("range").to_pylist(), right.column("counts").to_pylist()), key=lambda x: x[:2])
-        for (kind, _), values in zip(KINDS, (tokens, pair_hashes(tokens, row))):
-            keys, at = np.unique(values, return_inverse=True)
-            corpus = np.concatenate([_wide(c) for k, _, c in replies if k == kind]) if len(keys) else np.zeros(0, np.int64)
-            counts[kind] = corpus[at]
-        c_w, c_vw = counts["w"], counts["p"]
-        c_v = np.empty_like(c_w)
-        c_v[1:] = c_w[:-1]
-        first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+        first, *keyed = grams(tokens, row)
+        counts = []
+        for kind, values in zip(ORDERS, keyed):
+            use = np.flatnonzero(~first) if kind == "t" else np.arange(len(values))
+            keys, at = np.unique(values[use], return_inverse=True)
+            corpus = np.concatenate([_wide(_unsqueeze(c)) for k, _, c in replies if k == kind]) if len(keys) else np.zeros(0, np.int64)
+            mine = np.zeros(len(values), np.int64)
+            mine[use] = corpus[at]
+            counts.append(mine)
         # every training text starts after one END, so END's count as a state is its count as a token
-        c_v[first] = c_w[tokens == END][0] if len(row) else 0
-        root = np.log10(c_w + 0.5) - log_mass
-        arc = np.where(
-            c_vw > 0,
-            np.log10((c_vw + strength * 10.0**root) / (c_v + strength)),
-            math.log10(strength) - np.log10(c_v + strength) + root,
-        )
+        start = int(counts[0][tokens == END][0]) if len(tokens) else 0
+        root, value = traverse(first, tuple(counts), start, n_train, n_types, weights)
         total = lambda x: np.bincount(row, weights=x, minlength=rows)
         return pa.table(
             {
                 "_id": left.column("_id"),
                 "held_out": pa.array(~left.column("_train").to_numpy().astype(bool)),
                 "n_tokens": pa.array(np.bincount(row, minlength=rows).astype(np.int64)),
-                "n_known": pa.array(total(c_w > 0).astype(np.int64)),
+                "n_known": pa.array(total(counts[0] > 0).astype(np.int64)),
                 "base_score": pa.array(total(root)),
-                "score": pa.array(total(arc)),
+                "score": pa.array(total(value)),
             }
         )
 
     kind = documents.schema[key].dataType.simpleString()
     schema = f"_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(traverse, schema)
+    scored = dealt.groupBy("block").cogroup(answers.filter("block is not null").select("block", "kind", "range", "counts").groupBy("block")).applyInArrow(score, schema)
     return scored.select(
         F.col("_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score"
     )

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from finwake.llm.store import materialise, runs_of
+from finwake.llm.store import materialise, runs_of, salts, text_bytes
 
 ADDED = ["shard", "slot", "position"]
 TASKS = 20_000  # more buckets than this share tasks, consecutive ones together; still one in memory at a time
@@ -58,21 +58,6 @@ def _permuted(batches: Iterator[pa.RecordBatch], bucket: str, rank: str, seed: i
         yield from table.to_batches(max_chunksize=2048)
 
 
-def salts(hashes: DataFrame, column: str, salt: str) -> DataFrame:
-    """All columns plus ``salt``: 0, 1, 2, ... for the rows of a partition with equal ``column``."""
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
-        for batch in batches:
-            out = []
-            for h in batch.column(batch.schema.get_field_index(column)).to_pylist():
-                out.append(n := seen.get(h, 0))
-                seen[h] = n + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, salt])
-
-    return hashes.mapInArrow(number, T.StructType([*hashes.schema, T.StructField(salt, T.LongType())]))
-
-
 def shuffle_into_shards(
     records: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", seed: int = 42, bucket_bytes: int = 24 << 20
 ) -> DataFrame:
@@ -83,8 +68,7 @@ def shuffle_into_shards(
     clash = {c.lower() for c in records.columns} & {a.lower() for a in [*ADDED, "_bucket", "_rank", "_hash"]}
     if clash:
         raise ValueError(f"columns clash with the result: {sorted(clash)}")
-    total = records.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint") + 64)).first()[0] or 0
-    buckets = bucket_count(total, bucket_bytes)
+    buckets = bucket_count(text_bytes(records, text), bucket_bytes)
     hashed = records.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
     spread = F.pmod(F.xxhash64("_hash", F.spark_partition_id(), "_rank"), F.lit(buckets)).cast("int")
     scattered = salts(hashed, "_hash", "_rank").withColumn("_bucket", spread).drop("_hash")

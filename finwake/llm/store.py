@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,13 +47,9 @@ def with_rows(df: DataFrame, key: str, row: str, name: str) -> DataFrame:
     return materialise(ordered.withColumn(row, F.monotonically_increasing_id()), name)
 
 
-def estimated_bytes(df: DataFrame, text: str) -> int:
-    """Size of the files that ``df`` reads; where a relation has no known size, the bytes of its texts are counted."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
-    if total < 1 << 55:
-        return total
-    return int(df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
+def text_bytes(df: DataFrame, text: str) -> int:
+    """The bytes of all texts, and 64 for each row."""
+    return int(df.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("bigint") + 64)).first()[0] or 0)
 
 
 def free_names(taken: list[str], *wanted: str) -> list[str]:
@@ -82,3 +79,18 @@ def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def salts(hashes: DataFrame, column: str, salt: str) -> DataFrame:
+    """All columns plus ``salt``: 0, 1, 2, ... for the rows of a partition with equal ``column``."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        for batch in batches:
+            out = []
+            for h in batch.column(batch.schema.get_field_index(column)).to_pylist():
+                out.append(n := seen.get(h, 0))
+                seen[h] = n + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, salt])
+
+    return hashes.mapInArrow(number, T.StructType([*hashes.schema, T.StructField(salt, T.LongType())]))

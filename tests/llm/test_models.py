@@ -62,24 +62,41 @@ def test_quality_features_follow_the_text():
 def brute_lm(rows):
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for i, t in rows:
         if not held(i):
-            w = words(t)
-            one.update(w)
-            two.update(zip([None] + w[:-1], w))
-    n, v, m = sum(one.values()), len(one), lm_scoring.STRENGTH
-    p = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+            w = [None] + words(t)
+            one.update(w[1:])
+            two.update(zip(w, w[1:]))
+            three.update(zip(w, w[1:], w[2:]))
+    n, v = sum(one.values()), len(one)
+    bars = [{k: (x, y) for k, x, y in lm_scoring.histogram(np.array(list(c.values()), np.int64))} for c in (one, two, three)]
+    weights = [lm_scoring.backoff(bars[k + 1], bars[k]) for k in (0, 1)]
+    arcs = {(): one} | {1: two, 2: three}
+
+    def step(state, w):
+        """log10 weight from a state, by failure arcs down to the root."""
+        if not state:
+            return math.log10((one[w] + 0.5) / (n + 0.5 * (v + 1)))
+        seen = one[state[0]] if len(state) == 1 else two[state]
+        d, power = weights[len(state) - 1]
+        fail, arc = d * seen**power, arcs[len(state)][(*state, w)]
+        below = step(state[1:] if one[state[-1]] else (), w)
+        return math.log10((1 - fail) * arc / seen + fail * 10**below) if arc else math.log10(fail) + below
+
     out = []
     for i, t in rows:
-        w = words(t)
-        base = sum(math.log10(p(x)) for x in w)
-        score = sum(math.log10((two[a, x] + m * p(x)) / (one[a] + m)) for a, x in zip([None] + w[:-1], w))
+        w, score, state = words(t), 0.0, (None,) if one[None] else ()
+        for k, x in enumerate(w):
+            score += step(state, x)
+            last = (w[k - 1] if k else None, x)
+            state = last if two[last] else (x,) if one[x] else ()
+        base = sum(step((), x) for x in w)
         out.append((i, held(i), len(w), sum(one[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("rows", [ODD, [(i, prose(30 + i, i % 9)) for i in range(60)], []])
+@pytest.mark.parametrize("rows", [ODD, [(i, prose(30 + i, i % 9)) for i in range(60)], [(i, prose(40, i) + " " + prose(20, i % 5)) for i in range(40)], [(2, "a b")] * 9, []])
 def test_language_model(frame, rows):
     got = lm_scoring.score_texts(frame(rows), block_bytes=1000).collect()
     assert sorted([(*tuple(r)[:5], round(r.base_score, 6), round(r.score, 6)) for r in got], key=str) == brute_lm(rows)
