@@ -144,13 +144,13 @@ def _requests(keyed: tuple[np.ndarray, ...], first: np.ndarray, train: np.ndarra
         for r in range(1 << bits):
             a, b = cuts[r], cuts[r + 1]
             if a < b:
-                yield kind, r, _pack(keys[a:b]), _narrow(counts[a:b])
+                yield kind, r, _pack(keys[a:b]), _squeeze(_narrow(counts[a:b]))
 
 
 def _merge(table: pa.Table) -> tuple[list[tuple[int, bytes]], np.ndarray]:
     """For one order and range: all blocks' counts added up, answered to each block in its own order; and all counts."""
     runs = [_unpack(k) for k in table.column("keys").to_pylist()]
-    counts = [_wide(c) for c in table.column("counts").to_pylist()]
+    counts = [_wide(_unsqueeze(c)) for c in table.column("counts").to_pylist()]
     keys, at = np.unique(np.concatenate(runs), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
     edges = np.cumsum([0, *map(len, runs)])
@@ -215,7 +215,26 @@ def _blocks(documents: DataFrame, key: str, text: str, n: int) -> DataFrame:
     train = remainder(F.col(key)) != HELD
     rows = documents.select(F.col(key).alias("_id"), F.col(text).alias("_text"), train.alias("_train"), F.xxhash64(F.lit(11), key, text).alias("_hash"))
     block = F.pmod(F.xxhash64("_hash", F.spark_partition_id(), "_salt"), F.lit(n)).cast("int")
-    return salts(rows, "_hash", "_salt").withColumn("block", block).drop("_hash", "_salt").repartition(n, "block")
+    dealt = salts(rows, "_hash", "_salt").withColumn("block", block).select("_id", "_text", "_train", "block")
+    kind = documents.schema[key].dataType.simpleString()
+    packed = dealt.mapInArrow(_packed, f"_id {kind}, _text binary, _train boolean, block int")
+    return packed.repartition(2 * n, "block")  # so that few blocks share a task
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [packer.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), *batch.columns[2:]], batch.schema.names)
+
+
+def _texts(column) -> pa.Array:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(t) for t in column.to_pylist()], pa.large_binary())
 
 
 def score_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -226,7 +245,7 @@ def score_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", b
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches, "block"):
-            tokens, row = text_tokens(table.column("_text"))
+            tokens, row = text_tokens(_texts(table.column("_text")))
             train = table.column("_train").to_numpy()[row].astype(bool)
             first, *keyed = grams(tokens, row)
             block = table.column("block")[0].as_py()
@@ -260,7 +279,7 @@ def score_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", b
     weights = (backoff(table["p"], table["w"]), backoff(table["t"], table["p"]))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        tokens, row = text_tokens(left.column("_text"))
+        tokens, row = text_tokens(_texts(left.column("_text")))
         rows = left.num_rows
         replies = sorted(zip(right.column("kind").to_pylist(), right.column("range").to_pylist(), right.column("counts").to_pylist()), key=lambda x: x[:2])
         first, *keyed = grams(tokens, row)
