@@ -43,11 +43,14 @@ CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu "
     "nav ol p pre section table ul".split()
 )
+DEPTH = 512  # elements nested deeper count as part of the last one, as in browsers
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+# Words that notices, adverts and forms are made of.
+_SAYS = ("cookie", "subscribe", "newsletter", "sign up", "log in", "advert", "sponsored", "privacy", "accept", "read more", "share", "comment", "related", "skip to")
 _SPACE = re.compile(r"[\s\xa0]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -83,6 +86,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], bool]] = []
     parts: list[tuple[str, bool]] = []  # text, in a link
+    facts: list = [None]  # the stack that was last looked at, with what it says
     links = 0
 
     def flush():
@@ -91,9 +95,10 @@ def blocks_of(page: str) -> list[Block]:
             if whole:
                 inner = sum(len(t.strip()) for t, a in parts if a)
                 size = max(1, sum(len(t.strip()) for t, _ in parts))
-                tags = tuple(t for t, _, _ in stack if t not in INLINE)
-                words = tuple(w for t, ws, _ in stack for w in ws)
-                out.append(Block(whole, tags, words, inner / size, any(h for _, _, h in stack)))
+                if facts[0] != stack:
+                    tags = tuple(t for t, _, _ in stack if t not in INLINE)
+                    facts[:] = stack.copy(), tags, tuple(w for _, ws, _ in stack for w in ws), any(h for _, _, h in stack)
+                out.append(Block(whole, facts[1], facts[2], inner / size, facts[3]))
             parts.clear()
 
     def text(raw: str):
@@ -139,11 +144,13 @@ def blocks_of(page: str) -> list[Block]:
                         break
                 if tag == "a":
                     links = sum(t == "a" for t, _, _ in stack)
-            elif not token.endswith("/>"):
-                if tag == "a":
+            elif not token.endswith("/>") and len(stack) < DEPTH:
+                words, hidden = _attributes(token)
+                if tag == "a" and links:
                     stack[:] = [s for s in stack if s[0] != "a"]  # links do not nest
-                stack.append((tag, *_attributes(token)))
-                links = sum(t == "a" for t, _, _ in stack)
+                if tag == "a" or words or hidden:  # other inline elements say nothing
+                    stack.append((tag, words, hidden))
+                links += tag == "a" and not links
             continue
         flush()
         if end:
@@ -168,7 +175,7 @@ def blocks_of(page: str) -> list[Block]:
                         break
                     if stack[k][0] in ("ul", "ol", "dl", "table", "select", "menu"):
                         break
-            if tag not in ("html", "body"):
+            if tag not in ("html", "body") and len(stack) < DEPTH:
                 # a new block ends open inline elements for the layout, but links stay open only inside
                 stack.append((tag, *_attributes(token)))
         links = sum(t == "a" for t, _, _ in stack)
@@ -205,6 +212,7 @@ def block_features(b: Block) -> list[int]:
     """Indices of the block's binary features."""
     t = b.text
     n = len(t)
+    low = t[:400].lower() if n < 400 else ""  # longer blocks are no notices
     words = t.count(" ") + 1
     names = (
         f"len{_bucket(n, (10, 25, 50, 100, 200, 400))}",
@@ -213,6 +221,7 @@ def block_features(b: Block) -> list[int]:
         f"stop{_bucket(sum(t.count(c) for c in '.!?;'), (1, 2, 4))}",
         f"end{t[-1] if t[-1] in '.!?:;,' else ('a' if t[-1].isalpha() else 'o')}",
         f"copy{int('©' in t)}",
+        *[f"says={w}" for w in _SAYS if w in low],
         f"hidden{int(b.hidden)}",
     )
     return [*_context(b.tags, b.words), *[_index(x) for x in names], _index("bias")]
@@ -316,6 +325,7 @@ _BAD = (
     "comment-list discussion reply newsletter subscribe signup login search widget tags pagination pager copyright toolbar modal popup "
     "legal disclaimer user-comments responses"
 ).split()
+_NEUTRAL = "wrap wrapper container row col col-8 inner outer box block left center page site layout root app grid cell panel area".split()
 _GOOD = "content article post entry main story body text page-content post-body article-body entry-content main-content prose".split()
 
 
@@ -371,9 +381,9 @@ class _Pages:
         return " ".join(item() for _ in range(n))
 
     def menu(self) -> str:
-        tag = self.r.choice(("nav", "nav", "div"))
+        tag = self.r.choice(("nav", "nav", "div", "div"))
         names = ["nav", "menu", "navbar", "topnav", "breadcrumb"]
-        return f"<{tag}{self.attr(names, 0.6 if tag == 'nav' else 1)}>{self.links(self.r.randint(2, 8))}</{tag}>"
+        return f"<{tag}{self.attr(names, 0.6 if tag == 'nav' else 0.8)}>{self.links(self.r.randint(2, 8))}</{tag}>"
 
     def header(self) -> str:
         tag = self.r.choice(("header", "header", "div"))
@@ -387,6 +397,21 @@ class _Pages:
         inner = self.r.choice((f"&copy; {self.word()}.example &middot; {self.prose(1)}", f"<p>{self.prose(2)}</p>", self.links(4) + f"<p>&copy; {self.words(1, 5)}</p>"))
         return f"<{tag}{self.attr(names, 0.6 if tag == 'footer' else 1)}>{inner}</{tag}>"
 
+    def hidden(self) -> str:
+        how = self.r.choice(('style="display:none"', "hidden", 'aria-hidden="true"', 'style="visibility: hidden"'))
+        tag = self.r.choice(("div", "p", "section"))
+        inner = self.prose(3) if tag == "p" or self.r.random() < 0.3 else f"<p>{self.prose(3)}</p>"
+        return f"<{tag} {how}>{inner}</{tag}>"
+
+    def spoken(self) -> str:
+        """A notice or form that only its words tell from the text."""
+        r = self.r
+        said = f"{self.words(0, 5)} {r.choice(_SAYS)} {self.words(0, 8)}".strip().capitalize()
+        if r.random() < 0.5:
+            said += f" {r.choice(_SAYS)} {self.words(0, 4)}"
+        button = f"<button>{r.choice(_SAYS)}</button>" if r.random() < 0.6 else ""
+        return r.choice((f"<div><p>{said}.</p>{button}</div>", f"<div>{said}.{button}</div>", f"<p>{said}</p>{button}", f"<section><p>{said}.</p>{button}</section>"))
+
     def advert(self) -> str:
         names = ["ad", "ads", "advert", "advertisement", "banner", "promo", "sponsored", "ad-slot"]
         tag = self.r.choice(("div", "div", "aside", "section"))
@@ -423,13 +448,17 @@ class _Pages:
     def page(self) -> str:
         r = self.r
         head = f"<!DOCTYPE html><html lang='xx'><head><meta charset='utf-8'><title>{self.words(1, 8)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>"
-        wrap = r.choice(("article", "article", "article", "main", "div", "div", "section", "main+article"))
+        wrap = r.choice(("article", "article", "article", "article", "main", "main", "named", "named", "section", "main+article", "main+article", "neutral", "nested", "none", "none", "cell", "blocks"))
         body = []
         title = f"<h1>{_MARK}{self.words(1, 10).capitalize()}</h1>"
         if r.random() < 0.85:
             body.append(title)
-        body += [self.good() for _ in range(r.randint(1, 12))]
-        for extra, chance in ((self.advert, 0.3), (self.share, 0.25), (self.side, 0.12), (self.form, 0.12), (self.notice, 0.06)):
+        body += [self.good() for _ in range(r.randint(1, 3 if r.random() < 0.15 else 12))]
+        if wrap == "blocks":
+            body = [f"<div>{_MARK}{self.prose()}</div>" for _ in body]
+        if wrap == "none" and r.random() < 0.3:
+            body = [f"<p>{_MARK}{self.words(1, 6)}</p>"]
+        for extra, chance in ((self.hidden, 0.25), (self.advert, 0.3), (self.share, 0.25), (self.side, 0.12), (self.form, 0.12), (self.notice, 0.06)):
             if r.random() < chance:
                 body.insert(r.randint(0, len(body)), extra())
         if r.random() < 0.2:
@@ -437,10 +466,23 @@ class _Pages:
         text = "".join(body)
         if wrap == "main+article":
             text = f"<main><article{self.attr(_GOOD, 0.3)}>{text}</article></main>"
-        else:
+        elif wrap in ("neutral", "nested"):
+            for _ in range(1 if wrap == "neutral" else r.randint(2, 4)):
+                text = f"<div{self.attr(_NEUTRAL, 0.6)}>{text}</div>"
+        elif wrap == "named":
+            name = r.choice(_GOOD) + r.choice(("", "", r.choice(_GOOD).capitalize(), "-" + r.choice(_GOOD)))
+            text = f"<div {r.choice(('class', 'id'))}='{name}'>{text}</div>"
+        elif wrap == "cell":
+            text = f"<table><tr><td>{self.links(r.randint(2, 6))}</td><td>{text}</td></tr></table>"
+        elif wrap in ("article", "main", "section"):
             text = f"<{wrap}{self.attr(_GOOD, 0.3 if wrap in ('article', 'main') else 0.9)}>{text}</{wrap}>"
-        before = [f() for f, c in ((self.header, 0.6), (self.menu, 0.7), (self.notice, 0.3), (self.advert, 0.4), (self.side, 0.15), (self.form, 0.1)) if r.random() < c]
-        after = [f() for f, c in ((self.share, 0.2), (self.comments, 0.4), (self.side, 0.35), (self.form, 0.25), (self.advert, 0.3), (self.notice, 0.2), (self.footer, 0.8)) if r.random() < c]
+        if r.random() < 0.12:
+            # nothing but the text, with or without a frame
+            return text if r.random() < 0.5 else f"<html><body>{text}</body></html>"
+        if r.random() < 0.04:
+            return _MARK + self.prose(8)
+        before = [f() for f, c in ((self.header, 0.6), (self.menu, 0.7), (self.notice, 0.3), (self.advert, 0.4), (self.side, 0.15), (self.form, 0.1), (self.spoken, 0.15), (self.hidden, 0.06)) if r.random() < c]
+        after = [f() for f, c in ((self.share, 0.2), (self.comments, 0.4), (self.side, 0.35), (self.form, 0.25), (self.advert, 0.3), (self.notice, 0.2), (self.spoken, 0.15), (self.footer, 0.8)) if r.random() < c]
         if r.random() < 0.3:
             before.insert(r.randint(0, len(before)), f"<!-- {self.words(1, 3)} -->")
         whole = "".join(before) + text + "".join(after)
@@ -449,7 +491,7 @@ class _Pages:
         return head + whole + ("</body></html>" if r.random() < 0.9 else "")
 
 
-def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
+def labelled_pages(n: int = 900, seed: int = 11) -> list[tuple[list[Block], list[int]]]:
     """(blocks, labels) of seeded pages."""
     made, out = _Pages(seed), []
     for _ in range(n):
@@ -462,7 +504,7 @@ def labelled_pages(n: int = 500, seed: int = 11) -> list[tuple[list[Block], list
 
 
 @lru_cache(maxsize=4)
-def default_model(pages: int = 500, seed: int = 11) -> ChainCRF:
+def default_model(pages: int = 900, seed: int = 11) -> ChainCRF:
     return train(labelled_pages(pages, seed))
 
 

@@ -287,3 +287,91 @@ def test_unclosed_embedded_elements_hide_nothing(tag):
     texts = [b.text for b in html_text.blocks_of(f"<p>one</p><{tag}><p>two</p><script>var x;</script><p>three</p>")]
     assert texts == ["one", "two", "three"]
     assert [b.text for b in html_text.blocks_of(f"<p>one</p><{tag}>gone</{tag}><p>two</p>")] == ["one", "two"]
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="wrap"><div class="col-8"><p>One long sentence stands here, as it does.</p><p>Two is another one.</p></div></div>', "One long sentence stands here, as it does.\n\nTwo is another one."),
+        ("<p>The first paragraph says a thing.</p><p>The second one says more.</p>", "The first paragraph says a thing.\n\nThe second one says more."),
+        ("<body><p>one paragraph</p></body>", "one paragraph"),
+        ("Just plain text without any tag at all.", "Just plain text without any tag at all."),
+        ('<div id="bodyContent"><p>First par of the text.</p><p>Second par of it, a bit longer.</p></div>', "First par of the text.\n\nSecond par of it, a bit longer."),
+        ('<article><p>Shown text is here.</p><div style="display:none"><p>Hidden text is not.</p></div><p>More shown text.</p></article>', "Shown text is here.\n\nMore shown text."),
+        ("<div><p>We use cookies to improve your visit.</p><button>Accept</button></div><article><h1>T</h1><p>Real text is here.</p></article>", "T\n\nReal text is here."),
+        ('<p>one is here.</p><svg><path d="x"><p>two is here.</p><p>three is here.', "one is here.\n\ntwo is here.\n\nthree is here."),
+        ("<table><tr><td><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></td><td><h1>Title</h1><p>Text of the page is here.</p></td></tr></table>", "Title\n\nText of the page is here."),
+        ("<div>First block of text, which is long enough.</div><div>Second block of text, also long.</div>", "First block of text, which is long enough.\n\nSecond block of text, also long."),
+    ],
+)
+def test_extraction_of_hand_labelled_pages(page, text):
+    assert html_text.main_text(page, html_text.default_model()) == text
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    for page in ("<p>x</p>" + "<span>a <div>b" * 60_000, "<span class=x>a " * 60_000):
+        start = time.perf_counter()
+        assert sum(len(b.text) for b in html_text.blocks_of(page)) > 60_000
+        assert time.perf_counter() - start < 20  # some four seconds on an idle machine
+
+
+def brute_kneser_ney(pairs):
+    """log P_1/P_0 by plain dictionaries: pairs[c] counts documents of class c by (v, w)."""
+
+    def cuts(values):
+        n = [max(1, sum(x == k for x in values)) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [0.0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), 0.95 * k) for k in (1, 2, 3)]
+
+    words = {""} | {w for c in pairs for _, w in c}
+    both = pairs[0] + pairs[1]
+
+    def lower(count, base):
+        seen = Counter(w for (_, w), n in count.items() if n)
+        d, total = cuts(list(seen.values()) + [0] * (len(words) - len(seen))), sum(seen.values())
+        free = sum(d[min(n, 3)] for n in seen.values()) / total
+        return {w: (seen[w] - d[min(seen[w], 3)]) / total + free * base[w] for w in words}
+
+    types = Counter(w for _, w in both)
+    even = {w: (types[w] + toxicity.ADDITIVE) / (sum(types.values()) + toxicity.ADDITIVE * len(words)) for w in words}
+
+    def higher(count, back):
+        d, total, free = cuts([count[p] for p in both]), Counter(), Counter()
+        for (v, _), n in count.items():
+            total[v] += n
+            free[v] += d[min(n, 3)]
+
+        def p(v, w):
+            if not total[v]:
+                return back(v, w)
+            return (count[v, w] - d[min(count[v, w], 3)]) / total[v] + free[v] / total[v] * back(v, w)
+
+        return p
+
+    shared = higher(both, lambda v, w: even[w])
+    base = [lower(pairs[c], even) for c in (0, 1)]
+    p = [higher(pairs[c], lambda v, w, c=c: base[c][w] / 2 + shared(v, w) / 2) for c in (0, 1)]
+    return lambda v, w: (math.log(base[1][w] / base[0][w]), math.log(p[1](v, w) / p[0](v, w)))
+
+
+def test_kneser_ney_against_dictionaries():
+    texts = [[prose(60, 10 * c + k).lower() for k in range(8)] for c in (0, 1)]
+    pairs, hashes = [Counter(), Counter()], {}
+    for c in (0, 1):
+        for t in texts[c]:
+            w = re.findall("[a-z0-9]+", t)
+            h, before, _ = toxicity.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+            assert len(h) == len(w)
+            for a, b, x, y in zip([""] + w, w, before, h):
+                hashes[a], hashes[b] = x, y
+            pairs[c].update(set(zip([""] + w, w)))
+    every = sorted(pairs[0] | pairs[1])
+    v, w = (np.array([hashes[p[k]] for p in every], np.uint64) for k in (0, 1))
+    model = toxicity._opened(toxicity.fit_pair(v, w, np.array([[c[p] for p in every] for c in pairs], float)))
+    want = brute_kneser_ney(pairs)
+    new = [(a, b) for a, _ in every[:20] for _, b in every[-20:]]
+    for p in every[::7] + new:
+        one, two = toxicity.ratios(model, np.array([hashes[p[1]]]), np.array([hashes[p[0]]]))
+        assert (one[0], two[0]) == pytest.approx(want(*p), abs=2e-4), p
