@@ -68,16 +68,17 @@ def first_thin_day(tx: DataFrame, share: float = 0.01) -> DataFrame:
 
 
 def segment_metrics(ranked: DataFrame, boundary: str, budgets=(50, 100, 500)) -> DataFrame:
-    """Precision and recall per budget before and from a boundary day."""
-    part = F.when(F.col("day") < F.lit(boundary).cast("date"), "head").otherwise("tail")
-    hit = F.col("rank") <= F.col("budget")
-    r = _per_budget(ranked.withColumn("segment", part), budgets)
-    return r.groupBy("segment", "budget").agg(
-        (F.sum(F.when(hit, F.col("label"))).cast("double") / F.nullif(F.count_if(hit), F.lit(0))).alias("precision"),
-        (F.coalesce(F.sum(F.when(hit, F.col("label"))), F.lit(0)).cast("double") / F.nullif(F.sum("label"), F.lit(0))).alias(
-            "recall"
-        ),
-    )
+    """Precision and recall per budget before and from a boundary day, by one pass of conditional sums."""
+    part = F.when(F.col("day") < F.lit(boundary).cast("date"), "head").otherwise("tail").alias("segment")
+    sums = [F.sum("label").alias("all")]
+    for k in budgets:
+        within = F.col("rank") <= int(k)
+        sums += [F.count_if(within).alias(f"n_{k}"), F.coalesce(F.sum(F.when(within, F.col("label"))), F.lit(0)).alias(f"hit_{k}")]
+    totals = ranked.groupBy(part).agg(*sums)
+    rows = F.array(*[F.struct(F.lit(int(k)).alias("budget"), F.col(f"n_{k}").alias("n"), F.col(f"hit_{k}").alias("hit")) for k in budgets])
+    each = totals.select("segment", "all", F.inline(rows))
+    share = lambda whole: F.col("hit").cast("double") / F.nullif(F.col(whole), F.lit(0))
+    return each.select("segment", "budget", share("n").alias("precision"), share("all").alias("recall"))
 
 
 def _score_groups(scored: DataFrame) -> DataFrame:

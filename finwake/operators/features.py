@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from finwake.functions import scalars as S
 from finwake.operators.events import two_sided
-from finwake.operators.history import BASE, history
+from finwake.operators.history import BASE, history, history_sliced
 
 PASSTHROUGH = ["txn_id", "event_time", "event_date", "sender_id", "receiver_id", "is_laundering"]
 # The order below is the model's input contract.
@@ -70,14 +70,15 @@ def feature_table(tx: DataFrame, exact: bool = True, linear: bool = False) -> Da
     return joined.select(*PASSTHROUGH, *TX_FEATURES, *sides)
 
 
-def feature_table_onepass(tx: DataFrame, exact: bool = True, linear: bool = False) -> DataFrame:
+def feature_table_onepass(tx: DataFrame, exact: bool = True, linear: bool = False, sliced: bool = False) -> DataFrame:
     """The same table for unique txn_id with the history computed once.
 
     Stateless columns ride through the window pass, then the two perspectives
-    meet again in one grouping on txn_id: two exchanges in all, no self join.
+    meet again in one grouping on txn_id: two exchanges in all, no self join. With ``sliced``
+    an account's past is cut into 30-day slices, so that no account is one task.
     """
     wide = stateless(tx, "amount_paid").withColumn("_tx", F.struct(*PASSTHROUGH, *TX_FEATURES))
-    hist = history(two_sided(wide, "_tx"), exact, linear)
+    hist = (history_sliced if sliced else history)(two_sided(wide, "_tx"), exact, linear)
     pick = lambda s, cols: F.max(F.when(F.col("side") == s, F.struct(*cols)))
     paired = hist.groupBy("txn_id").agg(pick("s", ["_tx", "amount_paid", *BASE]).alias("hs"), pick("r", BASE).alias("hr"))
     sides = _sides(F.col("hs.amount_paid"), lambda n: F.col(f"hs.{n}"), lambda n: F.col(f"hr.{n}"))

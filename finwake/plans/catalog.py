@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,8 +132,9 @@ def _hist(tx: DataFrame, **how) -> DataFrame:
 
 def _roundtrip(spark: SparkSession, tx: DataFrame) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    base = base or tempfile.gettempdir()
-    dest = f"{base}/finwake_features_{spark.sparkContext.applicationId}"
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    dest = f"{base or tempfile.gettempdir()}/finwake_features_{uuid.uuid4().hex}"
     return _rounded(read_features(spark, write_features(feature_table_onepass(tx), dest)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -33,6 +35,7 @@ def connect(
     if memory_limit:
         builder = builder.config("spark.driver.memory", memory_limit).config("spark.executor.memory", memory_limit)
     if temp_directory:
+        os.makedirs(temp_directory, exist_ok=True)
         builder = builder.config("spark.local.dir", temp_directory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -27,8 +27,18 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*PASSTHROUGH, *FEATURES)
 
 
-def write_metrics(metrics: dict, path: str) -> str:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w") as out:
-        json.dump(metrics, out, indent=2, default=str)
+def write_metrics(metrics: dict, path: str, spark: SparkSession | None = None) -> str:
+    """One JSON file; with a session it goes through Hadoop's file systems, so any store that Spark writes to will do."""
+    text = json.dumps(metrics, indent=2, default=str)
+    if spark is None:
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        with open(path, "w") as out:
+            out.write(text)
+        return path
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
     return path

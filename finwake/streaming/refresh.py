@@ -1,8 +1,8 @@
 """Micro-batch upkeep of the feature table from a stream of transfers.
 
 Analytic range frames are not available on streaming frames, so each micro-batch
-appends its transfers to a store and recomputes only the dates it touches, with
-the 30-day (and unbounded counterparty) past read from the store.
+appends its transfers to a store and rewrites the dates from its earliest one on. The
+history is computed over the whole store: a pair's recency reaches back without bound.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ def refresh_batch(batch: DataFrame, store: str, dest: str) -> None:
         return
     fresh = normalize(batch)
     first = fresh.agg(F.min("event_date")).first()[0]
+    if first is None:
+        raise ValueError("no transfer of the batch has an event_date")
     fresh.write.mode("append").parquet(store)
     everything = spark.read.schema(SCHEMA).parquet(store).dropDuplicates(["txn_id"])
-    touched = feature_table_onepass(everything).filter(F.col("event_date") >= F.lit(first))
+    touched = feature_table_onepass(everything, linear=True, sliced=True).filter(F.col("event_date") >= F.lit(first))
     write_features(touched, dest, mode="dynamic")
 
 

@@ -164,3 +164,50 @@ def test_run_end_to_end(spark, tmp_path):
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="sender_id"):
         normalize(spark.range(1).withColumnRenamed("id", "txn_id"))
+
+
+def test_sliced_onepass_equals_the_direct_one(spark):
+    from finwake.operators.features import feature_table_onepass
+    from finwake.sources.demo import make_transactions
+
+    tx = make_transactions(spark, 2000).cache()
+    direct, sliced = (sorted(map(str, feature_table_onepass(tx, **how).collect())) for how in ({}, {"linear": True, "sliced": True}))
+    assert direct == sliced
+
+
+def test_command_line_reads_nested_folders(spark, tmp_path):
+    import json
+
+    from finwake.plans import cli
+    from finwake.plans.pipeline import register_views
+    from finwake.sources.demo import make_demo
+
+    make_demo(spark, str(tmp_path / "in/a/b/part.parquet"), 1500)
+    out = tmp_path / "out"
+    metrics = cli.main(["run", "--input", str(tmp_path / "in"), "--recursive", "--cut", "2024-02-01", "--output", str(out), "--trees", "2"])
+    assert metrics["train_rows"] + metrics["test_rows"] == 1500
+    assert json.loads((out / "metrics.json").read_text())["features"] == 32
+    names = register_views(spark, str(tmp_path / "in"), "t_", str(out / "features"), recursive=True)
+    assert names[-1] == "t_features" and spark.table("t_features").count() == 1500
+
+
+def test_stream_and_dynamic_overwrite(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from finwake.operators.features import feature_table_onepass
+    from finwake.sources.demo import make_transactions
+    from finwake.streaming.refresh import refresh_batch
+
+    tx = make_transactions(spark, 1200).cache()
+    early = F.col("event_date") < "2024-01-20"
+    store, dest = str(tmp_path / "store"), str(tmp_path / "features")
+    refresh_batch(tx.filter(early), store, dest)
+    kept = spark.read.parquet(dest).filter("event_date = '2024-01-05'").count()
+    refresh_batch(tx.filter(~early), store, dest)
+    got = spark.read.parquet(dest)
+    want = feature_table_onepass(tx)
+    assert kept == got.filter("event_date = '2024-01-05'").count() > 0
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    with pytest.raises(ValueError, match="event_date"):
+        refresh_batch(tx.withColumn("event_date", F.lit(None).cast("date")), store, dest)
