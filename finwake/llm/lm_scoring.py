@@ -46,7 +46,7 @@ from finwake.llm.store import materialise, runs_of, salts, text_bytes
 
 END = np.uint64(0x5EED0F7E57E4D000)
 HELD = 1  # the remainder that is kept out of training
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 ORDERS = ("w", "p", "t")  # words, pairs, triples
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -283,23 +283,28 @@ def score_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", b
         rows = left.num_rows
         replies = sorted(zip(right.column("kind").to_pylist(), right.column("range").to_pylist(), right.column("counts").to_pylist()), key=lambda x: x[:2])
         first, *keyed = grams(tokens, row)
+        start_at = np.flatnonzero(tokens == END)[:1]
         counts = []
-        for kind, values in zip(ORDERS, keyed):
+        while keyed:  # one order at a time, each freed before the next
+            kind, values = ORDERS[len(counts)], keyed.pop(0)
             use = np.flatnonzero(~first) if kind == "t" else np.arange(len(values))
             keys, at = np.unique(values[use], return_inverse=True)
             corpus = np.concatenate([_wide(_unsqueeze(c)) for k, _, c in replies if k == kind]) if len(keys) else np.zeros(0, np.int64)
             mine = np.zeros(len(values), np.int64)
             mine[use] = corpus[at]
             counts.append(mine)
+            del values, keys, at, corpus, use
         # every training text starts after one END, so END's count as a state is its count as a token
-        start = int(counts[0][tokens == END][0]) if len(tokens) else 0
+        start = int(counts[0][start_at[0]]) if len(start_at) else 0
+        sizes = np.bincount(row, minlength=rows).astype(np.int64)
+        del tokens
         root, value = traverse(first, tuple(counts), start, n_train, n_types, weights)
         total = lambda x: np.bincount(row, weights=x, minlength=rows)
         return pa.table(
             {
                 "_id": left.column("_id"),
                 "held_out": pa.array(~left.column("_train").to_numpy().astype(bool)),
-                "n_tokens": pa.array(np.bincount(row, minlength=rows).astype(np.int64)),
+                "n_tokens": pa.array(sizes),
                 "n_known": pa.array(total(counts[0] > 0).astype(np.int64)),
                 "base_score": pa.array(total(root)),
                 "score": pa.array(total(value)),
