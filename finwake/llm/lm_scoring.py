@@ -18,8 +18,8 @@ left-to-right traversal from the start (the end token): at a state without an ar
 word failure arcs are followed, adding their weights, then the arc found; the state after it
 is the longest seen suffix, a pair, a word or the root.
 
-The model grows with the corpus and is never whole in one place. Texts are dealt into
-blocks by a hash, equal ones too (salted). A block lists its different words, pairs and
+The model grows with the corpus and is never whole in one place. Each task
+packs its texts into blocks, which are written down. A block lists its different words, pairs and
 triples once, with its training counts, packed into sorted runs by hash range (64-bit keys).
 One task per range merges the runs of all blocks (adding counts) and answers each block with
 the corpus counts of what it asked for, in the order asked. So a block receives exactly the
@@ -37,16 +37,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finwake.llm import textops as X
 from finwake.llm.labelled import remainder
-from finwake.llm.store import materialise, runs_of, salts, text_bytes
+from finwake.llm.store import materialise
 
 END = np.uint64(0x5EED0F7E57E4D000)
 HELD = 1  # the remainder that is kept out of training
 BLOCK_BYTES = 6 << 20
+MAX_ROWS = 1 << 18  # of a block, for very short texts
 ORDERS = ("w", "p", "t")  # words, pairs, triples
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -211,47 +213,67 @@ def traverse(first: np.ndarray, counts: tuple[np.ndarray, ...], start: int, n: i
     return root, value
 
 
-def _blocks(documents: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    train = remainder(F.col(key)) != HELD
-    rows = documents.select(F.col(key).alias("_id"), F.col(text).alias("_text"), train.alias("_train"), F.xxhash64(F.lit(11), key, text).alias("_hash"))
-    block = F.pmod(F.xxhash64("_hash", F.spark_partition_id(), "_salt"), F.lit(n)).cast("int")
-    dealt = salts(rows, "_hash", "_salt").withColumn("block", block).select("_id", "_text", "_train", "block")
+def _blocks(documents: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame:
+    """(block, ids, train, packed): runs of a task's rows of about ``block_bytes`` of text as one row each, written down."""
     kind = documents.schema[key].dataType.simpleString()
-    packed = dealt.mapInArrow(_packed, f"_id {kind}, _text binary, _train boolean, block int")
-    return packed.repartition(2 * n, "block")  # so that few blocks share a task
 
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    packer = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        texts = [packer.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), *batch.columns[2:]], batch.schema.names)
-
-
-def _texts(column) -> pa.Array:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        from pyspark import TaskContext
+
+        packer = zstandard.ZstdCompressor(level=3)
+        first, number, parts, held = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def row():
+            ids, train, texts = (pa.concat_arrays([p[k] for p in parts]) for k in range(3))
+            sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+            body = packer.compress(sizes.tobytes() + b"".join(texts.to_pylist()))
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_arrays([pa.array([first + number], pa.int64()), one(ids), one(train), pa.array([body], pa.binary())], ["block", "ids", "train", "packed"])
+
+        for batch in batches:
+            texts = batch.column(2).cast(pa.large_string()).fill_null("").cast(pa.large_binary())
+            ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+            a = 0
+            while a < batch.num_rows:
+                start = int(ends[a - 1]) if a else 0
+                b = min(batch.num_rows, max(a + 1, int(np.searchsorted(ends, start + block_bytes - held))))
+                parts.append((batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), texts.slice(a, b - a)))
+                held += int(ends[b - 1]) - start
+                a = b
+                if held >= block_bytes or sum(len(p[0]) for p in parts) >= MAX_ROWS:
+                    yield row()
+                    parts, held, number = [], 0, number + 1
+        if parts:
+            yield row()
+
+    rows = documents.select(F.col(key).alias("_id"), (remainder(F.col(key)) != HELD).alias("_train"), F.col(text).alias("_text"))
+    return materialise(rows.mapInArrow(pack, f"block bigint, ids array<{kind}>, train array<boolean>, packed binary"), "lm-blocks")
+
+
+def _unpacked(packed: bytes, rows: int) -> pa.Array:
+    """The texts of a block."""
     import zstandard
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    return pa.array([unpack(t) for t in column.to_pylist()], pa.large_binary())
+    body = zstandard.ZstdDecompressor().decompress(packed)
+    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(body, np.int64, rows))])
+    return pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(body).slice(8 * rows)])
 
 
 def score_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    blocks = max(1, math.ceil(text_bytes(documents, text) / block_bytes))
-    bits = range_bits(blocks)
-    dealt = _blocks(documents, key, text, blocks)
+    blocks = _blocks(documents, key, text, block_bytes)
+    bits = range_bits(blocks.count())
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs_of(batches, "block"):
-            tokens, row = text_tokens(_texts(table.column("_text")))
-            train = table.column("_train").to_numpy()[row].astype(bool)
-            first, *keyed = grams(tokens, row)
-            block = table.column("block")[0].as_py()
-            for kind, r, keys, counts in _requests(keyed, first, train, bits):
-                arrays = [pa.array([block], pa.int32()), pa.array([kind]), pa.array([r], pa.int32()), pa.array([keys], pa.binary()), pa.array([counts], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["block", "kind", "range", "keys", "counts"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                train = batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(bool)
+                tokens, row = text_tokens(_unpacked(batch.column(2)[i].as_py(), len(train)))
+                first, *keyed = grams(tokens, row)
+                for kind, r, keys, counts in _requests(keyed, first, train[row], bits):
+                    arrays = [batch.column(0).slice(i, 1), pa.array([kind]), pa.array([r], pa.int32()), pa.array([keys], pa.binary()), pa.array([counts], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, ["block", "kind", "range", "keys", "counts"])
 
     def merge(table: pa.Table) -> pa.Table:
         got, total = _merge(table)
@@ -259,7 +281,7 @@ def score_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", b
         pad = [None] * len(found)
         return pa.table(
             {
-                "block": pa.array([b for b, _ in got] + pad, pa.int32()),
+                "block": pa.array([b for b, _ in got] + pad, pa.int64()),
                 "kind": pa.array([table.column("kind")[0].as_py()] * (len(got) + len(found))),
                 "range": pa.array([table.column("range")[0].as_py()] * (len(got) + len(found)), pa.int32()),
                 "counts": pa.array([c for _, c in got] + pad, pa.binary()),
@@ -269,8 +291,8 @@ def score_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", b
             }
         )
 
-    requests = dealt.sortWithinPartitions("block").mapInArrow(ask, "block int, kind string, range int, keys binary, counts binary")
-    answers = requests.groupBy("kind", "range").applyInArrow(merge, "block int, kind string, range int, counts binary, bucket int, n bigint, s bigint")
+    requests = blocks.select("block", "train", "packed").mapInArrow(ask, "block bigint, kind string, range int, keys binary, counts binary")
+    answers = requests.groupBy("kind", "range").applyInArrow(merge, "block bigint, kind string, range int, counts binary, bucket int, n bigint, s bigint")
     answers = materialise(answers, "lm-answers")
     table: dict[str, dict[int, tuple[int, int]]] = {kind: {} for kind in ORDERS}
     for r in answers.filter("block is null").groupBy("kind", "bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():
@@ -279,8 +301,9 @@ def score_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", b
     weights = (backoff(table["p"], table["w"]), backoff(table["t"], table["p"]))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        tokens, row = text_tokens(_texts(left.column("_text")))
-        rows = left.num_rows
+        ids, train = (left.column(c).combine_chunks().values for c in ("ids", "train"))
+        rows = len(ids)
+        tokens, row = text_tokens(_unpacked(left.column("packed")[0].as_py(), rows))
         replies = sorted(zip(right.column("kind").to_pylist(), right.column("range").to_pylist(), right.column("counts").to_pylist()), key=lambda x: x[:2])
         first, *keyed = grams(tokens, row)
         start_at = np.flatnonzero(tokens == END)[:1]
@@ -302,8 +325,8 @@ def score_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", b
         total = lambda x: np.bincount(row, weights=x, minlength=rows)
         return pa.table(
             {
-                "_id": left.column("_id"),
-                "held_out": pa.array(~left.column("_train").to_numpy().astype(bool)),
+                "_id": ids,
+                "held_out": pa.array(~train.to_numpy(zero_copy_only=False).astype(bool)),
                 "n_tokens": pa.array(sizes),
                 "n_known": pa.array(total(counts[0] > 0).astype(np.int64)),
                 "base_score": pa.array(total(root)),
@@ -313,7 +336,7 @@ def score_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", b
 
     kind = documents.schema[key].dataType.simpleString()
     schema = f"_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    scored = dealt.groupBy("block").cogroup(answers.filter("block is not null").select("block", "kind", "range", "counts").groupBy("block")).applyInArrow(score, schema)
+    scored = blocks.groupBy("block").cogroup(answers.filter("block is not null").select("block", "kind", "range", "counts").groupBy("block")).applyInArrow(score, schema)
     return scored.select(
         F.col("_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("bigint").alias("train_tokens"), "base_score", "score"
     )
