@@ -47,7 +47,7 @@ from finwake.llm.store import materialise
 
 END = np.uint64(0x5EED0F7E57E4D000)
 HELD = 1  # the remainder that is kept out of training
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 10 << 20
 MAX_ROWS = 1 << 18  # of a block, for very short texts
 ORDERS = ("w", "p", "t")  # words, pairs, triples
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -124,7 +124,7 @@ def _pack(sorted_keys: np.ndarray) -> bytes:
     deltas = np.diff(sorted_keys, prepend=np.uint64(0))
     # byte planes compress far better than whole integers: the high planes are nearly constant
     planes = deltas.view(np.uint8).reshape(-1, 8).T.copy().tobytes()
-    return len(deltas).to_bytes(8, "little") + zstandard.compress(planes, 1)
+    return len(deltas).to_bytes(8, "little") + zstandard.compress(planes, 3)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
@@ -221,7 +221,7 @@ def _blocks(documents: DataFrame, key: str, text: str, block_bytes: int) -> Data
         import zstandard
         from pyspark import TaskContext
 
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=9)
         first, number, parts, held = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def row():
