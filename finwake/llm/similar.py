@@ -10,11 +10,16 @@ covers. Their candidates come from minima instead:
    0.997 at 0.8, 0.0001 at 0.2.
 2. Nearest: the members of a bucket are compared by the share of equal minima, all with all
    in blocks of one task's memory, and each one's ``NEAREST`` nearest go on to verification.
-   A pair left out so has as many nearer neighbours on either side, to which it is linked
-   first. So a family of copies, however large, costs a few verified pairs a member.
+   So a family of copies, however large, costs a few verified pairs a member.
    A bucket of over ``GROUP`` members is split: once by an even deal, and ``SPLITS`` times
    by further minima, in which similar texts stay together.
 3. Verification: the shingle sets themselves. Components follow from verified links.
+4. Rest: pairs inside a component need no verification, all others of a bucket do. So the
+   buckets that hold more than one component are taken whole: their largest component and
+   the other members are dealt into chunks of ``GROUP``, and each chunk of the others meets
+   every chunk of both. A member again names its nearest, of other components only, and
+   ``GROWTH`` times as many a turn until no member has more of them. Nothing is left out then:
+   each pair of a bucket whose minima allow the similarity is in one component or verified.
 
 Words are runs of letters, marks and digits of any script, in lower case. Texts under five
 words are one shingle; texts without any word are never linked. Ids must be unique and not null.
@@ -38,6 +43,7 @@ SHINGLE = 5
 BANDS, WIDTH = 32, 8
 NEAREST = 4
 GROUP, SPLITS = 512, 8
+GROWTH = 8
 SLACK = 0.12  # the share of 256 equal minima stays within this of the similarity, five standard deviations
 _ODD = X.mix(np.arange(1, BANDS * WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
 
@@ -132,29 +138,59 @@ def verified(documents: DataFrame, pairs: DataFrame, key: str, text: str, simila
     return _both(pairs, sets, "_set").mapInArrow(exact, f"a {kind}, b {kind}")
 
 
-def nearest(sign: np.ndarray, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each member of a bucket the ``NEAREST`` others with the most equal minima that can be similar: (member, other)."""
+def nearest(
+    sign: np.ndarray, n: np.ndarray, similarity: float, most: int = NEAREST, root: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(member, other) of a bucket: of each member the ``most`` others with the most equal minima that can be similar.
+
+    With ``root`` only others of another component count. The flag tells whether a member has more of them.
+    """
     size, step = len(sign), max(1, (1 << 24) // (len(sign) * sign.shape[1]))
-    left, right = [], []
+    left, right, more = [], [], False
     for lo in range(0, size, step):
         hi = min(size, lo + step)
         equal = (sign[lo:hi, None] == sign[None]).sum(axis=2, dtype=np.int16).astype(np.float32) / sign.shape[1]
         few, many = np.minimum(n[lo:hi, None], n[None]), np.maximum(n[lo:hi, None], n[None])
         equal[(equal < similarity - SLACK) | (few < similarity * many - 1e-9)] = -1
         equal[np.arange(hi - lo), np.arange(lo, hi)] = -1
-        k = min(NEAREST, size)
+        if root is not None:
+            equal[root[lo:hi, None] == root[None]] = -1
+        k = min(most, size)
+        more |= bool(((equal >= 0).sum(axis=1) > k).any())
         best = np.argpartition(-equal, k - 1, axis=1)[:, :k]
         rows, cols = np.nonzero(np.take_along_axis(equal, best, axis=1) >= 0)
         left.append(rows + lo), right.append(best[rows, cols])
-    return np.concatenate(left), np.concatenate(right)
+    return np.concatenate(left), np.concatenate(right), more
+
 
+def _named(members: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(a, b, more) with a < b from members (at, _id, n, sign and perhaps root), each ``at`` within one task's memory."""
+    kind = members.schema["_id"].dataType.simpleString()
 
-def candidates(sketch: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) with a < b: the pairs to verify."""
-    kind = sketch.schema["_id"].dataType.simpleString()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs_of(batches, "at"):
+            if table.num_rows > 1:
+                ids = table.column("_id").combine_chunks()
+                sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+                root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy() if "root" in table.column_names else None
+                x, y, more = nearest(sign, table.column("n").to_numpy(), similarity, most, root)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(np.full(len(x), more))], ["x", "y", "more"])
+
+    dealt = members.repartition("at").sortWithinPartitions("at")
+    pairs = dealt.mapInArrow(run, f"x {kind}, y {kind}, more boolean")
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("more").alias("more"))
+
+
+def buckets(sketch: DataFrame) -> DataFrame:
+    """(at, _id, m): the members of all buckets of two or more, with the size of the bucket."""
     placed = sketch.select(F.explode("keys").alias("at"), "_id")
     shared = placed.groupBy("at").agg(F.count("*").alias("m")).filter("m > 1")
-    members = placed.join(shared, "at").join(sketch.select("_id", "n", "sign"), "_id")
+    return placed.join(shared, "at").select("at", "_id", "m")
+
+
+def candidates(places: DataFrame, sketch: DataFrame, similarity: float, most: int = NEAREST) -> DataFrame:
+    """(a, b) with a < b: the ``most`` nearest of each member of a bucket, large buckets being split."""
+    members = places.join(sketch.select("_id", "n", "sign"), "_id")
     # further minima: four of the sign's bytes, others for each split
     width = 4
     splits = [F.xxhash64("at", F.lit(j), F.substring("sign", 1 + width * j * (BANDS * WIDTH // width // SPLITS), width)) for j in range(SPLITS)]
@@ -164,29 +200,53 @@ def candidates(sketch: DataFrame, similarity: float) -> DataFrame:
     large = members.groupBy("at").agg(F.count("*").alias("k")).filter("k > 1")
     members = members.select("at", "_id", "n", "sign").join(large, "at")
     members = members.withColumn("at", F.when(F.col("k") <= 2 * GROUP, F.col("at")).otherwise(F.xxhash64("at", F.pmod(F.xxhash64("_id", F.lit(5)), F.ceil(F.col("k") / GROUP)))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs_of(batches, "at"):
-            if table.num_rows > 1:
-                ids = table.column("_id").combine_chunks()
-                sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-                x, y = nearest(sign, table.column("n").to_numpy(), similarity)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y))], ["x", "y"])
-
-    dealt = members.select("at", "_id", "n", "sign").repartition("at").sortWithinPartitions("at")
-    pairs = dealt.mapInArrow(run, f"x {kind}, y {kind}")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def similar_links(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): verified links between texts that are as similar as ``similarity``."""
+    return _named(members.select("at", "_id", "n", "sign"), similarity, most).select("a", "b")
+
+
+def across(places: DataFrame, sketch: DataFrame, roots: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(a, b, more) with a < b: of each member of a bucket its ``most`` nearest of other components."""
+    own = places.join(roots, F.col("_id") == F.col("node"), "left").select("at", "_id", F.coalesce("root", "_id").alias("root"))
+    sizes = own.groupBy("at", "root").agg(F.count("*").alias("k"))
+    shape = sizes.groupBy("at").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("m")).filter("m > top.k")
+    shape = shape.select("at", F.col("top.root").alias("main"), F.ceil(F.col("top.k") / GROUP).alias("mains"), F.ceil((F.col("m") - F.col("top.k")) / GROUP).alias("others"))
+    mixed = own.join(shape, "at").withColumn("_main", F.col("root") == F.col("main"))
+    mixed = mixed.withColumn("c", F.pmod(F.xxhash64("_id", "at"), F.when(F.col("_main"), F.col("mains")).otherwise(F.col("others"))))
+    upto = lambda count: F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)
+    cell = lambda kind, i, j: F.xxhash64("at", F.lit(kind), i, j)
+    beside_main = F.transform(upto("mains"), lambda j: cell(1, F.col("c"), j))
+    beside_others = F.transform(upto("others"), lambda j: cell(2, F.least("c", j), F.greatest("c", j)))
+    cells = F.when(F.col("_main"), F.transform(upto("others"), lambda i: cell(1, i, F.col("c")))).otherwise(F.concat(beside_main, beside_others))
+    placed = mixed.select(F.explode(cells).alias("at"), "_id", "root").join(sketch.select("_id", "n", "sign"), "_id")
+    return _named(placed.select("at", "_id", "n", "sign", "root"), similarity, most)
+
+
+def similar_components(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, most: int = NEAREST
+) -> DataFrame:
+    """(node, root): the smallest id of each component of verified links, for texts that have a link.
+
+    ``most`` is the number of nearest others to begin with; the result does not depend on it.
+    """
     sketch = materialise(sketches(documents, key, text), "similar-sketch")
-    pairs = materialise(candidates(sketch, similarity), "similar-pairs")
-    return verified(documents, pairs, key, text, similarity)
+    places = materialise(buckets(sketch), "similar-buckets")
+    tried = materialise(candidates(places, sketch, similarity, most), "similar-pairs")
+    roots = components(verified(documents, tried, key, text, similarity), "similar-groups")
+    more = True
+    while more:
+        named = materialise(across(places, sketch, roots, similarity, most), "similar-across")
+        more = named.agg(F.max("more")).first()[0]
+        fresh = materialise(named.join(tried, ["a", "b"], "left_anti").select("a", "b"), "similar-fresh")
+        if not fresh.isEmpty():
+            tried = tried.unionByName(fresh)
+            found = materialise(verified(documents, fresh, key, text, similarity), "similar-found")
+            if not found.isEmpty():
+                roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found), "similar-groups")
+        most *= GROWTH
+    return roots
 
 
 def similar_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(key, component_id) of every document that is linked to another."""
-    roots = components(similar_links(documents, key, text, similarity), "similar-groups")
+    roots = similar_components(documents, key, text, similarity)
     both = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     return both.select(F.col("node").alias(key), F.col("root").alias("component_id"))

@@ -175,6 +175,25 @@ def test_similar_groups_of_permuted_texts(frame):
     assert {r.doc_id: r.component_id for r in similar.similar_groups(frame(rows)).collect()} == want
 
 
+@pytest.mark.parametrize("most", [1, 4])
+def test_similar_components_do_not_depend_on_the_nearest(frame, monkeypatch, most):
+    # one large bucket of versions around the threshold: the nearest of many are no links, farther ones are
+    monkeypatch.setattr(similar, "GROUP", 8)
+    r = random.Random(11)
+    rows = []
+    for s, versions in enumerate((40, 25)):
+        w = prose(400, 950 + s).split()
+        for k in range(versions):
+            edits = set(r.sample(range(0, 400, 5), r.choice((4, 6, 8, 9, 10, 12))))
+            rows.append((100 * s + k, " ".join(x + f"v{k}" if j in edits else x for j, x in enumerate(w))))
+    rows += [(300 + i, prose(100, 970 + i)) for i in range(4)]
+    want = brute_similar(rows)
+    assert 10 < len(want) < 65
+    got = similar.similar_components(frame(rows), most=most).collect()
+    roots = {x.node: x.root for x in got} | {x.root: x.root for x in got}
+    assert roots == want
+
+
 def brute_repeats(rows):
     texts = [(t or "").encode() for _, t in rows]
     n = suffix_dedup.LENGTH
