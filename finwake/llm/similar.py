@@ -16,10 +16,11 @@ covers. Their candidates come from minima instead:
 3. Verification: the shingle sets themselves. Components follow from verified links.
 4. Rest: pairs inside a component need no verification, all others of a bucket do. So the
    buckets that hold more than one component are taken whole: their largest component and
-   the other members are dealt into chunks of ``GROUP``, and each chunk of the others meets
-   every chunk of both. A member again names its nearest, of other components only, and
-   ``GROWTH`` times as many a turn until no member has more of them. Nothing is left out then:
-   each pair of a bucket whose minima allow the similarity is in one component or verified.
+   the other members are dealt into chunks, and each chunk of the others meets every chunk
+   of both in a cell of bounded size, to which the members bring their shingle sets. There
+   every pair whose minima allow the similarity is verified, unless its members are connected
+   by then. A cell gives the links that connect its components, so fewer than it has members.
+   Nothing is left out: each such pair of a bucket is in one component or was verified.
 
 Words are runs of letters, marks and digits of any script, in lower case. Texts under five
 words are one shingle; texts without any word are never linked. Ids must be unique and not null.
@@ -43,7 +44,7 @@ SHINGLE = 5
 BANDS, WIDTH = 32, 8
 NEAREST = 4
 GROUP, SPLITS = 512, 8
-GROWTH = 8
+WEIGHT = 1024  # shingles of a text that count as one member of a chunk
 SLACK = 0.12  # the share of 256 equal minima stays within this of the similarity, five standard deviations
 _ODD = X.mix(np.arange(1, BANDS * WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32) | np.uint32(1)
 
@@ -125,11 +126,7 @@ def verified(documents: DataFrame, pairs: DataFrame, key: str, text: str, simila
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(both >= similarity * (len(s) + len(t) - both) - 1e-9)
+            good = [are_similar(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     members = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
@@ -138,47 +135,81 @@ def verified(documents: DataFrame, pairs: DataFrame, key: str, text: str, simila
     return _both(pairs, sets, "_set").mapInArrow(exact, f"a {kind}, b {kind}")
 
 
-def nearest(
-    sign: np.ndarray, n: np.ndarray, similarity: float, most: int = NEAREST, root: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(member, other) of a bucket: of each member the ``most`` others with the most equal minima that can be similar.
-
-    With ``root`` only others of another component count. The flag tells whether a member has more of them.
-    """
+def _equal(sign: np.ndarray, n: np.ndarray, similarity: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(lo, hi, share of equal minima of rows lo to hi with all): -1 where two cannot be similar."""
     size, step = len(sign), max(1, (1 << 24) // (len(sign) * sign.shape[1]))
-    left, right, more = [], [], False
     for lo in range(0, size, step):
         hi = min(size, lo + step)
         equal = (sign[lo:hi, None] == sign[None]).sum(axis=2, dtype=np.int16).astype(np.float32) / sign.shape[1]
         few, many = np.minimum(n[lo:hi, None], n[None]), np.maximum(n[lo:hi, None], n[None])
         equal[(equal < similarity - SLACK) | (few < similarity * many - 1e-9)] = -1
         equal[np.arange(hi - lo), np.arange(lo, hi)] = -1
-        if root is not None:
-            equal[root[lo:hi, None] == root[None]] = -1
-        k = min(most, size)
-        more |= bool(((equal >= 0).sum(axis=1) > k).any())
+        yield lo, hi, equal
+
+
+def nearest(sign: np.ndarray, n: np.ndarray, similarity: float, most: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
+    """Of each member of a bucket the ``most`` others with the most equal minima that can be similar: (member, other)."""
+    left, right = [], []
+    for lo, _, equal in _equal(sign, n, similarity):
+        k = min(most, len(sign))
         best = np.argpartition(-equal, k - 1, axis=1)[:, :k]
         rows, cols = np.nonzero(np.take_along_axis(equal, best, axis=1) >= 0)
         left.append(rows + lo), right.append(best[rows, cols])
-    return np.concatenate(left), np.concatenate(right), more
+    return np.concatenate(left), np.concatenate(right)
+
+
+def are_similar(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether two packed shingle sets have this Jaccard similarity."""
+    s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return both >= similarity * (len(s) + len(t) - both) - 1e-9
+
 
+def connecting(sign: np.ndarray, n: np.ndarray, root: np.ndarray, sets: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Verified pairs that connect the components (numbered by ``root``) of a cell; all other pairs are connected or not similar."""
+    up = list(range(int(root.max()) + 1))
 
-def _named(members: DataFrame, similarity: float, most: int) -> DataFrame:
-    """(a, b, more) with a < b from members (at, _id, n, sign and perhaps root), each ``at`` within one task's memory."""
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    found = []
+    for lo, hi, equal in _equal(sign, n, similarity):
+        equal[(root[lo:hi, None] == root[None]) | (np.arange(lo, hi)[:, None] > np.arange(len(sign)))] = -1
+        rows, cols = np.nonzero(equal >= 0)
+        order = np.argsort(-equal[rows, cols], kind="stable")  # likely links first: they spare others
+        for i, j in zip((rows[order] + lo).tolist(), cols[order].tolist()):
+            a, b = top(int(root[i])), top(int(root[j]))
+            if a != b and are_similar(sets[i], sets[j], similarity):
+                up[b] = a
+                found.append((i, j))
+    return found
+
+
+def _pairs(members: DataFrame, similarity: float, most: int | None) -> DataFrame:
+    """(a, b) with a < b from members (at, _id, n, sign), each ``at`` within one task's memory.
+
+    With ``most`` they are the nearest of each member; else those that connect components (root, _set).
+    """
     kind = members.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches, "at"):
             if table.num_rows > 1:
-                ids = table.column("_id").combine_chunks()
+                ids, n = table.column("_id").combine_chunks(), table.column("n").to_numpy()
                 sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-                root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy() if "root" in table.column_names else None
-                x, y, more = nearest(sign, table.column("n").to_numpy(), similarity, most, root)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(np.full(len(x), more))], ["x", "y", "more"])
+                if most is None:
+                    root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
+                    found = connecting(sign, n, root, table.column("_set").to_pylist(), similarity)
+                    x, y = np.array(found, np.int64).reshape(-1, 2).T
+                else:
+                    x, y = nearest(sign, n, similarity, most)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y))], ["x", "y"])
 
     dealt = members.repartition("at").sortWithinPartitions("at")
-    pairs = dealt.mapInArrow(run, f"x {kind}, y {kind}, more boolean")
-    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("more").alias("more"))
+    return dealt.mapInArrow(run, f"x {kind}, y {kind}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def buckets(sketch: DataFrame) -> DataFrame:
@@ -200,24 +231,31 @@ def candidates(places: DataFrame, sketch: DataFrame, similarity: float, most: in
     large = members.groupBy("at").agg(F.count("*").alias("k")).filter("k > 1")
     members = members.select("at", "_id", "n", "sign").join(large, "at")
     members = members.withColumn("at", F.when(F.col("k") <= 2 * GROUP, F.col("at")).otherwise(F.xxhash64("at", F.pmod(F.xxhash64("_id", F.lit(5)), F.ceil(F.col("k") / GROUP)))))
-    return _named(members.select("at", "_id", "n", "sign"), similarity, most).select("a", "b")
-
-
-def across(places: DataFrame, sketch: DataFrame, roots: DataFrame, similarity: float, most: int) -> DataFrame:
-    """(a, b, more) with a < b: of each member of a bucket its ``most`` nearest of other components."""
-    own = places.join(roots, F.col("_id") == F.col("node"), "left").select("at", "_id", F.coalesce("root", "_id").alias("root"))
-    sizes = own.groupBy("at", "root").agg(F.count("*").alias("k"))
-    shape = sizes.groupBy("at").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("m")).filter("m > top.k")
-    shape = shape.select("at", F.col("top.root").alias("main"), F.ceil(F.col("top.k") / GROUP).alias("mains"), F.ceil((F.col("m") - F.col("top.k")) / GROUP).alias("others"))
-    mixed = own.join(shape, "at").withColumn("_main", F.col("root") == F.col("main"))
-    mixed = mixed.withColumn("c", F.pmod(F.xxhash64("_id", "at"), F.when(F.col("_main"), F.col("mains")).otherwise(F.col("others"))))
+    return _pairs(members.select("at", "_id", "n", "sign"), similarity, most)
+
+
+def rest_links(documents: DataFrame, places: DataFrame, sketch: DataFrame, roots: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """(a, b) with a < b: verified links that connect the different components of each bucket."""
+    own = places.join(roots, F.col("_id") == F.col("node"), "left").join(sketch.select("_id", "n"), "_id")
+    own = own.select("at", "_id", F.coalesce("root", "_id").alias("root"), (F.col("n") / WEIGHT + 1).alias("w"))
+    sizes = own.groupBy("at", "root").agg(F.sum("w").alias("w"))
+    shape = sizes.groupBy("at").agg(F.max(F.struct("w", "root")).alias("top"), F.sum("w").alias("all"), F.count("*").alias("k")).filter("k > 1")
+    chunks = lambda weight: F.greatest(F.ceil(weight / GROUP), F.lit(1))
+    shape = shape.select("at", F.col("top.root").alias("main"), chunks(F.col("top.w")).alias("mains"), chunks(F.col("all") - F.col("top.w")).alias("others"))
+    mixed = own.join(shape, "at").withColumn("is_main", F.col("root") == F.col("main"))
+    mixed = mixed.withColumn("c", F.pmod(F.xxhash64("_id", "at"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))))
     upto = lambda count: F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)
     cell = lambda kind, i, j: F.xxhash64("at", F.lit(kind), i, j)
     beside_main = F.transform(upto("mains"), lambda j: cell(1, F.col("c"), j))
     beside_others = F.transform(upto("others"), lambda j: cell(2, F.least("c", j), F.greatest("c", j)))
-    cells = F.when(F.col("_main"), F.transform(upto("others"), lambda i: cell(1, i, F.col("c")))).otherwise(F.concat(beside_main, beside_others))
-    placed = mixed.select(F.explode(cells).alias("at"), "_id", "root").join(sketch.select("_id", "n", "sign"), "_id")
-    return _named(placed.select("at", "_id", "n", "sign", "root"), similarity, most)
+    # others of one chunk meet beside the main chunks already
+    beside_others = F.when(F.col("others") > 1, beside_others).otherwise(F.array().cast("array<bigint>"))
+    cells = F.when(F.col("is_main"), F.transform(upto("others"), lambda i: cell(1, i, F.col("c")))).otherwise(F.concat(beside_main, beside_others))
+    placed = materialise(mixed.select(F.explode(cells).alias("at"), "_id", "root"), "similar-cells")
+    wanted = documents.join(placed.select("_id").distinct(), F.col(key) == F.col("_id"), "left_semi")
+    sets = materialise(shingle_sets(wanted, key, text), "similar-rest-sets")
+    members = placed.join(sketch.select("_id", "n", "sign"), "_id").join(sets, "_id")
+    return _pairs(members.select("at", "_id", "n", "sign", "root", "_set"), similarity, None)
 
 
 def similar_components(
@@ -229,19 +267,11 @@ def similar_components(
     """
     sketch = materialise(sketches(documents, key, text), "similar-sketch")
     places = materialise(buckets(sketch), "similar-buckets")
-    tried = materialise(candidates(places, sketch, similarity, most), "similar-pairs")
-    roots = components(verified(documents, tried, key, text, similarity), "similar-groups")
-    more = True
-    while more:
-        named = materialise(across(places, sketch, roots, similarity, most), "similar-across")
-        more = named.agg(F.max("more")).first()[0]
-        fresh = materialise(named.join(tried, ["a", "b"], "left_anti").select("a", "b"), "similar-fresh")
-        if not fresh.isEmpty():
-            tried = tried.unionByName(fresh)
-            found = materialise(verified(documents, fresh, key, text, similarity), "similar-found")
-            if not found.isEmpty():
-                roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found), "similar-groups")
-        most *= GROWTH
+    pairs = materialise(candidates(places, sketch, similarity, most), "similar-pairs")
+    roots = components(verified(documents, pairs, key, text, similarity), "similar-groups")
+    rest = materialise(rest_links(documents, places, sketch, roots, key, text, similarity), "similar-rest")
+    if not rest.isEmpty():
+        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest), "similar-groups")
     return roots
 
 
