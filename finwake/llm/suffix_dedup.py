@@ -19,7 +19,7 @@ so suffixes are first thinned without loss, in levels that share one shape:
   over several buckets is dealt by its whole content, so equal strings never face each
   other across a bucket boundary and each boundary needs no comparison but this rule.
 
-Cores and unions are compared by 64-bit hashes each (128 bits together), suffixes byte
+Cores and unions are compared by 64-bit hashes of one kind (not independent), suffixes byte
 by byte. Each task first settles what repeats within its own batch and ships one run for
 it, so the copies of a hot passage send one row a task; joins on hot cores are equi-joins
 that adaptive execution may split. Texts travel twice, compressed.
