@@ -19,8 +19,9 @@ so suffixes are first thinned without loss, in levels that share one shape:
   over several buckets is dealt by its whole content, so equal strings never face each
   other across a bucket boundary and each boundary needs no comparison but this rule.
 
-Cores and unions are compared by 64-bit hashes of one kind (not independent), suffixes byte
-by byte. Each task first settles what repeats within its own batch and ships one run for
+Unions count as equal when two 64-bit hashes agree, that of the core and that of the union,
+which are drawn from different bases and byte values and so are independent; a core whose hash
+repeats by chance only goes on to the next level. Suffixes are compared byte by byte. Each task first settles what repeats within its own batch and ships one run for
 it, so the copies of a hot passage send one row a task; joins on hot cores are equi-joins
 that adaptive execution may split. Texts travel twice, compressed.
 
@@ -44,7 +45,8 @@ from finwake.llm.store import materialise
 LENGTH = 200  # a string of so many bytes counts as repeated
 GRAM = 64  # leading bytes of an anchored suffix
 BLOCKS = (8,)  # starts in a run, from level 2 on
-PIECE = 8 << 20  # longer texts are scanned in pieces that overlap by one string
+PIECE = 2 << 20  # longer texts are scanned in pieces that overlap by one string
+UNION = 2  # seed of the union hashes; cores have seed 1
 SAMPLE = 20_000  # about so many suffixes are drawn for the splitters
 RUN_SCHEMA = "kind int, rid bigint, start bigint, count int, base bigint, origin bigint, core bigint, whole bigint, n int"
 
@@ -95,7 +97,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     stop[-1] = True
     last = np.flatnonzero(stop & valid)
     at = least[first].astype(np.int64)
-    union = X.span_hashes(sums, first, last + LENGTH) ^ X.mix((at - first).astype(np.uint64))
+    union = X.span_hashes(X.prefix_sums(data, UNION), first, last + LENGTH, UNION) ^ X.mix((at - first).astype(np.uint64))
     row = np.searchsorted(offsets, first, side="right") - 1
     return row, first, last, at, h[at], union
 
@@ -146,19 +148,35 @@ def merged_spans(rid: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     return rid[at], start[at], np.append(reach[at[1:] - 1], reach[-1]) - lift[at]
 
 
+def equal_rows(key: np.ndarray, same: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """(representatives, group size of every row) of rows with equal ``key`` that ``same(rows, others)`` confirms.
+
+    A row that only shares the key of its group's first row stands alone.
+    """
+    _, first, at, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    many = np.flatnonzero(n[at] > 1)
+    odd = many[~same(many, first[at[many]])]
+    size = n[at]
+    if len(odd):
+        n = n - np.bincount(at[odd], minlength=len(n))
+        size = n[at]
+        size[odd] = 1
+    return np.concatenate([first, odd]), size
+
+
 def settle(rid, start, count, base, origin, core, whole) -> Iterator[pa.RecordBatch]:
     """Of the runs of one batch: spans of unions that repeat within it (kind 0), and one run of each union (kind 1)."""
     if not len(rid):
         return
     key = X.mix(core * np.uint64(3) + whole)
-    _, first, at, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    twice = n[at] > 1
+    first, n = equal_rows(key, lambda i, j: (core[i] == core[j]) & (whole[i] == whole[j]))
+    twice = n > 1
     if twice.any():
         r, s, e = merged_spans(rid[twice], start[twice], start[twice] + count[twice] - 1 + LENGTH)
         # a span needs no core; one that is spread evenly keeps the later join even
         spread = X.mix(r.astype(np.uint64) * np.uint64(7) + s.astype(np.uint64))
         yield _rows(0, r, s, e - s, 0, 0, spread, spread, 2)
-    yield _rows(1, rid[first], start[first], count[first], base[first], origin[first], core[first], whole[first], np.minimum(n, 2))
+    yield _rows(1, rid[first], start[first], count[first], base[first], origin[first], core[first], whole[first], np.minimum(n[first], 2))
 
 
 def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +217,7 @@ def cut_runs(size: int) -> Callable:
                 anchor = offsets[row] + far[row]
                 sums = X.prefix_sums(data)
                 core = X.span_hashes(sums, anchor - block * size, anchor - block * size - (size - 1) + LENGTH)
-                whole = X.span_hashes(sums, anchor - most, anchor - least + LENGTH)
+                whole = X.span_hashes(X.prefix_sums(data, UNION), anchor - most, anchor - least + LENGTH, UNION)
                 start = (origins[a:b])[row] - most
                 parts.append((ids[a + row], start, most - least + 1, bases[a + row], origins[a + row], core, whole))
             if parts:
@@ -356,12 +374,12 @@ def explode_suffixes(splitters: np.ndarray) -> Callable:
                     matrix = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]
                     keys = words_of(matrix)
                     h = X.span_hashes(X.prefix_sums(data), at, at + LENGTH)
-                    _, first, inverse, many = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                    first, many = equal_rows(h, lambda i, j: (keys[i] == keys[j]).all(axis=1))
                     left = np.searchsorted(splitters, keys[:, 0], side="left")
                     right = np.searchsorted(splitters, keys[:, 0], side="right")
                     bucket = left + (h % (right - left + 1).astype(np.uint64)).astype(np.int64)
                     rid, start = ids[a:b][row], starts[a:b][row] + k
-                    twice = many[inverse] > 1
+                    twice = many > 1
                     if twice.any():
                         blank = pa.array([None] * int(twice.sum()), pa.binary())
                         yield pa.RecordBatch.from_arrays(

@@ -240,6 +240,38 @@ def test_pieces_of_long_texts(frame, monkeypatch):
     assert starts == {(r, k) for r, (_, t) in enumerate(rows) for k in range(len(t.encode()) - 199)}
 
 
+def test_equal_keys_of_unequal_rows_stand_alone():
+    rows = np.array([5, 6, 5, 7, 6, 8])
+    key = np.array([1, 1, 1, 2, 1, 3])  # rows 1 and 4 collide with 0 and 2
+    first, size = suffix_dedup.equal_rows(key, lambda i, j: rows[i] == rows[j])
+    assert sorted(first.tolist()) == [0, 1, 3, 4, 5] and size.tolist() == [2, 1, 2, 1, 1, 1]
+    lone, size = suffix_dedup.equal_rows(key[:2], lambda i, j: rows[i] == rows[j])
+    assert sorted(lone.tolist()) == [0, 1] and size.tolist() == [1, 1]
+
+
+def test_repeats_survive_colliding_hashes(frame, monkeypatch):
+    """Strings that a batch settles are compared in full, so hashes of four bits change nothing."""
+    whole = X.span_hashes
+    monkeypatch.setattr(X, "span_hashes", lambda s, a, b, seed=1: whole(s, a, b, seed) & np.uint64(15) if len(a) and (b - a == 200).all() and seed == 1 else whole(s, a, b, seed))
+    data = np.frombuffer(" ".join(t or "" for _, t in repeat_rows()).encode(), np.uint8)
+    import pyarrow as pa
+
+    n = len(data) - 199
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([n], pa.int32()), pa.array([0]), pa.array([data.tobytes()], pa.binary())], ["rid", "start", "count", "base", "body"])
+    out = pa.Table.from_batches(list(suffix_dedup.explode_suffixes(np.zeros(0, np.uint64))(iter([batch]))))
+    tables = [out.filter(pa.array(out.column("bucket").to_numpy() == b)) for b in set(out.column("bucket").to_pylist())]
+    spans = [r for t in tables for r in suffix_dedup.sort_bucket(t).to_pylist()]
+    text = data.tobytes()
+    seen = Counter(text[k : k + 200] for k in range(n))
+    want, got = bytearray(len(text)), bytearray(len(text))
+    for k in range(n):
+        if seen[text[k : k + 200]] > 1:
+            want[k : k + 200] = b"\1" * 200
+    for r in spans:
+        got[r["start"] : r["stop"]] = b"\1" * (r["stop"] - r["start"])
+    assert got == want
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(4)
     keys = rng.integers(0, 3, (3000, 25)).astype(np.uint64)
