@@ -132,6 +132,10 @@ def history_sliced(events: DataFrame, exact: bool = True, linear: bool = False)
     last = e.groupBy("account_id", "counterparty", "_slice").agg(F.max("event_time").alias("_last"))
     earlier = "(PARTITION BY account_id, counterparty ORDER BY _slice RANGE BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)"
     carried = last.withColumn("_carry", F.expr(f"max(_last) OVER {earlier}")).filter("_carry is not null").drop("_last")
-    out = recent.join(carried, ["account_id", "counterparty", "_slice"], "left")
+    place = ["account_id", "counterparty", "_slice"]
+    carried = carried.select(*[F.col(c).alias(f"_c{c}") for c in place], "_carry")
+    # missing accounts are one account here as in a window
+    same = [F.col(c).eqNullSafe(F.col(f"_c{c}")) for c in place[:2]]
+    out = recent.join(carried, [*same, F.col("_slice") == F.col("_c_slice")], "left")
     since = F.coalesce("secs_since_prev_cp", seconds_between("event_time", "_carry"))
     return out.withColumn("secs_since_prev_cp", since).select(*kept, *BASE)

@@ -1,8 +1,14 @@
 """Micro-batch upkeep of the feature table from a stream of transfers.
 
-Analytic range frames are not available on streaming frames, so each micro-batch
-appends its transfers to a store and rewrites the dates from its earliest one on. The
-history is computed over the whole store: a pair's recency reaches back without bound.
+Analytic range frames are not available on streaming frames, so each micro-batch appends
+its transfers to a store, one folder a date, and computes again what it can change:
+
+- the transfers from its earliest day on that have an account of the batch on either side;
+- their histories, from the transfers of their accounts since 31 days before that day;
+- what a pair did earlier, as one time a pair, and only for pairs without a recent one. This
+  is the one step that reads the older store, four columns of it.
+
+All other rows of the dates that are rewritten come from the feature table itself.
 """
 
 from __future__ import annotations
@@ -10,24 +16,83 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finwake.operators.features import feature_table_onepass
-from finwake.sources.sinks import write_features
-from finwake.sources.transactions import SCHEMA, normalize
+from finwake.functions.scalars import seconds_between
+from finwake.operators.features import FEATURES, PASSTHROUGH, feature_table_onepass
+from finwake.sources.sinks import read_features, write_features
+from finwake.sources.transactions import COLUMNS, SCHEMA, normalize
+
+REACH = 31  # days: the longest frame, and one for times of day
+RECENCY = [f"{side}_secs_since_prev_cp" for side in "sr"]
+_PAIR = {"_low": F.least, "_high": F.greatest}
+
+
+def _key(account: str) -> F.Column:
+    """Never null and different for different accounts: missing accounts have a history too, as one account."""
+    return F.coalesce(F.concat(F.lit("="), F.col(account)), F.lit(""))
+
+
+def _accounts(tx: DataFrame) -> DataFrame:
+    return tx.select(F.explode(F.array(_key("sender_id"), _key("receiver_id"))).alias("account")).distinct()
+
+
+def _touching(tx: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Transfers with one of ``accounts`` on either side, once each."""
+    for side in ("sender", "receiver"):
+        hit = accounts.select(F.col("account").alias("_key"), F.lit(True).alias(f"_{side}"))
+        tx = tx.withColumn("_key", _key(f"{side}_id")).join(hit, "_key", "left").drop("_key")
+    return tx.filter("_sender or _receiver").select(*COLUMNS)
+
+
+def _with_pair(df: DataFrame) -> DataFrame:
+    return df.withColumns({name: pick(_key("sender_id"), _key("receiver_id")) for name, pick in _PAIR.items()})
+
+
+def _earlier_pairs(rows: DataFrame, past: DataFrame) -> DataFrame:
+    """``rows`` with the recency of pairs that met in ``past`` only; both sides of a transfer have the same."""
+    wanted = _with_pair(rows.filter(f"{RECENCY[0]} is null").select("sender_id", "receiver_id")).select(*_PAIR).distinct()
+    last = _with_pair(past.select("sender_id", "receiver_id", "event_time")).join(wanted, [*_PAIR], "left_semi")
+    last = last.groupBy(*_PAIR).agg(F.max("event_time").alias("_last"))
+    out = _with_pair(rows).join(last, [*_PAIR], "left")
+    since = seconds_between("event_time", "_last")
+    return out.withColumns({c: F.coalesce(c, since) for c in RECENCY}).select(*PASSTHROUGH, *FEATURES)
 
 
 def refresh_batch(batch: DataFrame, store: str, dest: str) -> None:
-    """Append new transfers to ``store``; rewrite the feature dates from the earliest new one on."""
+    """Append new transfers to ``store``; bring the feature dates from the earliest new one on up to date.
+
+    Delivered twice, a transfer counts once: rows of one txn_id must be equal. Rows without a
+    date are stored but have no place in the feature table; a batch without any date is refused.
+    """
     spark = batch.sparkSession
     if batch.isEmpty():
         return
     fresh = normalize(batch)
-    first = fresh.agg(F.min("event_date")).first()[0]
-    if first is None:
+    day = F.least("event_date", F.col("event_time").cast("date"))
+    known = fresh.agg(F.min("event_date").alias("dated"), F.min(day).alias("first")).first()
+    if known.dated is None:
         raise ValueError("no transfer of the batch has an event_date")
-    fresh.write.mode("append").parquet(store)
-    everything = spark.read.schema(SCHEMA).parquet(store).dropDuplicates(["txn_id"])
-    touched = feature_table_onepass(everything, linear=True, sliced=True).filter(F.col("event_date") >= F.lit(first))
-    write_features(touched, dest, mode="dynamic")
+    first = F.lit(known.first)
+    update = not _is_empty(spark, dest)
+    fresh.write.mode("append").partitionBy("event_date").parquet(store)
+
+    stored = spark.read.schema(SCHEMA).parquet(store).select(*COLUMNS)
+    begin = F.date_sub(first, REACH).cast("timestamp_ntz")
+    recent = stored.filter((F.col("event_time") >= begin) | F.col("event_time").isNull())
+    changed = _touching(recent.filter(F.col("event_date") >= first), _accounts(fresh))
+    context = _touching(recent, _accounts(changed)).dropDuplicates(["txn_id"])
+    ids = changed.select("txn_id").distinct()
+    rows = feature_table_onepass(context, linear=True, sliced=True).filter(F.col("event_date") >= first)
+    rows = _earlier_pairs(rows.join(ids, "txn_id", "left_semi"), stored.filter(F.col("event_time") < begin))
+    if update:
+        others = read_features(spark, dest).filter(F.col("event_date") >= first)
+        rows = rows.unionByName(others.join(ids, "txn_id", "left_anti"))
+    write_features(rows, dest, mode="dynamic")
+
+
+def _is_empty(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not files.exists(where) or len(files.listStatus(where)) == 0
 
 
 def start(spark: SparkSession, source: str, store: str, dest: str, checkpoint: str, once: bool = False):

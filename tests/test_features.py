@@ -175,6 +175,21 @@ def test_sliced_onepass_equals_the_direct_one(spark):
     assert direct == sliced
 
 
+def test_slices_carry_the_recency_of_missing_accounts(spark):
+    import datetime as dt
+
+    from finwake.operators.features import feature_table_onepass
+    from finwake.sources.transactions import SCHEMA
+
+    rows = []
+    for i, (day, a, b) in enumerate([(0, None, "A"), (100, "A", None), (150, None, None), (290, None, None), (300, "A", "A"), (400, "A", "A")]):
+        t = dt.datetime(2024, 1, 1) + dt.timedelta(days=day)
+        rows.append((i, t, t.date(), a, b, "x", "x", 1.0, 1.0, "EUR", "EUR", "wire", 0))
+    tx = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(str, feature_table_onepass(tx).collect()))
+    assert want == sorted(map(str, feature_table_onepass(tx, linear=True, sliced=True).collect()))
+
+
 def test_command_line_reads_nested_folders(spark, tmp_path):
     import json
 
