@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finwake.llm import decontamination, exact_dedup, html_text, lm_scoring, mixing, quality, sharding, simhash, suffix_dedup, toxicity
+from finwake.llm import centroids, decontamination, exact_dedup, html_text, lm_scoring, minmax, mixing, quality, sharding, simhash, suffix_dedup, toxicity, variants
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,9 +55,38 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.decisions(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
+def op13_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.digest(_read(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    op1_decontamination,
+    op2_sharding,
+    op3_suffix_dedup,
+    op4_toxicity,
+    op5_exact_dedup,
+    op6_mixing,
+    op7_lm_scoring,
+    op8_simhash,
+    op9_html_text,
+    op10_quality,
+    op11_centroids,
+    op12_spelling_variants,
+    op13_minmax,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_suffix_dedup, op4_toxicity, op5_exact_dedup, op6_mixing, op7_lm_scoring, op8_simhash, op9_html_text, op10_quality)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
+    return {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op11_centroids": centroids.ORACLE_SQL, "op13_minmax": minmax.ORACLE_SQL}

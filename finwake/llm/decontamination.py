@@ -58,7 +58,7 @@ def tokenise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Word hashes with a zero (the pad) after each text, the text of each, and where each text begins."""
     rows = len(offsets) - 1
     start, end, row = X.unicode_words(data, offsets)
-    h = X.span_hashes(X.prefix_sums(data), start, end) | np.uint64(1)
+    h = X.word_hashes(data, start, end) | np.uint64(1)
     n = np.bincount(row, minlength=rows)
     out = np.zeros(len(h) + rows, np.uint64)
     out[np.arange(len(h)) + row] = h

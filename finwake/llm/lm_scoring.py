@@ -64,7 +64,7 @@ def text_tokens(column) -> tuple[np.ndarray, np.ndarray]:
     for a, b, data, offsets in X.slices(column):
         data = X.lower_ascii(data)
         start, end, row = X.words(data, offsets)
-        h = X.span_hashes(X.prefix_sums(data), start, end)
+        h = X.word_hashes(data, start, end)
         n = np.bincount(row, minlength=b - a)
         out = np.full(len(h) + b - a, END, np.uint64)
         at = np.arange(len(h)) + row

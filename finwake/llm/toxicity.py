@@ -48,7 +48,7 @@ _FLAG_BITS = 22
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hash, hash of the word before or 0 at the start, row) of lower-cased texts."""
     start, end, row = X.words(data, offsets, X.NOT_WORD)
-    h = X.span_hashes(X.prefix_sums(data), start, end)
+    h = X.word_hashes(data, start, end)
     before = np.zeros_like(h)
     before[1:] = h[:-1]
     if len(row):

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from llm_cases import ODD, prose
 
-from finwake.llm import exact_dedup, simhash, similar, suffix_dedup
+from finwake.llm import exact_dedup, minmax, simhash, suffix_dedup
 from finwake.llm import textops as X
 
 
@@ -122,12 +122,11 @@ def test_links_and_components_on_random_fingerprints(spark):
     assert all(roots.get(p, p) == find(p) for p in signed)
 
 
-def test_similar_groups(frame):
-    base = [prose(300, s) for s in range(3)]
-    edit = lambda t, k: " ".join(w if j % 150 != k else w + "x" for j, w in enumerate(t.split()))
-    rows = [(10 * s + k, edit(base[s], k)) for s in range(3) for k in range(3)] + [(90 + i, prose(200, 70 + i)) for i in range(5)]
-    got = {r.doc_id: r.component_id for r in similar.similar_groups(frame(rows)).collect()}
-    assert got == {10 * s + k: 10 * s for s in range(3) for k in range(3)}
+def near_copies(df, **how):
+    """The component of every text that is linked, by 5-word shingles of words of any script."""
+    got = minmax.similar_groups(df, size=5, words="unicode", **how).collect()
+    n = Counter(r.component_id for r in got)
+    return {r.doc_id: r.component_id for r in got if n[r.component_id] > 1}
 
 
 def brute_similar(rows, ratio=0.8):
@@ -157,7 +156,7 @@ def test_similar_groups_of_trimmed_and_extended_copies(frame):
         rows += [(10 * s, text), (10 * s + 1, " ".join(w[cut:] if s % 2 else w[:-cut])), (10 * s + 2, text + " " + prose(cut, 600 + s))]
     want = brute_similar(rows)
     assert len(want) == 72
-    assert {r.doc_id: r.component_id for r in similar.similar_groups(frame(rows)).collect()} == want
+    assert near_copies(frame(rows)) == want
 
 
 def test_similar_groups_of_permuted_texts(frame):
@@ -172,13 +171,14 @@ def test_similar_groups_of_permuted_texts(frame):
     rows += [(205, rows[-6][1] + " end")]  # a copy of one in the middle of a bucket of texts that are no copies
     want = brute_similar(rows)
     assert len(want) == 17
-    assert {r.doc_id: r.component_id for r in similar.similar_groups(frame(rows)).collect()} == want
+    assert near_copies(frame(rows)) == want
 
 
-@pytest.mark.parametrize("most", [1, 4])
-def test_similar_components_do_not_depend_on_the_nearest(frame, monkeypatch, most):
+@pytest.mark.parametrize("group, nearest", [(8, 1), (8, 4), (256, 1), (256, 4)])
+def test_components_do_not_depend_on_the_nearest(frame, monkeypatch, group, nearest):
     # one large bucket of versions around the threshold: the nearest of many are no links, farther ones are
-    monkeypatch.setattr(similar, "GROUP", 8)
+    monkeypatch.setattr(minmax, "GROUP", group)
+    monkeypatch.setattr(minmax, "NEAREST", nearest)
     r = random.Random(11)
     rows = []
     for s, versions in enumerate((40, 25)):
@@ -189,9 +189,7 @@ def test_similar_components_do_not_depend_on_the_nearest(frame, monkeypatch, mos
     rows += [(300 + i, prose(100, 970 + i)) for i in range(4)]
     want = brute_similar(rows)
     assert 10 < len(want) < 65
-    got = similar.similar_components(frame(rows), most=most).collect()
-    roots = {x.node: x.root for x in got} | {x.root: x.root for x in got}
-    assert roots == want
+    assert near_copies(frame(rows)) == want
 
 
 def brute_repeats(rows):
