@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finwake.llm import decontamination, mixing, quality, sharding, simhash, similar
+from finwake.llm import decontamination, minmax, mixing, quality, sharding, simhash
 from finwake.llm.store import materialise, with_rows
 
 ORACLE_SQL = None
@@ -42,7 +42,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     columns = docs.columns
     docs = with_rows(docs, "doc_id", "_row", "stage-rows")
     first = materialise(_without(docs, simhash.near_groups(docs.select("_row", "text"), "_row")), "stage-near")
-    return _without(first, similar.similar_groups(first.select("_row", "text"), "_row")).select(*columns)
+    near = minmax.similar_groups(first.select("_row", "text"), "_row", size=5, words="unicode")
+    return _without(first, near).select(*columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
