@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from finwake.functions.ranges import RANGE_ROWS, sums_before, with_ranges
+
 BUDGETS = (50, 100, 500)
 
 
@@ -23,10 +25,19 @@ def account_days(scored: DataFrame) -> DataFrame:
     return both.groupBy("day", "account").agg(F.max("score").alias("score"), F.max("label").alias("label"))
 
 
-def daily_rank(days: DataFrame) -> DataFrame:
-    """Rank accounts within the day by score, ties by account; no rank without a score."""
-    w = Window.partitionBy("day").orderBy(F.desc_nulls_last("score"), F.asc("account"))
-    return days.withColumn("rank", F.when(F.col("score").isNotNull(), F.row_number().over(w)))
+def daily_rank(days: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
+    """Rank accounts within the day by score, ties by account; no rank without a score.
+
+    A day is cut into ranges of about ``rows`` accounts along that order. Ranks are the accounts
+    of the ranges before, plus the place within the range, so no task holds a day, nor a
+    score that many accounts share. Rows without a score take no part.
+    """
+    scored = with_ranges(days.filter("score is not null"), ["day"], "score", "account", rows)
+    before = sums_before(scored.groupBy("day", "_range").agg(F.count("*").alias("n")), ["day"], ["n"])
+    w = Window.partitionBy("day", "_range").orderBy(F.desc("score"), F.asc("account"))
+    ranked = scored.withColumn("_place", F.row_number().over(w)).join(before, ["day", "_range"])
+    ranked = ranked.select(*days.columns, (F.col("n0") + F.col("_place")).cast("int").alias("rank"))
+    return ranked.unionByName(days.filter("score is null").withColumn("rank", F.lit(None).cast("int")))
 
 
 def alerts(scored: DataFrame, budget: int) -> DataFrame:

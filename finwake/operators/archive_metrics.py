@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from finwake.functions.ranges import RANGE_ROWS, sums_before, with_ranges
+
 
 def day_counts(days: DataFrame) -> DataFrame:
     """n_d accounts and n_positive positive accounts of each day."""
@@ -81,33 +83,26 @@ def segment_metrics(ranked: DataFrame, boundary: str, budgets=(50, 100, 500)) ->
     return each.select("segment", "budget", share("n").alias("precision"), share("all").alias("recall"))
 
 
-def _score_groups(scored: DataFrame) -> DataFrame:
+def _score_groups(scored: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     """Positives and negatives per distinct score, with running counts from the top.
 
-    Only distinct scores reach the running window. It runs in two levels: scores
-    are cut into ranges by one approximate-quantile pass and each range is summed,
-    so no task holds all the scores.
+    Only distinct scores reach the running window, which runs in two levels: scores are cut into
+    ranges of about ``rows``, as many as that takes, and each range is summed; a range's
+    counts start from the sums of the ranges before it.
     """
     y = F.col("is_laundering").cast("bigint")
     g = scored.filter("score is not null and not isnan(score)").groupBy("score")
-    g = g.agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    cuts = g.agg(F.percentile_approx("score", [i / 64 for i in range(1, 64)], 1000).alias("cuts"))
-    g = g.crossJoin(F.broadcast(cuts)).withColumn(  # one-row scalar
-        "part", F.expr("size(filter(cuts, c -> c < score))")
-    ).drop("cuts")
-    sums = g.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # at most 64 rows
-    offsets = sums.select(
-        "part", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0")
-    )
-    w = Window.partitionBy("part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.join(F.broadcast(offsets), "part")  # at most 64 rows
-    return g.withColumns({"tp": F.col("p0") + F.sum("pos").over(w), "fp": F.col("n0") + F.sum("neg").over(w)})
+    g = g.agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")).withColumn("_tie", F.lit(0))
+    g = with_ranges(g, [], "score", "_tie", rows).drop("_tie")
+    before = sums_before(g.groupBy("_range").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), [], ["pos", "neg"])
+    w = Window.partitionBy("_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    g = g.join(before, "_range")
+    return g.withColumns({"tp": F.col("pos0") + F.sum("pos").over(w), "fp": F.col("neg0") + F.sum("neg").over(w)})
 
 
-def ranking_quality(scored: DataFrame) -> DataFrame:
+def ranking_quality(scored: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     """ROC AUC (ties count half) and step-wise average precision, 9 decimals."""
-    g = _score_groups(scored)
+    g = _score_groups(scored, rows)
     total_p, total_n = F.nullif(F.sum("pos"), F.lit(0)), F.nullif(F.sum("neg"), F.lit(0))
     wins = F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos")))
     precision = F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))

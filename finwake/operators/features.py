@@ -57,12 +57,12 @@ def _sides(amount: F.Column, s, r) -> list[F.Column]:
     return out
 
 
-def feature_table(tx: DataFrame, exact: bool = True, linear: bool = False) -> DataFrame:
+def feature_table(tx: DataFrame, exact: bool = True, linear: bool = False, sliced: bool = False) -> DataFrame:
     """Two left joins of the transfer with its sender and receiver history.
 
     Right for any txn_id: repeated ids fan out as an outer join does.
     """
-    hist = history(two_sided(tx), exact, linear).select("txn_id", "side", *BASE)
+    hist = (history_sliced if sliced else history)(two_sided(tx), exact, linear).select("txn_id", "side", *BASE)
     hs = hist.filter("side = 's'").select("txn_id", F.struct(*BASE).alias("hs"))
     hr = hist.filter("side = 'r'").select("txn_id", F.struct(*BASE).alias("hr"))
     joined = stateless(tx, "amount_paid").join(hs, "txn_id", "left").join(hr, "txn_id", "left")

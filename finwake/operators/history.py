@@ -6,6 +6,8 @@ cost of an account with very many events stays linear; sums are exact because
 amounts become integer cents. ``exact`` selects cents for the direct form too.
 ``history_sliced`` gives the same rows with each account's past cut into 30-day
 slices, so an account that holds a large share of all events spreads over many tasks.
+Its linear form has no sliding frame at all: a 30-day maximum is the larger of two running
+maxima, one backward over the end of the slice before and one forward over the own slice.
 """
 
 from __future__ import annotations
@@ -49,11 +51,22 @@ def _pair_recency(events: DataFrame, keys: str) -> DataFrame:
     return events.withColumn("prev_cp", F.expr(f"max(event_time) OVER {pair}"))
 
 
-def history(events: DataFrame, exact: bool = True, linear: bool = False, keys: str = "account_id") -> DataFrame:
+def _block_maximum(keys: str) -> F.Column:
+    """The maximum of the last 30 days from rows of one slice (``_own``) and the one before.
+
+    The frame of an event reaches as far into the slice before as the event is into its own, so
+    it is that slice's end from ``_mirror`` (the time 30 days on) and the own slice's beginning.
+    """
+    end = f"max(if(_own, null, amount_paid)) OVER (PARTITION BY {keys} ORDER BY _mirror DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return F.expr(f"greatest({end}, max(if(_own, amount_paid, null)) OVER {before(keys)})")
+
+
+def history(events: DataFrame, exact: bool = True, linear: bool = False, keys: str = "account_id", slices: bool = False) -> DataFrame:
     """Add the nine history columns to two-sided events; other columns are kept.
 
     One exchange on the account serves every frame. Empty frames give count 0
     and NULL elsewhere; ties and rows under one minute apart do not see each other.
+    ``slices`` says that ``keys`` hold a slice, with the one before as context (``_own``, ``_mirror``).
     """
     kept = events.columns
     e = _pair_recency(events, keys)
@@ -75,7 +88,7 @@ def history(events: DataFrame, exact: bool = True, linear: bool = False, keys: s
                 "sum_c": diff(f"sum({CENTS})", 7),
                 "sum_c2": diff(f"sum({SQUARE})", 7),
                 "prev_any": F.expr(f"max(event_time) OVER {prior}"),
-                "max_amt_30d": F.expr(f"max(amount_paid) OVER {w30}"),
+                "max_amt_30d": _block_maximum(keys) if slices else F.expr(f"max(amount_paid) OVER {w30}"),
             }
         )
         recent = F.col("prev_any") >= F.col("event_time") - F.expr("INTERVAL '30 00:00:00' DAY TO SECOND")
@@ -128,7 +141,9 @@ def history_sliced(events: DataFrame, exact: bool = True, linear: bool = False)
     e = events.withColumn("_slice", F.floor(F.unix_date(F.col("event_time").cast("date")) / SLICE_DAYS))
     place = lambda shift, own: F.struct((F.col("_slice") + shift).alias("_part"), F.lit(own).alias("_own"))
     both = e.select(*kept, "_slice", F.inline(F.array(place(0, True), place(1, False)))).filter("_own or _part is not null")
-    recent = history(both, exact, linear, keys="account_id, _part").filter("_own")
+    shift = F.expr("INTERVAL '30 00:00:00' DAY TO SECOND")
+    both = both.withColumn("_mirror", F.when(F.col("_own"), F.col("event_time")).otherwise(F.col("event_time") + shift))
+    recent = history(both, exact, linear, keys="account_id, _part", slices=True).filter("_own")
     last = e.groupBy("account_id", "counterparty", "_slice").agg(F.max("event_time").alias("_last"))
     earlier = "(PARTITION BY account_id, counterparty ORDER BY _slice RANGE BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)"
     carried = last.withColumn("_carry", F.expr(f"max(_last) OVER {earlier}")).filter("_carry is not null").drop("_last")

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finwake.operators.features import FEATURES, PASSTHROUGH
@@ -19,10 +19,16 @@ NULLABLE = ["fx_ratio", "currency_mismatch", "is_cross_bank"] + [
 ]
 
 
+def parts(cut: str) -> tuple[Column, Column]:
+    """Whether a row lies before ``cut``, and whether at or after it; rows without a time are in neither part."""
+    moment = F.lit(cut).cast("timestamp_ntz")
+    return F.col("event_time") < moment, F.col("event_time") >= moment
+
+
 def split(features: DataFrame, cut: str) -> tuple[DataFrame, DataFrame]:
     """Rows before ``cut`` and rows at or after it."""
-    moment = F.lit(cut).cast("timestamp_ntz")
-    return features.filter(F.col("event_time") < moment), features.filter(F.col("event_time") >= moment)
+    early, late = parts(cut)
+    return features.filter(early), features.filter(late)
 
 
 def class_weights(train: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +13,12 @@ from finwake.operators import model
 from finwake.operators.events import two_sided, two_sided_union
 from finwake.operators.features import FEATURES, HISTORY, TX_FEATURES, feature_table, feature_table_onepass, matrix, stateless
 from finwake.operators.history import BASE, history, history_sliced
+from finwake.operators.rings import reconcile, ring_split
 from finwake.sources.adapters import load_events_tx, load_lineitem_tx
-from finwake.sources.demo import make_transactions
+from finwake.functions.quantiles import exact_quantile
+from finwake.sources.batches import write_batches
+from finwake.sources.demo import TAIL, make_transactions
+from finwake.sources.shared import new_path
 from finwake.sources.sinks import read_features, write_features
 from finwake.sources.transactions import COLUMNS, quality_report
 
@@ -106,6 +108,15 @@ per AS (SELECT counts.*, b.budget FROM counts, (VALUES (5), (20), (50), (100), (
 SMALL = (5, 20, 50, 100, 500)
 
 
+RINGS = """ring AS MATERIALIZED (
+  SELECT txn_id, event_time, sender_id, receiver_id, CAST(substr(sender_id, 2) AS BIGINT) AS ring_id FROM tx
+  WHERE is_laundering = 1 AND CAST(substr(sender_id, 2) AS BIGINT) % 10 = 0 AND txn_id % 3 = 0),
+held AS MATERIALIZED (SELECT DISTINCT ring_id, unnest([sender_id, receiver_id]) AS account FROM ring),
+touch AS MATERIALIZED (SELECT DISTINCT a.ring_id AS a, b.ring_id AS b FROM held a JOIN held b ON a.account = b.account),
+reach AS (SELECT a AS ring_id, a AS other FROM touch UNION SELECT r.ring_id, t.b FROM reach r JOIN touch t ON t.a = r.other),
+fate AS MATERIALIZED (SELECT r.ring_id, min(event_time) AS starts FROM reach r JOIN ring ON ring.ring_id = r.other GROUP BY r.ring_id)"""
+
+
 def _with(*parts: str, select: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + select
 
@@ -131,11 +142,17 @@ def _hist(tx: DataFrame, **how) -> DataFrame:
 
 
 def _roundtrip(spark: SparkSession, tx: DataFrame) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    dest = f"{base or tempfile.gettempdir()}/finwake_features_{uuid.uuid4().hex}"
-    return _rounded(read_features(spark, write_features(feature_table_onepass(tx), dest)))
+    return _rounded(read_features(spark, write_features(feature_table_onepass(tx), new_path(spark, "features"))))
+
+
+def _quantile(spark: SparkSession, tx: DataFrame) -> DataFrame:
+    value = exact_quantile(tx, "amount_paid", TAIL)
+    return spark.createDataFrame([(None if value is None else round(value, 6),)], "amount_cut double")
+
+
+def _batches(spark: SparkSession, tx: DataFrame) -> DataFrame:
+    """What the tasks report of the ordered export of the model matrix, in batches of 1,000 rows."""
+    return write_batches(matrix(feature_table_onepass(tx)), new_path(spark, "matrix"), rows=1000)
 
 
 def _invariants(tx: DataFrame) -> DataFrame:
@@ -157,6 +174,17 @@ def _scores(tx: DataFrame, kind: str) -> DataFrame:
     return model.score(model.fit(train, kind, trees=20, depth=5), test)
 
 
+def planted_rings(tx: DataFrame) -> DataFrame:
+    """Ring membership for the test tables: a third of the labelled transfers of every tenth sender, by sender."""
+    number = F.substring("sender_id", 2, 9).cast("bigint")
+    inside = (F.col("is_laundering") == 1) & (number % 10 == 0) & (F.col("txn_id") % 3 == 0)
+    return tx.filter(inside).select("txn_id", number.alias("ring_id"))
+
+
+def _ring_split(tx: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return ring_split(tx, planted_rings(tx), CUT)
+
+
 def _class_weights(tx: DataFrame) -> DataFrame:
     return model.class_weights(model.split(tx, CUT)[0])
 
@@ -172,12 +200,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "history_full": on(_hist),
         "history_linear": on(lambda tx: _hist(tx, linear=True)),
         "history_sliced": on(lambda tx: history_sliced(two_sided(tx)).select(*KEY, *BASE)),
+        "history_blocks": on(lambda tx: history_sliced(two_sided(tx), linear=True).select(*KEY, *BASE)),
         "feature_table": on(lambda tx: _rounded(feature_table(tx))),
         "feature_table_onepass": on(lambda tx: _rounded(feature_table_onepass(tx))),
         "features_roundtrip": lambda spark, sf_dir: _roundtrip(spark, load_events_tx(spark, sf_dir)),
         "split_train": on(lambda tx: model.split(tx, CUT)[0].select("txn_id", "event_time", "is_laundering")),
         "split_test": on(lambda tx: model.split(tx, CUT)[1].select("txn_id", "event_time", "is_laundering")),
         "matrix_f32": on(lambda tx: matrix(_rounded(feature_table_onepass(tx)))),
+        "matrix_batches": lambda spark, sf_dir: _batches(spark, load_events_tx(spark, sf_dir)),
+        "amount_quantile": lambda spark, sf_dir: _quantile(spark, load_events_tx(spark, sf_dir)),
+        "ring_split_test": on(lambda tx: _ring_split(tx)[1].select("txn_id", "event_time", "is_laundering")),
+        "ring_split_report": on(lambda tx: _ring_split(tx)[2]),
+        "ring_reconcile": on(lambda tx: reconcile(tx, planted_rings(tx))),
         "class_weights": on(_class_weights),
         "account_days": on(_days),
         "daily_rank": on(lambda tx: A.daily_rank(_days(tx))),
@@ -239,6 +273,7 @@ def oracle_sql() -> dict[str, str]:
     n = lambda select: _with(TX_EVENTS, RULE, DAYS, COUNTS, select=select)
     s = lambda select: _with(TX_EVENTS, RULE, select=select)
     x = lambda select: _with(TX_EVENTS, select=select)
+    g = lambda select: "WITH RECURSIVE " + ",\n".join([TX_EVENTS, RINGS]) + "\n" + select
     full = f"SELECT txn_id, side, {', '.join(BASE)} FROM hist"
     table = f"SELECT {_IDS}, {', '.join(FEATURES)} FROM ft"
     nulls = ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS null_{c}" for c in COLUMNS)
@@ -258,12 +293,33 @@ def oracle_sql() -> dict[str, str]:
         "history_full": h(full),
         "history_linear": h(full),
         "history_sliced": h(full),
+        "history_blocks": h(full),
         "feature_table": t(table),
         "feature_table_onepass": t(table),
         "features_roundtrip": t(table),
         "split_train": x(f"SELECT txn_id, event_time, is_laundering FROM tx WHERE event_time < TIMESTAMP '{CUT}'"),
         "split_test": x(f"SELECT txn_id, event_time, is_laundering FROM tx WHERE event_time >= TIMESTAMP '{CUT}'"),
         "matrix_f32": t(f"SELECT txn_id, {', '.join(f'CAST({c} AS FLOAT) AS {c}' for c in FEATURES)}, is_laundering FROM ft"),
+        "matrix_batches": x(
+            "SELECT CAST(r // 1000 AS BIGINT) AS batch, count(*) AS rows, min(txn_id) AS first, max(txn_id) AS last"
+            " FROM (SELECT txn_id, row_number() OVER (ORDER BY txn_id) - 1 AS r FROM tx) GROUP BY batch"
+        ),
+        "amount_quantile": x("SELECT round(quantile_cont(amount_paid, CAST(0.96 AS DOUBLE)), 6) AS amount_cut FROM tx"),
+        "ring_split_test": g(
+            f"SELECT txn_id, event_time, is_laundering FROM tx WHERE event_time >= TIMESTAMP '{CUT}'"
+            f" AND txn_id NOT IN (SELECT txn_id FROM ring JOIN fate USING (ring_id) WHERE starts < TIMESTAMP '{CUT}')"
+        ),
+        "ring_split_report": g(
+            "SELECT count(*) AS test_rings_before_drop, count(*) FILTER (WHERE old) AS dropped_rings, count(*) FILTER (WHERE NOT old) AS test_rings_kept,"
+            " round(100 * count(*) FILTER (WHERE old) / CAST(nullif(count(*), 0) AS DOUBLE), 2) AS dropped_pct FROM ("
+            f"SELECT DISTINCT ring_id, starts < TIMESTAMP '{CUT}' AS old FROM ring JOIN fate USING (ring_id) WHERE event_time >= TIMESTAMP '{CUT}')"
+        ),
+        "ring_reconcile": g(
+            "SELECT count(*) FILTER (WHERE l) AS labelled, count(*) FILTER (WHERE i) AS in_rings, count(*) FILTER (WHERE l AND i) AS labelled_in_rings,"
+            " count(*) FILTER (WHERE l AND NOT i) AS labelled_only, count(*) FILTER (WHERE NOT l AND i) AS rings_only,"
+            " round(100 * count(*) FILTER (WHERE l AND i) / CAST(nullif(count(*) FILTER (WHERE l), 0) AS DOUBLE), 2) AS covered_pct"
+            " FROM (SELECT coalesce(is_laundering, 0) = 1 AS l, txn_id IN (SELECT txn_id FROM ring) AS i FROM tx)"
+        ),
         "class_weights": x(
             "SELECT is_laundering, count(*) AS n_c, sum(count(*)) OVER () / (CAST(2 AS DOUBLE) * count(*)) AS weight"
             f" FROM tx WHERE event_time < TIMESTAMP '{CUT}' GROUP BY is_laundering"

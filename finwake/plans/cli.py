@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     own = kinds.add_parser("run", parents=[shared], help="run on transfers in Parquet")
     own.set_defaults(act=_run)
     own.add_argument("--input", required=True, help="a file or folder")
-    own.add_argument("--recursive", action="store_true", help="read nested folders that are not hive-partitioned")
+    own.add_argument("--recursive", action=argparse.BooleanOptionalAction, help="read nested folders (default: unless they are hive partitions)")
     own.add_argument("--cut", required=True, help="first day of the test part")
     own.add_argument("--output", required=True)
     return top

@@ -21,10 +21,10 @@ def features_frame(tx: DataFrame, linear: bool = True, exact: bool = True, slice
     """
     if unique or unique is None and duplicate_ids(tx).isEmpty():
         return feature_table_onepass(tx, exact, linear, sliced)
-    return feature_table(tx, exact, linear)
+    return feature_table(tx, exact, linear, sliced)
 
 
-def register_views(spark: SparkSession, src: str, prefix: str = "finwake_", features: str | None = None, recursive: bool = False) -> list[str]:
+def register_views(spark: SparkSession, src: str, prefix: str = "finwake_", features: str | None = None, recursive: bool | None = None) -> list[str]:
     """Temporary views for SQL users: the transfers, their two-sided events, histories and features.
 
     With ``features`` the written feature store at that path is a view too.
@@ -40,14 +40,14 @@ def register_views(spark: SparkSession, src: str, prefix: str = "finwake_", feat
 
 
 def build_features(
-    spark: SparkSession, src: str, dest: str, mode: str = "static", linear: bool = True, exact: bool = True, recursive: bool = False
+    spark: SparkSession, src: str, dest: str, mode: str = "static", linear: bool = True, exact: bool = True, recursive: bool | None = None
 ) -> str:
     tx = read_transactions(spark, src, recursive)
     return write_features(features_frame(tx, linear, exact), dest, mode)
 
 
 def run(
-    spark: SparkSession, src: str, cut: str, output: str, kind: str = "gbt", trees: int = 200, depth: int = 8, recursive: bool = False
+    spark: SparkSession, src: str, cut: str, output: str, kind: str = "gbt", trees: int = 200, depth: int = 8, recursive: bool | None = None
 ) -> dict:
     """Features, time split, training, scoring and budget metrics; writes all of them."""
     path = build_features(spark, src, f"{output}/features", recursive=recursive)
@@ -55,8 +55,8 @@ def run(
     train, test = model.split(features, cut)
     fitted = model.fit(train, kind, trees, depth)
     row = alerts.budget_metrics(model.score(fitted, test)).first().asDict()
-    late = F.col("event_date") >= F.lit(cut).cast("date")
-    sizes = features.agg(F.count_if(~late).alias("train"), F.count_if(late).alias("test")).first()
+    early, late = model.parts(cut)
+    sizes = features.agg(F.count_if(early).alias("train"), F.count_if(late).alias("test")).first()
     metrics = {"train_rows": sizes.train, "test_rows": sizes.test, "features": len(FEATURES), "cut": cut, **row}
     fitted.write().overwrite().save(f"{output}/model")
     write_metrics(metrics, f"{output}/metrics.json", spark)

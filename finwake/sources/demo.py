@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from finwake.functions.quantiles import exact_quantile
 from finwake.sources.transactions import normalize
 
 # Fixed values of the demo distribution.
@@ -21,17 +22,33 @@ def uniform(key: str, seed: int, salt: str) -> Column:
     return bits.cast("double") / F.lit(float(1 << 53))
 
 
+GAP_UNIT = float(1 << 20)
+BLOCK = 100_000
+
+
+def sorted_uniforms(spark: SparkSession, rows: int, draw: Column, block: int = BLOCK) -> DataFrame:
+    """(id, share): ``rows`` uniform numbers in [0, 1), ascending with the id; ``draw`` is a uniform column of the id."""
+    gaps = spark.range(rows + 1).select("id", F.floor(F.col("id") / block).alias("_block"), F.round(-F.log(F.lit(1.0) - draw) * GAP_UNIT).cast("bigint").alias("gap"))
+    sums = gaps.groupBy("_block").agg(F.sum("gap").alias("n"))
+    above = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    starts = sums.select("_block", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    within = Window.partitionBy("_block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = gaps.withColumn("run", F.sum("gap").over(within)).join(starts, "_block").filter(F.col("id") < rows)
+    return placed.select("id", ((F.col("start") + F.col("run")) / F.col("all")).alias("share"))
+
+
 def make_transactions(spark: SparkSession, rows: int = 12_000, seed: int = 7) -> DataFrame:
     """``rows`` transfers over 45 days among 400 accounts; no value depends on partitioning.
 
-    Times are the order statistics of uniform minutes, approximated by a sorted
-    even spread with jitter, so that ids follow time without a global sort.
+    Times are sorted uniform minutes, made without a sort: sums of exponential gaps, divided by
+    the sum of all, are distributed as sorted uniforms. Gaps are whole numbers, so sums do not
+    depend on their order; they run within blocks of ids, on top of the sums of earlier blocks.
     """
     u = lambda salt: uniform("id", seed, salt)
     account = lambda salt: F.format_string("A%04d", F.floor(u(salt) * ACCOUNTS).cast("int"))
     normal = F.sqrt(-2.0 * F.log(F.lit(1.0) - u("r"))) * F.cos(2.0 * F.pi() * u("phi"))
-    minute = F.floor((F.col("id") + u("minute")) * F.lit(DAYS * 1440.0 / max(rows, 1))).cast("int")
-    base = spark.range(rows).select(
+    minute = F.least(F.floor(F.col("share") * DAYS * 1440), F.lit(DAYS * 1440 - 1)).cast("int")
+    base = sorted_uniforms(spark, rows, u("minute")).select(
         "id",
         account("sender").alias("sender_id"),
         account("receiver").alias("receiver_id"),
@@ -44,10 +61,10 @@ def make_transactions(spark: SparkSession, rows: int = 12_000, seed: int = 7) ->
             "payment_format"
         ),
     )
-    cut = base.agg(F.percentile("amount_paid", F.lit(TAIL)).alias("cut"))
+    cut = exact_quantile(base, "amount_paid", TAIL)
     bank = lambda c, other: F.when(F.col(c).endswith("0"), "010").otherwise(other)
     return normalize(
-        base.crossJoin(F.broadcast(cut)).select(  # one-row scalar
+        base.select(
             (F.col("id") + 1).alias("txn_id"),
             "event_time",
             F.col("event_time").cast("date").alias("event_date"),
@@ -60,7 +77,7 @@ def make_transactions(spark: SparkSession, rows: int = 12_000, seed: int = 7) ->
             "payment_currency",
             "receiving_currency",
             "payment_format",
-            ((F.col("amount_paid") > F.col("cut")) & (F.col("sender_id") != F.col("receiver_id")))
+            ((F.col("amount_paid") > F.lit(cut)) & (F.col("sender_id") != F.col("receiver_id")))
             .cast("tinyint")
             .alias("is_laundering"),
         )

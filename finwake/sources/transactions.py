@@ -28,15 +28,32 @@ SCHEMA = T.StructType(
 COLUMNS = SCHEMA.names
 
 
-def read_parquet(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+def is_nested(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds folders other than hive partitions (``name=value``) and hidden ones, at any depth.
+
+    Lists folders only until one is found, through Hadoop's file systems.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    todo = [where] if files.exists(where) else []
+    while todo:
+        here = todo.pop()
+        inner = [s.getPath() for s in files.listStatus(here) if s.isDirectory() and s.getPath().getName()[0] not in "._"]
+        if any("=" not in p.getName() and not p.getName().endswith(".parquet") for p in inner):
+            return True
+        todo += inner[:1]  # partitions of one level look alike
+    return False
+
+
+def read_parquet(spark: SparkSession, path: str, recursive: bool | None = None) -> DataFrame:
     """Scan one file, or every Parquet file below a folder.
 
-    Hive-partitioned folders keep their partition columns; ``recursive`` reads
-    nested folders that are not hive-partitioned. Files whose timestamps are in
-    nanoseconds, which Spark refuses, are read as integers and cut to microseconds.
+    Hive-partitioned folders keep their partition columns; folders nested in any other way are
+    read, too, unless ``recursive`` is False. Files whose timestamps are in nanoseconds, which
+    Spark refuses, are read as integers and cut to microseconds.
     """
     reader = spark.read.option("pathGlobFilter", "*.parquet") if not os.path.isfile(path) else spark.read
-    if recursive:
+    if recursive or recursive is None and is_nested(spark, path):
         reader = reader.option("recursiveFileLookup", True)
     try:
         return reader.parquet(path)
@@ -64,7 +81,7 @@ def normalize(frame: DataFrame) -> DataFrame:
     return frame.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMA])
 
 
-def read_transactions(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+def read_transactions(spark: SparkSession, path: str, recursive: bool | None = None) -> DataFrame:
     return normalize(read_parquet(spark, path, recursive))
 
 
