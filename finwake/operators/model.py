@@ -1,4 +1,4 @@
-"""Time split, class weights, training and scoring with Spark ML."""
+"""Time split, class weights, training and scoring: histogram trees of this library, or Spark ML's learners."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from finwake.operators import boosting
+from finwake.operators.boosting import BoostedTrees
 from finwake.operators.features import FEATURES, PASSTHROUGH
 
 MISSING = -1.0
@@ -46,8 +48,10 @@ def prepare(features: DataFrame) -> DataFrame:
     return features.select(*keep, *filled, *flags)
 
 
-def fit(train: DataFrame, kind: str = "gbt", trees: int = 200, depth: int = 8, seed: int = 7) -> PipelineModel:
-    """Boosted trees (or a logistic baseline) on balanced classes."""
+def fit(train: DataFrame, kind: str = "histogram", trees: int = 200, depth: int = 8, seed: int = 7) -> PipelineModel | BoostedTrees:
+    """Boosted trees that take missing values as they are ("histogram"), Spark ML's ("gbt"), or a logistic baseline; on balanced classes."""
+    if kind == "histogram":
+        return boosting.fit(train, FEATURES, trees=trees, depth=depth)
     weights = class_weights(train)
     data = prepare(train).join(F.broadcast(weights), "is_laundering")  # one row per label value
     data = data.withColumn("label", F.col("is_laundering").cast("double"))
@@ -63,7 +67,16 @@ def fit(train: DataFrame, kind: str = "gbt", trees: int = 200, depth: int = 8, s
     return Pipeline(stages=stages).fit(data)
 
 
-def score(model: PipelineModel, features: DataFrame) -> DataFrame:
+def save(model: PipelineModel | BoostedTrees, path: str, spark: SparkSession) -> None:
+    if isinstance(model, BoostedTrees):
+        model.save(path, spark)
+    else:
+        model.write().overwrite().save(path)
+
+
+def score(model: PipelineModel | BoostedTrees, features: DataFrame) -> DataFrame:
     """id columns and the probability of the positive class; rows keep their ids."""
+    if isinstance(model, BoostedTrees):
+        return model.score(features, *PASSTHROUGH)
     out = model.transform(prepare(features))
     return out.select(*PASSTHROUGH, vector_to_array("probability")[1].alias("score"))

@@ -229,6 +229,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "feature_invariants": on(_invariants),
         "ties_daily": lambda spark, sf_dir: _ties(load_lineitem_tx(spark, sf_dir)),
+        "boosted_scores": on(lambda tx: _scores(tx, "histogram")),
         "gbt_scores": on(lambda tx: _scores(tx, "gbt")),
         "logistic_scores": on(lambda tx: _scores(tx, "logistic")),
         "demo_transactions": lambda spark, sf_dir: make_transactions(spark),

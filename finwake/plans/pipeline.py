@@ -47,7 +47,7 @@ def build_features(
 
 
 def run(
-    spark: SparkSession, src: str, cut: str, output: str, kind: str = "gbt", trees: int = 200, depth: int = 8, recursive: bool | None = None
+    spark: SparkSession, src: str, cut: str, output: str, kind: str = "histogram", trees: int = 200, depth: int = 8, recursive: bool | None = None
 ) -> dict:
     """Features, time split, training, scoring and budget metrics; writes all of them."""
     path = build_features(spark, src, f"{output}/features", recursive=recursive)
@@ -58,6 +58,6 @@ def run(
     early, late = model.parts(cut)
     sizes = features.agg(F.count_if(early).alias("train"), F.count_if(late).alias("test")).first()
     metrics = {"train_rows": sizes.train, "test_rows": sizes.test, "features": len(FEATURES), "cut": cut, **row}
-    fitted.write().overwrite().save(f"{output}/model")
+    model.save(fitted, f"{output}/model", spark)
     write_metrics(metrics, f"{output}/metrics.json", spark)
     return metrics

@@ -9,7 +9,7 @@ def test_catalogue_is_consistent(spark):
     from finwake.plans import catalog
 
     q, o = catalog.queries(), catalog.oracle_sql()
-    assert set(o) <= set(q) and set(q) - set(o) == {"gbt_scores", "logistic_scores", "demo_transactions"}
+    assert set(o) <= set(q) and set(q) - set(o) == {"boosted_scores", "gbt_scores", "logistic_scores", "demo_transactions"}
     importlib.reload(entry)
     assert set(q) <= set(entry.queries())
 
