@@ -45,7 +45,8 @@ CLOSES_P = frozenset(
 )
 DEPTH = 512  # elements nested deeper count as part of the last one, as in browsers
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>|</?[a-zA-Z][^>]*>", re.S)
+_OPENS = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+_STOP = re.compile(r"[>\"']")
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -55,6 +56,55 @@ _SPACE = re.compile(r"[\s\xa0]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def tokens(page: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of every comment, declaration and tag, in time linear in the page.
+
+    A tag ends at the first ``>`` outside quotes; where quotes never close, at the first ``>``
+    at all. Whether a scan outside quotes reaches the end of the page from some stop is
+    remembered, as is the stop after a place, so nothing is scanned again and again.
+    """
+    size, last = len(page), page.rfind(">")
+    dead: set[int] = set()  # stops outside quotes from which no tag ends
+    known = (0, -1)  # no stop lies between these two places
+
+    def tag_end(at: int) -> int:
+        nonlocal known
+        visited = []
+        while True:
+            if not known[0] <= at <= known[1]:
+                m = _STOP.search(page, at)
+                known = (at, m.start() if m else size)
+            stop = known[1]
+            if stop < size and page[stop] == ">":
+                return stop + 1
+            visited.append(stop)
+            close = page.find(page[stop], stop + 1) if stop < size and stop not in dead else -1
+            if close < 0:
+                dead.update(visited)
+                return -1
+            at = close + 1
+
+    at = 0
+    while m := _OPENS.search(page, at):
+        start, opening = m.start(), m[0]
+        if opening == "<!--" or opening == "<![CDATA[":
+            mark = "-->" if opening == "<!--" else "]]>"
+            end = page.find(mark, m.end())
+            end = size if end < 0 else end + len(mark)
+        elif opening in ("<!", "<?"):
+            end = page.find(">", m.end())
+            end = size if end < 0 else end + 1
+        else:
+            end = tag_end(m.end()) if start < last else -1
+            if end < 0 and start < last:
+                end = page.find(">", m.end()) + 1
+        if end < 0:  # no tag: text
+            at = m.end()
+            continue
+        yield start, end
+        at = end
+
+
 class Block:
     """One leaf block: its text, its ancestors' tags and attribute words, the share of its text in links."""
 
@@ -105,14 +155,14 @@ def blocks_of(page: str) -> list[Block]:
         if raw:
             parts.append((_html.unescape(raw) if "&" in raw else raw, links > 0))
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        token = m[0]
-        if m.start() < at:
+    at, unclosed = 0, set()
+    for start, end in tokens(page):
+        token = page[start:end]
+        if start < at:
             continue
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
+        if start > at:
+            text(page[at:start])
+        at = end
         name = _NAME.match(token)
         if name is None:
             if token.startswith("<![CDATA["):
@@ -121,7 +171,9 @@ def blocks_of(page: str) -> list[Block]:
         tag, end = name[1].lower(), token[1] == "/"
         if not end and tag in RAW:
             if tag != "head" and not token.endswith("/>"):
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                stop = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                if stop is None:
+                    unclosed.add(tag)
                 if tag in ("select", "svg", "math", "object", "iframe", "video", "audio", "canvas", "textarea"):
                     flush()
                 if stop or tag not in FALLBACK:

@@ -75,22 +75,24 @@ def mix(
     """Every column of ``documents`` for each copy, plus copy_no (from 0), copies, repetition_rate and
     shuffle_key; a name already taken gets a leading underscore. Rows end in global random order."""
     copy_no, copies, rate, order = free_names(documents.columns, "copy_no", "copies", "repetition_rate", "shuffle_key")
+    names = free_names([*documents.columns, copy_no, copies, rate, order], "_source", "_rate", "_parts", "_cdf")
     rates = repetition_rates(documents, source, text, targets, epochs)
     parts = F.greatest(F.lit(1), F.ceil(F.col("_rate") / PIECE)).cast("int")
     rates = rates.filter("_rate > 0").withColumn("_parts", parts).withColumn("_cdf", poisson_cdf(F.col("_rate") / F.col("_parts")))
-    rates = rates.select("_source", "_rate", "_parts", "_cdf")
+    rates = rates.select(*[F.col(c).alias(n) for c, n in zip(("_source", "_rate", "_parts", "_cdf"), names)])
+    own_source, own_rate, own_parts, cdf = names
     small = rates.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES
-    joined = documents.join(F.broadcast(rates) if small else rates, F.col(source).eqNullSafe(F.col("_source")))
+    joined = documents.join(F.broadcast(rates) if small else rates, F.col(source).eqNullSafe(F.col(own_source)))
 
     def draw(j: Column) -> Column:
         u = hashed_unit(F.col(key).cast("string"), F.lit(str(seed)), j.cast("string"))
-        return F.size(F.filter(F.col("_cdf"), lambda c: c <= u))
+        return F.size(F.filter(F.col(cdf), lambda c: c <= u))
 
-    count = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_parts")), draw), F.lit(0), lambda a, n: a + n)
+    count = F.aggregate(F.transform(F.sequence(F.lit(1), F.col(own_parts)), draw), F.lit(0), lambda a, n: a + n)
     copied = joined.withColumn(copies, count).filter(F.col(copies) > 0)
     copied = copied.withColumn(copy_no, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
     copied = copied.withColumn(order, hashed_key(F.col(key).cast("string"), F.lit(str(seed)), F.lit("order"), F.col(copy_no).cast("string")))
-    out = copied.select(*documents.columns, copy_no, copies, F.col("_rate").alias(rate), order)
+    out = copied.select(*documents.columns, copy_no, copies, F.col(own_rate).alias(rate), order)
     return out.repartition(F.col(order)).sortWithinPartitions(order)
 
 

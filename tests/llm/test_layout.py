@@ -149,3 +149,16 @@ def test_against_sql(spark, name):
     names = [d[0] for d in con.description]
     got = [tuple(r[n] for n in names) for r in catalog.queries()[name](spark, SF).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_mixing_keeps_columns_named_like_its_own(frame):
+    docs = frame([(i, f"text {i}") for i in range(50)]).withColumns({c: F.lit(c) for c in ("_source", "_rate", "_parts", "_cdf", "_bytes")})
+    got = mixing.mix(docs, epochs=2.0).collect()
+    assert got and all((r["_source"], r["_rate"], r["_parts"], r["_cdf"]) == ("_source", "_rate", "_parts", "_cdf") for r in got)
+
+
+def test_stages_keep_a_column_named_row(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("_row", F.lit(77))
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.near_dedup_stage):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and 0 < out.filter("_row = 77").count() == out.count()
