@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finwake.llm import decontamination, minmax, mixing, quality, sharding, simhash
-from finwake.llm.store import materialise, with_rows
+from finwake.llm.store import free_names, materialise, with_rows
 
 ORACLE_SQL = None
 
@@ -20,16 +20,17 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. Labels of documents that are gone play no part."""
     columns, labels = docs.columns, spark.read.parquet(f"{sf_dir}/labels.parquet")
-    docs = with_rows(docs, "doc_id", "_row", "stage-rows")
-    scored = materialise(quality.score_quality(docs, labels, row="_row"), "stage-quality")
-    bad = scored.filter(F.col("score") < quality.CUT).select("_row")
-    return docs.join(bad, "_row", "left_anti").select(*columns)
+    (row,) = free_names(columns, "_row")
+    docs = with_rows(docs, "doc_id", row, "stage-rows")
+    scored = materialise(quality.score_quality(docs, labels, row=row), "stage-quality")
+    bad = scored.filter(F.col("score") < quality.CUT).select(row)
+    return docs.join(bad, row, "left_anti").select(*columns)
 
 
-def _without(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, groups: DataFrame, row: str) -> DataFrame:
     """docs without the members of ``groups`` that are not their component's smallest row."""
-    drop = groups.filter(F.col("_row") != F.col("component_id")).select("_row")
-    return docs.join(drop, "_row", "left_anti")
+    drop = groups.filter(F.col(row) != F.col("component_id")).select(row)
+    return docs.join(drop, row, "left_anti")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +41,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     similarity of 0.8 or more. Rows that share an id, or have none, are decided one by one.
     """
     columns = docs.columns
-    docs = with_rows(docs, "doc_id", "_row", "stage-rows")
-    first = materialise(_without(docs, simhash.near_groups(docs.select("_row", "text"), "_row")), "stage-near")
-    near = minmax.similar_groups(first.select("_row", "text"), "_row", size=5, words="unicode")
-    return _without(first, near).select(*columns)
+    (row,) = free_names(columns, "_row")
+    docs = with_rows(docs, "doc_id", row, "stage-rows")
+    first = materialise(_without(docs, simhash.near_groups(docs.select(row, "text"), row), row), "stage-near")
+    near = minmax.similar_groups(first.select(row, "text"), row, size=5, words="unicode")
+    return _without(first, near, row).select(*columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
