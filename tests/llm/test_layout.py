@@ -135,7 +135,7 @@ def test_stages_decide_row_by_row(spark, frame, tmp_path):
 
 def test_catalogue():
     q = catalog.queries()
-    assert [f"op{n}" for n in range(1, 11)] == sorted({k.split("_")[0] for k in q}, key=lambda s: int(s[2:]))
+    assert [f"op{n}" for n in range(1, 14)] == sorted({k.split("_")[0] for k in q}, key=lambda s: int(s[2:]))
     assert set(catalog.oracle_sql()) <= set(q)
 
 
