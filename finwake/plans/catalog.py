@@ -203,6 +203,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "history_blocks": on(lambda tx: history_sliced(two_sided(tx), linear=True).select(*KEY, *BASE)),
         "feature_table": on(lambda tx: _rounded(feature_table(tx))),
         "feature_table_onepass": on(lambda tx: _rounded(feature_table_onepass(tx))),
+        "feature_table_sliced": on(lambda tx: _rounded(feature_table_onepass(tx, linear=True, sliced=True))),
         "features_roundtrip": lambda spark, sf_dir: _roundtrip(spark, load_events_tx(spark, sf_dir)),
         "split_train": on(lambda tx: model.split(tx, CUT)[0].select("txn_id", "event_time", "is_laundering")),
         "split_test": on(lambda tx: model.split(tx, CUT)[1].select("txn_id", "event_time", "is_laundering")),
@@ -297,6 +298,7 @@ def oracle_sql() -> dict[str, str]:
         "history_blocks": h(full),
         "feature_table": t(table),
         "feature_table_onepass": t(table),
+        "feature_table_sliced": t(table),
         "features_roundtrip": t(table),
         "split_train": x(f"SELECT txn_id, event_time, is_laundering FROM tx WHERE event_time < TIMESTAMP '{CUT}'"),
         "split_test": x(f"SELECT txn_id, event_time, is_laundering FROM tx WHERE event_time >= TIMESTAMP '{CUT}'"),
