@@ -2,13 +2,14 @@
 
 import datetime as dt
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from finwake.operators.features import feature_table_onepass
 from finwake.sources.transactions import SCHEMA
-from finwake.streaming.refresh import refresh_batch, start
+from finwake.streaming.refresh import PairState, refresh_batch, start
 
 
 def transfers(n=240, days=120, seed=3):
@@ -73,3 +74,43 @@ def test_stream_of_files(spark, tmp_path):
     want = feature_table_onepass(spark.createDataFrame(rows, SCHEMA))
     got = spark.read.parquet(str(tmp_path / "features"))
     assert got.count() == 80 and table(got.select(*want.columns).withColumn("event_date", F.col("event_date"))) == table(want)
+
+
+def test_older_days_of_the_store_are_not_read(spark, tmp_path):
+    """Days before the kept cut are taken away; later batches still find every pair's last meeting."""
+    rows = sorted(transfers(200, 260, seed=8), key=lambda r: r[1])
+    cuts = [0, 80, 140, 200]
+    store, dest = tmp_path / "store", str(tmp_path / "features")
+    taken = 0
+    for a, b in zip(cuts, cuts[1:]):
+        refresh_batch(spark.createDataFrame(rows[a:b], SCHEMA), str(store), dest)
+        kept = PairState(spark, f"{store}_pairs").cuts()[-1]
+        for folder in store.glob("day=*"):
+            if folder.name < f"day={kept}":
+                shutil.rmtree(folder)
+                taken += 1
+    assert taken > 20
+    want = feature_table_onepass(spark.createDataFrame(rows, SCHEMA))
+    assert table(spark.read.parquet(dest).select(*want.columns)) == table(want)
+
+
+def test_late_transfers_drop_later_cuts(spark, tmp_path):
+    """In-order batches make cuts; one very late transfer changes what a pair did before them."""
+    rows = sorted(transfers(260, 300, seed=5), key=lambda r: r[1])
+    late = rows[20:24] + rows[100:103]
+    rest = [r for r in rows if r not in late]
+    check(spark, [rest[:200], rest[200:230], late, rest[230:]], tmp_path)
+    cuts = PairState(spark, str(tmp_path / "store_pairs")).cuts()
+    assert 1 <= len(cuts) <= 5
+
+
+def test_unfinished_or_missing_state_is_made_again(spark, tmp_path):
+    rows = sorted(transfers(160, 200, seed=6), key=lambda r: r[1])
+    store, dest = str(tmp_path / "store"), str(tmp_path / "features")
+    refresh_batch(spark.createDataFrame(rows[:80], SCHEMA), store, dest)
+    refresh_batch(spark.createDataFrame(rows[80:120], SCHEMA), store, dest)
+    for mark in (tmp_path / "store_pairs").glob("*/_SUCCESS"):
+        mark.unlink()
+    refresh_batch(spark.createDataFrame(rows[120:], SCHEMA), store, dest)
+    want = feature_table_onepass(spark.createDataFrame(rows, SCHEMA))
+    assert table(spark.read.parquet(dest).select(*want.columns)) == table(want)
