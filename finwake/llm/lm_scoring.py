@@ -13,10 +13,19 @@ training documents; nothing is tuned.
 
 Automaton: the root, every training word and every training pair are states. State u v has an
 arc for every w seen after it, with weight log10 P(w | u v), and a failure arc with weight
-log10 b3(c(u v)) to state v, whose own leads with log10 b2(c(v)) to the root. Each text is one
-left-to-right traversal from the start (the end token): at a state without an arc for the next
-word failure arcs are followed, adding their weights, then the arc found; the state after it
-is the longest seen suffix, a pair, a word or the root.
+log10 b3(c(u v)) to state v, whose own leads with log10 b2(c(v)) to the root. The root has an arc
+for every training word and one for all others. Each text is one left-to-right traversal from
+the start (the end token): at a state without an arc for the next word failure arcs are
+followed, adding their weights, then the arc found; the state after it is the longest seen
+suffix, a pair, a word or the root.
+
+``Automaton`` holds the part of it that a block can reach: arrays of states (failure target and
+weight) and of arcs (state left, state reached, weight). A block's n-grams are numbered, and arc
+number i stands for n-gram i, so the arc of a state for the next word is found without a search:
+it is the number of the n-gram there, if that arc leaves this very state. All texts are walked side
+by side, a word a step, each with its state. Long texts are cut into pieces of ``PIECE`` words; a
+piece starts two words early at the root, which is enough to be in the state of the whole walk,
+because no state remembers more than two words.
 
 The model grows with the corpus and is never whole in one place. Each task
 packs its texts into blocks, which are written down. A block lists its different words, pairs and
@@ -49,6 +58,7 @@ END = np.uint64(0x5EED0F7E57E4D000)
 HELD = 1  # the remainder that is kept out of training
 BLOCK_BYTES = 10 << 20
 MAX_ROWS = 1 << 18  # of a block, for very short texts
+PIECE = 512  # words walked in one piece
 ORDERS = ("w", "p", "t")  # words, pairs, triples
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -193,24 +203,80 @@ def backoff(order: dict[int, tuple[int, int]], histories: dict[int, tuple[int, i
     return d, (lo + hi) / 2 - 1
 
 
-def traverse(first: np.ndarray, counts: tuple[np.ndarray, ...], start: int, n: int, v: int, weights: tuple[tuple[float, float], ...]) -> tuple[np.ndarray, np.ndarray]:
-    """log10 weights that the automaton adds at each token: by the root's arcs alone, and on its way.
+class Automaton:
+    """States and arcs that one block can reach.
 
-    ``counts`` are those of the token, its pair and its triple; ``start`` is that of END.
+    States: 0 the root, then the block's words, then its pairs; ``words`` and ``pairs`` are the
+    last numbers of the first two. Arcs: 0 the root's arc for unseen words, then one for each of the
+    block's words, pairs and triples. States and arcs of n-grams that training has not seen
+    have no arc to them: ``source`` is -1.
     """
-    root = np.log10(counts[0] + 0.5) - math.log10(n + 0.5 * (v + 1))
-    # counts of the states that the token is read in: the word before, and the two words before
-    word, pair = np.empty_like(counts[0]), np.empty_like(counts[1])
-    word[1:], pair[1:] = counts[0][:-1], counts[1][:-1]
-    word[first], pair[first] = start, 0
-    value = root
-    for state, arc, (d, power) in ((word, counts[1], weights[0]), (pair, counts[2], weights[1])):
-        seen = np.maximum(state, 1).astype(float)
-        fail = d * seen**power
-        with_arc = np.log10(np.maximum((1 - fail) * arc / seen, 1e-300) + fail * 10.0**value)
-        # from a state: its arc where there is one, else its failure arc and what follows; the root is no such state
-        value = np.where(state == 0, value, np.where(arc > 0, with_arc, np.log10(fail) + value))
-    return root, value
+
+    def __init__(self, counts: list[np.ndarray], sources: list[np.ndarray], lower: list[np.ndarray], n: int, v: int, weights: tuple[tuple[float, float], ...]):
+        """``counts`` of the block's words, pairs and triples; of its pairs and triples the n-gram
+        they start with (``sources``) and end with (``lower``), as numbers within the lower order.
+        """
+        sizes = [len(c) for c in counts]
+        self.words, self.pairs = sizes[0], sizes[0] + sizes[1]
+        base = [1, 1 + sizes[0], 1 + self.pairs]  # first arc of each order; also first state of words and pairs
+        total = 1 + sum(sizes)
+        self.base = base
+        self.source = np.full(total, -1, np.int32)
+        self.target = np.zeros(total, np.int32)
+        self.weight = np.zeros(total)
+        self.fail_to = np.zeros(1 + self.pairs, np.int32)
+        self.fail_weight = np.zeros(1 + self.pairs)
+        # the root's arcs
+        self.weight[0] = math.log10(0.5) - math.log10(n + 0.5 * (v + 1))
+        self.weight[1 : base[1]] = np.log10(counts[0] + 0.5) - math.log10(n + 0.5 * (v + 1))
+        seen = np.flatnonzero(counts[0])
+        self.source[1 + seen], self.target[1 + seen] = 0, 1 + seen
+        for k in (0, 1):  # arcs of word states, then of pair states
+            d, power = weights[k]
+            states = np.maximum(counts[k], 1).astype(float)
+            lose = d * states**power
+            self.fail_weight[base[k] : base[k] + sizes[k]] = np.log10(lose)
+            if k:
+                self.fail_to[base[1] :] = base[0] + lower[0]
+            i = np.flatnonzero(counts[k + 1])
+            at, below = sources[k][i], self.weight[base[k] + lower[k][i]]
+            self.source[base[k + 1] + i] = base[k] + at
+            self.target[base[k + 1] + i] = base[1] + (i if k == 0 else lower[1][i])
+            self.weight[base[k + 1] + i] = np.log10((1 - lose[at]) * counts[k + 1][i] / states[at] + lose[at] * 10.0**below)
+
+    def walk(self, grams: list[np.ndarray], first: np.ndarray, size: np.ndarray, begin: int, piece: int = PIECE) -> np.ndarray:
+        """log10 probability of each text. ``grams``: at each token the number of its word, pair and
+        triple (the last -1 at a text's first); texts are ``size`` tokens from ``first``; ``begin`` is the state they start in.
+        """
+        many = -(-size // piece)
+        text = np.repeat(np.arange(len(size)), many)
+        turn = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        early = np.where(turn > 0, 2, 0)
+        at = first[text] + turn * piece - early
+        steps = np.minimum(piece, size[text] - turn * piece) + early
+        order = np.argsort(-steps, kind="stable")  # the pieces that still walk are the first ones
+        text, at, steps, early = text[order], at[order], steps[order], early[order]
+        state = np.where(early > 0, 0, begin).astype(np.int32)
+        score = np.zeros(len(text))
+        live = np.searchsorted(-steps, -np.arange(int(steps.max(initial=0))), side="left")
+        for t, m in enumerate(live):
+            s, here, gained = state[:m], at[:m] + t, np.zeros(m)
+            arc = np.zeros(m, np.int32)
+            for k, least in ((2, self.words), (1, 0)):
+                number = grams[k][here]
+                try_arc = np.where(number < 0, 0, self.base[k] + number)
+                has = (s > least) & (self.source[try_arc] == s)
+                arc[has] = try_arc[has]
+                stuck = (s > least) & ~has & (arc == 0)
+                gained[stuck] += self.fail_weight[s[stuck]]
+                s = np.where(stuck, self.fail_to[s], s)
+            free = np.flatnonzero(arc == 0)  # at the root; its arc for unseen words is number 0
+            word = self.base[0] + grams[0][here[free]]
+            arc[free] = np.where(self.source[word] == 0, word, 0)
+            gained += self.weight[arc]
+            score[:m] += np.where(t < early[:m], 0.0, gained)
+            state[:m] = self.target[arc]
+        return np.bincount(text, weights=score, minlength=len(size))
 
 
 def _blocks(documents: DataFrame, key: str, text: str, block_bytes: int) -> DataFrame:
@@ -306,31 +372,41 @@ def score_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", b
         tokens, row = text_tokens(_unpacked(left.column("packed")[0].as_py(), rows))
         replies = sorted(zip(right.column("kind").to_pylist(), right.column("range").to_pylist(), right.column("counts").to_pylist()), key=lambda x: x[:2])
         first, *keyed = grams(tokens, row)
-        start_at = np.flatnonzero(tokens == END)[:1]
-        counts = []
-        while keyed:  # one order at a time, each freed before the next
+        sizes = np.bincount(row, minlength=rows).astype(np.int64)
+        begins = np.flatnonzero(first)
+        ends = tokens == END
+        del tokens
+        numbers, counts, sources, lower = [], [], [], []
+        while keyed:  # one order at a time, its keys freed before the next
             kind, values = ORDERS[len(counts)], keyed.pop(0)
             use = np.flatnonzero(~first) if kind == "t" else np.arange(len(values))
-            keys, at = np.unique(values[use], return_inverse=True)
+            keys, where, at = np.unique(values[use], return_index=True, return_inverse=True)
             corpus = np.concatenate([_wide(_unsqueeze(c)) for k, _, c in replies if k == kind]) if len(keys) else np.zeros(0, np.int64)
-            mine = np.zeros(len(values), np.int64)
-            mine[use] = corpus[at]
-            counts.append(mine)
-            del values, keys, at, corpus, use
+            number = np.full(len(values), -1, np.int32)
+            number[use] = at
+            if numbers:  # the n-gram's last token stands at ``where``; what it starts with ends one token earlier
+                where = use[where]
+                lower.append(numbers[-1][where])
+                before = numbers[-1][where - 1]
+                sources.append(np.where(first[where], numbers[0][np.argmax(ends)], before) if kind == "p" else before)
+            numbers.append(number)
+            counts.append(corpus)
+            del values, keys, where, at, use
         # every training text starts after one END, so END's count as a state is its count as a token
-        start = int(counts[0][start_at[0]]) if len(start_at) else 0
-        sizes = np.bincount(row, minlength=rows).astype(np.int64)
-        del tokens
-        root, value = traverse(first, tuple(counts), start, n_train, n_types, weights)
+        begin = int(numbers[0][np.argmax(ends)]) if rows else 0
+        begin = 1 + begin if rows and counts[0][begin] else 0
+        machine = Automaton(counts, sources, lower, n_train, n_types, weights)
+        root = machine.weight[1 + numbers[0]]
+        known = counts[0][numbers[0]] > 0
         total = lambda x: np.bincount(row, weights=x, minlength=rows)
         return pa.table(
             {
                 "_id": ids,
                 "held_out": pa.array(~train.to_numpy(zero_copy_only=False).astype(bool)),
                 "n_tokens": pa.array(sizes),
-                "n_known": pa.array(total(counts[0] > 0).astype(np.int64)),
+                "n_known": pa.array(total(known).astype(np.int64)),
                 "base_score": pa.array(total(root)),
-                "score": pa.array(total(value)),
+                "score": pa.array(machine.walk(numbers, begins, sizes, begin)),
             }
         )
 

@@ -102,6 +102,37 @@ def test_language_model(frame, rows):
     assert sorted([(*tuple(r)[:5], round(r.base_score, 6), round(r.score, 6)) for r in got], key=str) == brute_lm(rows)
 
 
+def test_long_texts_are_walked_in_pieces(frame):
+    """Texts about as long as a piece, and far longer ones, score as in one walk."""
+    near = [(60 + k, prose(lm_scoring.PIECE + k, k)) for k in range(-3, 3)]
+    rows = [(i, prose(7 * i, i % 4)) for i in range(30)] + near + [(50, prose(5 * lm_scoring.PIECE, 77))]
+    got = lm_scoring.score_texts(frame(rows), block_bytes=1000).collect()
+    assert sorted([(*tuple(r)[:5], round(r.base_score, 6), round(r.score, 6)) for r in got], key=str) == brute_lm(rows)
+
+
+def test_pieces_reach_the_state_of_the_whole_walk():
+    rng = np.random.default_rng(4)
+    tokens, sizes = rng.integers(0, 6, 400), np.array([1, 2, 3, 4, 5, 85, 100, 200])
+    begins = np.cumsum(sizes) - sizes
+    numbers = []
+    for k in range(3):
+        key = [tuple(tokens[max(i - k, 0) : i + 1]) for i in range(400)]
+        names = {x: j for j, x in enumerate(dict.fromkeys(key))}
+        numbers.append(np.array([names[x] for x in key], np.int32))
+    numbers[2][begins] = -1
+    where = [np.array([np.flatnonzero(n == j)[0] if (n == j).any() else 1 for j in range(n.max() + 1)]) for n in numbers]
+    counts = [rng.integers(0, 3, n.max() + 1) * 40 // 3**k for k, n in enumerate(numbers)]
+    lower = [numbers[k][where[k + 1]] for k in (0, 1)]
+    sources = [numbers[k][where[k + 1] - 1] for k in (0, 1)]
+    counts[1] = np.where(counts[0][lower[0]] * counts[0][sources[0]] > 0, np.minimum(counts[1], counts[0][sources[0]]), 0)
+    counts[2] = np.where(counts[1][lower[1]] * counts[1][sources[1]] > 0, np.minimum(counts[2], counts[1][sources[1]]), 0)
+    m = lm_scoring.Automaton(counts, sources, lower, 1000, 6, ((0.5, -0.3), (0.6, -0.2)))
+    whole = m.walk(numbers, begins, sizes, 0, 1000)
+    for piece in (2, 3, 7, 64):
+        assert np.allclose(m.walk(numbers, begins, sizes, 0, piece), whole, atol=1e-9)
+    assert (whole < 0).all()
+
+
 def test_counts_survive_packing():
     for counts in ([], [0, 1, 254], [255, 70_000, 3, 1 << 40], [300] * 5):
         c = np.array(counts, np.int64)
