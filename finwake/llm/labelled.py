@@ -17,7 +17,8 @@ def training_rows(
 
     The choice is the same at every size and partitioning: ids are taken in the order of their
     hash. Of conflicting labels of an id the larger one counts; null ids and other labels than 0
-    and 1 do not. Repeated ids give a row each; ``one_per_id`` keeps one of what is made of them.
+    and 1 do not. Of rows that share an id the least text counts, picked by the executors before
+    anything is collected, so there are never more rows than ids, however often one repeats.
     Only bounded choices are broadcast, and texts stay on the executors.
     """
     known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
@@ -27,15 +28,13 @@ def training_rows(
         parts = [known.filter(F.col("_y") == y).orderBy(F.xxhash64("_k", F.lit(7)), "_k").limit(per_class) for y in (0, 1)]
         known = F.broadcast(parts[0].unionByName(parts[1]))
     body = documents.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return body.join(known, "_k").select("_k", remainder(F.col("_k")).cast("int").alias("f"), "_y", "_text")
+    found = body.join(known, "_k").groupBy("_k", "_y").agg(F.min("_text").alias("_text"))
+    return found.select("_k", remainder(F.col("_k")).cast("int").alias("f"), "_y", "_text")
 
 
-def one_per_id(rows: list[tuple]) -> list[tuple]:
-    """Of (id, ...) rows the least of each id, in the order of the ids: independent of partitioning."""
-    least: dict = {}
-    for r in rows:
-        least[r[0]] = min(least.get(r[0], r), r)
-    return [least[k] for k in sorted(least)]
+def by_id(rows: list[tuple]) -> list[tuple]:
+    """(id, ...) rows in the order of the ids: independent of partitioning."""
+    return sorted(rows, key=lambda r: r[0])
 
 
 def logistic_fit(x, y, l2: float = 1.0, rounds: int = 30, weight=None):

@@ -24,7 +24,7 @@ are the counts of the bounded choice.
 
 Edge cases: null counts as empty; an empty text scores as one without any evidence;
 without labels of both classes every score is 0; of conflicting labels of an id the larger
-counts; other columns are not read; an empty table gives an empty result.
+counts, of its rows the least text; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finwake.llm import textops as X
-from finwake.llm.labelled import logistic_fit, one_per_id, remainder, training_rows
+from finwake.llm.labelled import by_id, logistic_fit, remainder, training_rows
 
 PER_CLASS = 1000
 ADDITIVE = 10.0  # of every word in the lowest order of the shared backoff; compared with 0.5, 3 and 30 on training rows
@@ -208,7 +208,7 @@ def fit(rows: DataFrame, prior: float) -> dict | None:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), x], ["_k", "_y", "x"])
 
     judged = texts.select("_k", "half", "_y", "t").mapInArrow(run, f"_k {kind}, _y int, x array<double>").toArrow()
-    found = one_per_id(list(zip(*(judged.column(c).to_pylist() for c in ("_k", "_y", "x")))))
+    found = by_id(list(zip(*(judged.column(c).to_pylist() for c in ("_k", "_y", "x")))))
     shared.destroy()
     y, e = np.array([r[1] for r in found]), np.array([r[2] for r in found])
     # the choice is balanced by class; weights bring the curve back to the share of toxic labels
@@ -226,7 +226,7 @@ def toxic_share(labels: DataFrame, key: str = "doc_id", held: int = 0) -> float:
 def score_toxicity(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> DataFrame:
     """(key, score, word_ratio, word_mean, pair_ratio, pair_mean): score and length-normalised differences of every row."""
     model = fit(training_rows(documents, labels, "toxic", per_class, key, text), toxic_share(labels, key))
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the choice: some hundred pairs a document
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # as long as the chosen texts: per_class of them a class
     kind = documents.schema[key].dataType.simpleString()
     names = ["word_ratio", "word_mean", "pair_ratio", "pair_mean"]
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from finwake.llm import decontamination, html_text, lm_scoring, quality, toxicity
 from finwake.llm import textops as X
+from finwake.llm.labelled import training_rows
 
 SF = "/root/testdata/sf0.1"
 
@@ -51,6 +52,21 @@ def test_classifiers_take_odd_rows(spark, frame, module, label):
     assert module.decisions(frame([]), labels).count() == 0
 
 
+def test_a_labelled_id_that_repeats_gives_one_training_row(spark, frame):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:20]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in ids], "doc_id bigint, quality int, toxic int")
+    plain = frame([(i, prose(20, i)) for i in ids])
+    hot = spark.range(100_000).select(F.lit(ids[0]).alias("doc_id"), F.concat(F.lit("~ later "), F.col("id").cast("string")).alias("text"))
+    docs = plain.select("doc_id", "text").unionByName(hot)
+    rows = training_rows(docs, labels, "quality", 50).collect()
+    assert sorted(r._k for r in rows) == ids and all(r._text == prose(20, r._k) for r in rows)
+    for module in (quality, toxicity):
+        scores = module.decisions(docs, labels).join(plain.select("doc_id").distinct(), "doc_id")
+        got = {r.doc_id: r.score for r in scores.filter(f"doc_id != {ids[0]}").collect()}
+        want = {r.doc_id: r.score for r in module.decisions(plain, labels).filter(f"doc_id != {ids[0]}").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_quality_features_follow_the_text():
     x = quality.text_features(pa.array(["AB cd", "", "a a a b"]))
     f = dict(zip(quality.NAMES, x.T))
