@@ -3,7 +3,7 @@
 A byte goes if some 200-byte string that covers it also starts anywhere else in the
 corpus. A suffix array decides this by sorting all suffixes and comparing neighbours on
 their first 200 bytes. Sorting every suffix would ship 200 bytes for each byte of text,
-so suffixes are first thinned without loss, in levels that share one shape:
+so neighbouring starts are sorted as one long suffix first, in levels of one shape:
 
 - A run of neighbouring starts has a core (bytes that all its 200-byte strings share) and
   a union (all bytes they cover). If its core occurs nowhere else, no string of the run is
@@ -13,17 +13,21 @@ so suffixes are first thinned without loss, in levels that share one shape:
 - Level 1 takes runs whose 200-byte strings have the same anchor (the leftmost 64-byte
   string of least hash, so content alone decides it); the anchor is the core.
 - Level 2 cuts the runs that are left, one of each union, into runs of ``BLOCKS`` starts.
-- Level 3 sorts the suffixes that are left: sampled splitters range-partition them by
-  their leading bytes, each bucket is sorted by multikey quicksort on 8-byte words, and
-  neighbours are compared on all 200 bytes. A run of equal leading bytes that is split
-  over several buckets is dealt by its whole content, so equal strings never face each
-  other across a bucket boundary and each boundary needs no comparison but this rule.
-
-Unions count as equal when two 64-bit hashes agree, that of the core and that of the union,
-which are drawn from different bases and byte values and so are independent; a core whose hash
-repeats by chance only goes on to the next level. Suffixes are compared byte by byte. Each task first settles what repeats within its own batch and ships one run for
-it, so the copies of a hot passage send one row a task; joins on hot cores are equi-joins
-that adaptive execution may split. Texts travel twice, compressed.
+- Level 3 takes single starts: the union is the 200-byte string itself.
+
+At each level the unions are sorted as suffixes: sampled splitters range-partition them by
+their leading bytes, each bucket is sorted by multikey quicksort on 8-byte words, and
+neighbours are compared on all bytes. A run of equal leading bytes that is split over
+several buckets is dealt by its whole content, so equal strings never face each other
+across a bucket boundary and each boundary needs no comparison but this rule.
+
+Hashes (64 bits of cores, 64 of unions) only leave out what cannot be equal: a run goes to the
+sort if both are met again. What is removed was compared byte by byte, in the sort or, for
+copies within one batch of a task, there. Each task settles its own copies and ships one run
+for them, so a hot passage sends one row a batch; unions that still have over ``HOT`` rows
+are sorted in salted parts, and one row of each part once more. Buckets follow the number of
+rows. Joins on hot cores are equi-joins that adaptive execution may split. Texts travel
+twice, compressed.
 
 Edge cases: null is empty; texts under 200 bytes lose nothing; matches never cross rows;
 rows with repeated or null ids are separate documents (a surrogate id is written first);
@@ -36,6 +40,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +52,9 @@ GRAM = 64  # leading bytes of an anchored suffix
 BLOCKS = (8,)  # starts in a run, from level 2 on
 PIECE = 2 << 20  # longer texts are scanned in pieces that overlap by one string
 UNION = 2  # seed of the union hashes; cores have seed 1
-SAMPLE = 20_000  # about so many suffixes are drawn for the splitters
+SAMPLE = 20_000  # about so many suffixes are drawn for the splitters, more for over 1,000 buckets
+BUCKET = 32 << 20  # bytes of the sorted strings of a bucket
+HOT = 2048  # a union of more rows is sorted in parts of about so many
 RUN_SCHEMA = "kind int, rid bigint, start bigint, count int, base bigint, origin bigint, core bigint, whole bigint, n int"
 
 
@@ -164,12 +171,24 @@ def equal_rows(key: np.ndarray, same: Callable) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([first, odd]), size
 
 
-def settle(rid, start, count, base, origin, core, whole) -> Iterator[pa.RecordBatch]:
-    """Of the runs of one batch: spans of unions that repeat within it (kind 0), and one run of each union (kind 1)."""
+def same_bytes(texts: list[np.ndarray], part: np.ndarray, at: np.ndarray, size: np.ndarray) -> Callable:
+    """Whether the strings of rows i and j, ``size`` bytes of ``texts[part]`` from ``at``, are equal."""
+
+    def body(i: int) -> bytes:
+        return texts[part[i]][at[i] : at[i] + size[i]].tobytes()
+
+    return lambda rows, others: np.fromiter((body(i) == body(j) for i, j in zip(rows.tolist(), others.tolist())), bool, len(rows))
+
+
+def settle(same: Callable, rid, start, count, base, origin, core, whole) -> Iterator[pa.RecordBatch]:
+    """Of the runs of one batch: spans of unions that repeat within it (kind 0), and one run of each union (kind 1).
+
+    ``same`` compares the bytes of unions whose hashes agree.
+    """
     if not len(rid):
         return
     key = X.mix(core * np.uint64(3) + whole)
-    first, n = equal_rows(key, lambda i, j: (core[i] == core[j]) & (whole[i] == whole[j]))
+    first, n = equal_rows(key, same)
     twice = n > 1
     if twice.any():
         r, s, e = merged_spans(rid[twice], start[twice], start[twice] + count[twice] - 1 + LENGTH)
@@ -183,15 +202,16 @@ def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Level 1: anchored runs of (rid, text) rows."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        parts = []
+        parts, texts = [], []
         for rows, base, data, offsets in pieces(batch.column(1)):
             row, first, last, at, core, whole = anchors(data, offsets)
             if len(row):
                 shift = base[row] - offsets[row]
-                parts.append((ids[rows[row]], first + shift, last - first + 1, at + shift, core, whole))
+                parts.append((ids[rows[row]], first + shift, last - first + 1, at + shift, core, whole, first, np.full(len(row), len(texts))))
+                texts.append(data)
         if parts:
-            rid, start, count, origin, core, whole = (np.concatenate(x) for x in zip(*parts))
-            yield from settle(rid, start, count, start, origin, core, whole)
+            rid, start, count, origin, core, whole, first, part = (np.concatenate(x) for x in zip(*parts))
+            yield from settle(same_bytes(texts, part, first, count - 1 + LENGTH), rid, start, count, start, origin, core, whole)
 
 
 def cut_runs(size: int) -> Callable:
@@ -203,7 +223,7 @@ def cut_runs(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, bases, origins = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            parts = []
+            parts, texts = [], []
             for a, b, data, offsets in X.slices(batch.column(3)):
                 windows = np.diff(offsets) - LENGTH + 1
                 far = origins[a:b] - bases[a:b]  # distance of the first start, the largest
@@ -219,9 +239,12 @@ def cut_runs(size: int) -> Callable:
                 core = X.span_hashes(sums, anchor - block * size, anchor - block * size - (size - 1) + LENGTH)
                 whole = X.span_hashes(X.prefix_sums(data, UNION), anchor - most, anchor - least + LENGTH, UNION)
                 start = (origins[a:b])[row] - most
-                parts.append((ids[a + row], start, most - least + 1, bases[a + row], origins[a + row], core, whole))
+                where = (anchor - most, np.full(len(row), len(texts)))
+                parts.append((ids[a + row], start, most - least + 1, bases[a + row], origins[a + row], core, whole, *where))
+                texts.append(data)
             if parts:
-                yield from settle(*(np.concatenate(x) for x in zip(*parts)))
+                *runs, at, part = (np.concatenate(x) for x in zip(*parts))
+                yield from settle(same_bytes(texts, part, at, runs[2] - 1 + LENGTH), *runs)
 
     return run
 
@@ -241,24 +264,33 @@ def count_cores(scan: Callable) -> Callable:
     return run
 
 
-def one_level(source: DataFrame, scan: Callable, name: str) -> tuple[DataFrame, DataFrame]:
-    """(spans, open runs) of a level: spans are (rid, start, stop); open runs stand one for each union."""
+def one_level(source: DataFrame, scan: Callable, fetch: Callable, size: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(spans, open runs) of a level: spans are (rid, start, stop); open runs stand one for each union, with its bytes.
+
+    ``fetch`` adds the bytes to runs; none has more than ``size``.
+    """
     repeated = source.mapInArrow(count_cores(scan), "core bigint, seen int").groupBy("core").agg(F.sum("seen").alias("seen"))
     repeated = repeated.filter("seen > 1").select("core", F.lit(1).alias("hit"))
     runs = source.mapInArrow(scan, RUN_SCHEMA).join(repeated, "core", "left").filter("kind = 0 or hit is not null").drop("hit")
     runs = materialise(runs, f"suffix-{name}")
-    live = runs.filter("kind = 1")
-    unions = live.groupBy("core", "whole").agg(
-        F.sum("n").alias("copies"), F.min(F.struct("rid", "start", "count", "base", "origin")).alias("one")
-    )
-    unions = materialise(unions, f"suffix-{name}-unions")
-    equal = live.join(unions.filter("copies > 1").select("core", "whole"), ["core", "whole"], "left_semi")
-    spans = runs.filter("kind = 0").select("rid", "start", (F.col("start") + F.col("count")).alias("stop")).unionByName(
-        equal.select("rid", "start", (F.col("start") + F.col("count") + (LENGTH - 1)).alias("stop"))
-    )
-    mixed = unions.groupBy("core").agg(F.count("*").alias("unions")).filter("unions > 1").select("core")
-    still = unions.join(mixed, "core", "left_semi").select("one.*")
-    return spans, still
+    live = runs.filter("kind = 1").drop("kind")
+    unions = materialise(live.groupBy("core", "whole").agg(F.count("*").alias("met")), f"suffix-{name}-unions")
+    several = unions.groupBy("core").agg(F.count("*").alias("unions")).filter("unions > 1").select("core")
+    # runs whose union is met again are sorted; one of its own union is open if its core has others
+    again = live.join(unions.filter("met > 1"), ["core", "whole"])
+    alone = live.join(unions.filter("met = 1"), ["core", "whole"]).join(several, "core", "left_semi")
+    bodies = fetch(again.unionByName(alone).select(
+        "*",
+        (F.col("count") + (LENGTH - 1)).cast("bigint").alias("size"),
+        F.ceil(F.col("met") / HOT).cast("int").alias("parts"),
+        (F.col("met") > 1).alias("sorted"),
+    ))
+    bodies = materialise(bodies, f"suffix-{name}-bodies")
+    first, found = sort_unions(bodies.filter("sorted"), size, f"{name}-sorted")
+    spans = runs.filter("kind = 0").select("rid", "start", (F.col("start") + F.col("count")).alias("stop")).unionByName(found)
+    each = first.unionByName(bodies.filter("not sorted").select(first.columns))
+    mixed = each.groupBy("core").agg(F.count("*").alias("unions")).filter("unions > 1").select("core")
+    return spans, each.join(mixed, "core", "left_semi").select("rid", F.col("start").alias("base"), "origin", "body")
 
 
 def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,29 +306,53 @@ def packed_texts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_zip, "rid bigint, packed binary")
 
 
+BODY_SCHEMA = "rid bigint, start bigint, origin bigint, core bigint, whole bigint, n int, parts int, sorted boolean, body binary"
+
+
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, base, origin, body) of the open runs of each text."""
+    """The runs of each text with their bytes."""
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        rid, base, origin, body = [], [], [], []
-        for r, packed, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            text = unpack(packed)
-            for x in runs:
-                rid.append(r), base.append(x["start"]), origin.append(x["origin"])
-                body.append(text[x["start"] : x["start"] + x["count"] - 1 + LENGTH])
-        numbers = [pa.array(x, pa.int64()) for x in (rid, base, origin)]
-        yield pa.RecordBatch.from_arrays([*numbers, pa.array(body, pa.binary())], ["rid", "base", "origin", "body"])
+        lists = batch.column(2)
+        runs = lists.flatten()
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        fields = {f.name: runs.field(i) for i, f in enumerate(runs.type)}
+        start, size = fields["start"].to_numpy(), fields["size"].to_numpy()
+        body, text, now = [], b"", -1
+        for r, a, k in zip(rows.tolist(), start.tolist(), size.tolist()):
+            if r != now:
+                text, now = unpack(batch.column(1)[r].as_py()), r
+            body.append(text[a : a + k])
+        names = ["start", "origin", "core", "whole", "n", "parts", "sorted"]
+        arrays = [batch.column(0).take(pa.array(rows)), *(fields[x] for x in names), pa.array(body, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["rid", *names, "body"])
+
+
+def bodies_of_texts(texts: DataFrame) -> Callable:
+    """Adds the bytes to runs of ``texts``."""
+
+    def fetch(runs: DataFrame) -> DataFrame:
+        of_text = F.struct("start", "size", "origin", "core", "whole", "n", "parts", "sorted")
+        wanted = runs.groupBy("rid").agg(F.collect_list(of_text).alias("runs"))  # within one text
+        return packed_texts(texts).join(wanted, "rid").select("rid", "packed", "runs").mapInArrow(_bodies, BODY_SCHEMA)
+
+    return fetch
+
 
+def bodies_of_runs(source: DataFrame) -> Callable:
+    """Adds the bytes to runs that were cut from those of ``source``."""
 
-def open_bodies(texts: DataFrame, still: DataFrame) -> DataFrame:
-    wanted = still.groupBy("rid").agg(F.collect_list(F.struct("start", "count", "origin")).alias("runs"))  # within one text
-    joined = packed_texts(texts).join(wanted, "rid").select("rid", "packed", "runs")
-    return joined.mapInArrow(_bodies, "rid bigint, base bigint, origin bigint, body binary")
+    def fetch(runs: DataFrame) -> DataFrame:
+        joined = runs.join(source.select("rid", "base", F.col("body").alias("of_run")), ["rid", "base"])
+        body = F.substring("of_run", (F.col("start") - F.col("base") + 1).cast("int"), F.col("size").cast("int"))
+        return joined.select("rid", "start", "origin", "core", "whole", "n", "parts", "sorted", body.alias("body"))
 
+    return fetch
 
-# ----------------------------------------------------------- level 3: the suffix array
+
+# ----------------------------------------------------------------- the suffix array
 def words_of(suffixes: np.ndarray) -> np.ndarray:
     """Rows of LENGTH bytes as big-endian 8-byte words."""
     return np.ascontiguousarray(suffixes).view(">u8").astype(np.uint64)
@@ -365,19 +421,17 @@ def explode_suffixes(splitters: np.ndarray) -> Callable:
         for batch in batches:
             for lo in range(0, batch.num_rows, 20_000):
                 part = batch.slice(lo, 20_000)
-                ids, starts, counts, bases = (part.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-                for a, b, data, offsets in X.slices(part.column(4)):
-                    n = counts[a:b].astype(np.int64)
+                ids, starts = (part.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+                for a, b, data, offsets in X.slices(part.column(2)):
+                    n = np.diff(offsets) - LENGTH + 1
                     row = np.repeat(np.arange(b - a), n)
                     k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                    at = offsets[row] + (starts[a:b] - bases[a:b])[row] + k
+                    at = offsets[row] + k
                     matrix = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]
                     keys = words_of(matrix)
                     h = X.span_hashes(X.prefix_sums(data), at, at + LENGTH)
                     first, many = equal_rows(h, lambda i, j: (keys[i] == keys[j]).all(axis=1))
-                    left = np.searchsorted(splitters, keys[:, 0], side="left")
-                    right = np.searchsorted(splitters, keys[:, 0], side="right")
-                    bucket = left + (h % (right - left + 1).astype(np.uint64)).astype(np.int64)
+                    bucket = bucket_of(keys[:, 0], h, splitters)
                     rid, start = ids[a:b][row], starts[a:b][row] + k
                     twice = many > 1
                     if twice.any():
@@ -410,16 +464,100 @@ def sort_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"rid": pa.array(r, pa.int64()), "start": pa.array(s, pa.int64()), "stop": pa.array(e, pa.int64())})
 
 
-def suffix_spans(bodies: DataFrame, still: DataFrame) -> DataFrame:
-    spark = bodies.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # leading bytes of about SAMPLE runs, picked by a hash
-    share = max(1, -(-bodies.count() // SAMPLE))
-    lead = bodies.filter(F.pmod(F.xxhash64("rid", "base"), F.lit(share)) == 0).select(F.substring("body", 1, 8).alias("lead"))
-    tokens = np.sort(np.array([int.from_bytes(bytes(r.lead).ljust(8, b"\0"), "big") for r in lead.collect()], dtype=np.uint64))
+def splitters_of(bodies: DataFrame, size: int, starts: int) -> np.ndarray:
+    """Leading bytes that cut ``bodies``, ``starts`` suffixes of ``size`` bytes in all, into buckets of about ``BUCKET`` bytes."""
+    buckets = max(8, -(-starts * size // BUCKET))
+    # leading bytes of about SAMPLE rows, or 20 a bucket, picked by a hash
+    share = max(1, -(-bodies.count() // max(SAMPLE, 20 * buckets)))
+    lead = bodies.filter(F.pmod(F.xxhash64("rid", "start"), F.lit(share)) == 0).select(F.substring("body", 1, 8).alias("lead"))
+    tokens = np.sort(np.array([int.from_bytes(bytes(r.lead), "big") for r in lead.collect()], dtype=np.uint64))
     at = (np.arange(1, buckets) * len(tokens)) // buckets
-    splitters = tokens[at] if len(tokens) else np.zeros(0, np.uint64)
-    runs = still.join(bodies.select("rid", "base", "body"), ["rid", "base"]).select("rid", "start", "count", "base", "body")
+    return tokens[at] if len(tokens) else np.zeros(0, np.uint64)
+
+
+def bucket_of(lead: np.ndarray, content: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """Bucket of each leading word; one that several splitters repeat is dealt by the hash of its whole content."""
+    left = np.searchsorted(splitters, lead, side="left")
+    right = np.searchsorted(splitters, lead, side="right")
+    return left + (content % (right - left + 1).astype(np.uint64)).astype(np.int64)
+
+
+def deal_unions(splitters: np.ndarray) -> Callable:
+    """Adds the bucket to rows of ``BODY_SCHEMA``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lead = np.concatenate([data[offsets[:-1, None] + np.arange(8)].view(">u8")[:, 0] for _, _, data, offsets in X.slices(batch.column(8))])
+            whole = batch.column(4).to_numpy().view(np.uint64)
+            bucket = bucket_of(lead.astype(np.uint64), whole, splitters)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bucket, pa.int32())], [*batch.schema.names, "bucket"])
+
+    return run
+
+
+SORTED_SCHEMA = "rid bigint, start bigint, stop bigint, origin bigint, core bigint, whole bigint, n int, parts int, bucket int, found boolean, body binary"
+
+
+def sort_unions_of(size: int) -> Callable:
+    """Sorts the unions of a bucket: ``found`` rows have an equal one; the first of equal rows keeps its bytes, the others lose them."""
+    words = -(-size // 8)
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = []
+        column = table.column("body").combine_chunks()
+        length = np.zeros(len(table), np.int64)
+        for a, b, data, offsets in X.slices(column):
+            length[a:b] = np.diff(offsets)
+            padded = np.zeros((b - a, words * 8), np.uint8)
+            padded[np.arange(words * 8) < length[a:b, None]] = data
+            keys.append(words_of(padded))
+        keys = np.column_stack([np.concatenate(keys), length.astype(np.uint64)])
+        order = multikey_quicksort(keys)
+        new = np.ones(len(order), bool)
+        new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(axis=1)
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        n = table.column("n").to_numpy()
+        rid, start = table.column("rid").to_numpy(), table.column("start").to_numpy()
+        ranked = np.lexsort((start, rid, group))
+        first = np.zeros(len(order), bool)
+        first[ranked[np.append(True, np.diff(group[ranked]) > 0)]] = True
+        many = np.bincount(group)[group] > 1
+        out = {x: table.column(x) for x in ("rid", "start", "origin", "core", "whole", "parts", "bucket")}
+        out["stop"] = pa.array(start + length)
+        out["n"] = pa.array(np.where(many, 2, n), pa.int32())
+        out["found"] = pa.array(many & (n == 1))
+        out["body"] = pc.if_else(pa.array(first), column, pa.scalar(None, column.type)).cast(pa.binary())
+        return pa.table({f.split(" ")[0]: out[f.split(" ")[0]] for f in SORTED_SCHEMA.split(", ")})
+
+    return run
+
+
+def sort_unions(bodies: DataFrame, size: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(one row of each union with its bytes, spans of rows that have an equal one), both decided by sorted bytes."""
+    splitters = splitters_of(bodies, size, bodies.count())
+    dealt = bodies.mapInArrow(deal_unions(splitters), f"{BODY_SCHEMA}, bucket int")
+    part = F.pmod(F.xxhash64("rid", "start"), F.col("parts").cast("bigint"))
+    done = dealt.groupBy("bucket", part.alias("part")).applyInArrow(sort_unions_of(size), SORTED_SCHEMA)
+    done = materialise(done, f"suffix-{name}")
+    spans = done.filter("found")
+    first = done.filter("body is not null and parts = 1")
+    halved = done.filter("body is not null and parts > 1")
+    if not halved.isEmpty():
+        again = halved.groupBy("bucket").applyInArrow(sort_unions_of(size), SORTED_SCHEMA)
+        again = materialise(again, f"suffix-{name}-parts")
+        spans = spans.unionByName(again.filter("found"))
+        first = first.unionByName(again.filter("body is not null"))
+    return first.select("rid", "start", "origin", "core", "body"), spans.select("rid", "start", "stop")
+
+
+def suffix_spans(runs: DataFrame) -> DataFrame:
+    """(rid, start, stop) of the single starts of ``runs`` (rid, base, origin, body) whose 200 bytes are met again."""
+    starts = runs.agg(F.sum(F.octet_length("body") - (LENGTH - 1))).first()[0] or 0
+    splitters = splitters_of(runs.withColumnRenamed("base", "start"), LENGTH, int(starts))
+    runs = runs.select("rid", "base", "body")
     suffixes = runs.mapInArrow(explode_suffixes(splitters), "rid bigint, start bigint, bucket int, suffix binary, settled boolean")
     return suffixes.groupBy("bucket").applyInArrow(sort_bucket, "rid bigint, start bigint, stop bigint")
 
@@ -427,13 +565,12 @@ def suffix_spans(bodies: DataFrame, still: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------- operator
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(rid, start, stop): byte spans to remove, possibly overlapping, of unique (rid, text) rows."""
-    spans, still = one_level(texts, scan_runs, "anchors")
-    bodies = materialise(open_bodies(texts, still), "suffix-bodies")
-    source = bodies
+    spans, left = one_level(texts, scan_runs, bodies_of_texts(texts), 2 * LENGTH - GRAM, "anchors")
     for size in BLOCKS:
-        more, still = one_level(source, cut_runs(size), f"blocks-{size}")
+        source = materialise(left, "suffix-open")
+        more, left = one_level(source, cut_runs(size), bodies_of_runs(source), LENGTH + size - 1, f"blocks-{size}")
         spans = spans.unionByName(more)
-    return spans.unionByName(suffix_spans(bodies, still))
+    return spans.unionByName(suffix_spans(materialise(left, "suffix-starts")))
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

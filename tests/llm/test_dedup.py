@@ -255,7 +255,7 @@ def test_repeats_survive_colliding_hashes(frame, monkeypatch):
     import pyarrow as pa
 
     n = len(data) - 199
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([n], pa.int32()), pa.array([0]), pa.array([data.tobytes()], pa.binary())], ["rid", "start", "count", "base", "body"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([data.tobytes()], pa.binary())], ["rid", "base", "body"])
     out = pa.Table.from_batches(list(suffix_dedup.explode_suffixes(np.zeros(0, np.uint64))(iter([batch]))))
     tables = [out.filter(pa.array(out.column("bucket").to_numpy() == b)) for b in set(out.column("bucket").to_pylist())]
     spans = [r for t in tables for r in suffix_dedup.sort_bucket(t).to_pylist()]
@@ -270,6 +270,56 @@ def test_repeats_survive_colliding_hashes(frame, monkeypatch):
     assert got == want
 
 
+def colliding(scan):
+    """The scan with cores of three bits and one hash for all unions."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        from finwake.llm import textops as X
+
+        real = X.span_hashes
+        X.span_hashes = lambda s, a, b, seed=1: real(s, a, b, seed) & np.uint64(7 if seed == 1 else 0)
+        try:
+            for batch in scan(batches):
+                core, live = batch.column("core").to_numpy(), batch.column("kind").to_numpy() == 1
+                columns = dict(zip(batch.schema.names, batch.columns))
+                columns["core"] = pa.array(np.where(live, core & 7, core))
+                columns["whole"] = pa.array(np.zeros(len(core), np.int64))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        finally:
+            X.span_hashes = real
+
+    return run
+
+
+def test_hashes_alone_remove_nothing(frame, monkeypatch):
+    """Cores and unions that all collide, at both levels, in one batch and between tasks."""
+    scan, cut = suffix_dedup.scan_runs, suffix_dedup.cut_runs
+    monkeypatch.setattr(suffix_dedup, "scan_runs", colliding(scan))
+    monkeypatch.setattr(suffix_dedup, "cut_runs", lambda size: colliding(cut(size)))
+    got = suffix_dedup.digest(frame(repeat_rows()).repartition(3)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute_repeats(repeat_rows())
+
+
+def test_hot_unions_are_sorted_in_parts(frame, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 4000)
+    rows = repeat_rows() + [(100 + i, prose(60, 900) + f" {i} " + prose(10, 300 + i)) for i in range(20)]
+    got = suffix_dedup.digest(frame(rows).repartition(12)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute_repeats(rows)
+
+
+def test_texts_of_the_thue_morse_pattern(frame):
+    """Sums modulo 2**64 do not tell these apart; the bytes do."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(0, word), (1, word.translate(str.maketrans("ab", "ba"))), (2, prose(50, 7)), (3, word[:300] + prose(50, 8))]
+    got = suffix_dedup.digest(frame(rows).repartition(2)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute_repeats(rows)
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(4)
     keys = rng.integers(0, 3, (3000, 25)).astype(np.uint64)
