@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from finwake.functions import scalars as S
 from finwake.operators.events import two_sided
-from finwake.operators.history import BASE, history, history_sliced
+from finwake.operators.history import BASE, history, history_sliced, tasks_for
 
 PASSTHROUGH = ["txn_id", "event_time", "event_date", "sender_id", "receiver_id", "is_laundering"]
 # The order below is the model's input contract.
@@ -57,7 +57,7 @@ def _sides(amount: F.Column, s, r) -> list[F.Column]:
     return out
 
 
-def feature_table(tx: DataFrame, exact: bool = True, linear: bool = False, sliced: bool = False) -> DataFrame:
+def feature_table(tx: DataFrame, exact: bool = True, linear: bool = True, sliced: bool = True) -> DataFrame:
     """Two left joins of the transfer with its sender and receiver history.
 
     Right for any txn_id: repeated ids fan out as an outer join does.
@@ -65,12 +65,14 @@ def feature_table(tx: DataFrame, exact: bool = True, linear: bool = False, slice
     hist = (history_sliced if sliced else history)(two_sided(tx), exact, linear).select("txn_id", "side", *BASE)
     hs = hist.filter("side = 's'").select("txn_id", F.struct(*BASE).alias("hs"))
     hr = hist.filter("side = 'r'").select("txn_id", F.struct(*BASE).alias("hr"))
-    joined = stateless(tx, "amount_paid").join(hs, "txn_id", "left").join(hr, "txn_id", "left")
+    n = tasks_for(2 * tx.count())
+    hs, hr, own = (side.repartition(n, "txn_id") for side in (hs, hr, stateless(tx, "amount_paid")))
+    joined = own.join(hs, "txn_id", "left").join(hr, "txn_id", "left")
     sides = _sides(F.col("amount_paid"), lambda n: F.col(f"hs.{n}"), lambda n: F.col(f"hr.{n}"))
     return joined.select(*PASSTHROUGH, *TX_FEATURES, *sides)
 
 
-def feature_table_onepass(tx: DataFrame, exact: bool = True, linear: bool = False, sliced: bool = False) -> DataFrame:
+def feature_table_onepass(tx: DataFrame, exact: bool = True, linear: bool = True, sliced: bool = True) -> DataFrame:
     """The same table for unique txn_id with the history computed once.
 
     Stateless columns ride through the window pass, then the two perspectives
@@ -80,7 +82,7 @@ def feature_table_onepass(tx: DataFrame, exact: bool = True, linear: bool = Fals
     wide = stateless(tx, "amount_paid").withColumn("_tx", F.struct(*PASSTHROUGH, *TX_FEATURES))
     hist = (history_sliced if sliced else history)(two_sided(wide, "_tx"), exact, linear)
     pick = lambda s, cols: F.max(F.when(F.col("side") == s, F.struct(*cols)))
-    paired = hist.groupBy("txn_id").agg(pick("s", ["_tx", "amount_paid", *BASE]).alias("hs"), pick("r", BASE).alias("hr"))
+    paired = hist.repartition(tasks_for(2 * tx.count()), "txn_id").groupBy("txn_id").agg(pick("s", ["_tx", "amount_paid", *BASE]).alias("hs"), pick("r", BASE).alias("hr"))
     sides = _sides(F.col("hs.amount_paid"), lambda n: F.col(f"hs.{n}"), lambda n: F.col(f"hr.{n}"))
     return paired.select(*[F.col(f"hs._tx.{c}").alias(c) for c in [*PASSTHROUGH, *TX_FEATURES]], *sides)
 
