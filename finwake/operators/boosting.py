@@ -131,12 +131,14 @@ def _level(state: DataFrame, trees: list[Tree], grown: Tree, depth: int, width:
             w = np.where(y == 1, weights.get(1, 0.0), weights.get(0, 0.0))
             parts = [np.rint(w * (p - y) * UNIT), np.rint(w * p * (1 - p) * UNIT), np.ones(len(y))]
             at = grown.places(bins)
-            for node in np.unique(at[at >= first]).tolist():
-                rows = at == node
-                held = sums.setdefault(node, np.zeros((width, BINS + 1, 3), np.int64))
-                for c in range(width):
-                    for k, part in enumerate(parts):
-                        held[c, :, k] += np.bincount(bins[rows, c], part[rows], BINS + 1).astype(np.int64)
+            rows = np.flatnonzero(at >= first)
+            nodes, place = np.unique(at[rows], return_inverse=True)
+            # one count over (node, input, bin) a batch, however many nodes the level has
+            cell = ((place[:, None] * width + np.arange(width)) * (BINS + 1) + bins[rows]).ravel()
+            size = len(nodes) * width * (BINS + 1)
+            met = [np.bincount(cell, np.repeat(part[rows], width), size).astype(np.int64) for part in parts]
+            for node, here in zip(nodes.tolist(), np.stack(met, axis=1).reshape(-1, width, BINS + 1, 3)):
+                sums[node] = sums[node] + here if node in sums else here
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["node", "sums"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from finwake.sources.adapters import load_events_tx, load_lineitem_tx
 from finwake.functions.quantiles import exact_quantile
 from finwake.sources.batches import write_batches
 from finwake.sources.demo import TAIL, make_transactions
-from finwake.sources.shared import new_path
+from finwake.sources.shared import new_path, written
 from finwake.sources.sinks import read_features, write_features
 from finwake.sources.transactions import COLUMNS, quality_report
 
@@ -170,7 +170,8 @@ def _invariants(tx: DataFrame) -> DataFrame:
 
 
 def _scores(tx: DataFrame, kind: str) -> DataFrame:
-    train, test = model.split(feature_table_onepass(tx), CUT)
+    """Features are built and written once; fitting and scoring read them many times."""
+    train, test = model.split(written(feature_table_onepass(tx), "scores"), CUT)
     return model.score(model.fit(train, kind, trees=20, depth=5), test)
 
 
