@@ -11,16 +11,17 @@
    share of all 128 values is compared, and each member's ``NEAREST`` nearest of all its cells
    are verified on the full sets. Components follow from verified links.
 5. Rest: a bucket that holds more than one component is looked at again, as one cell; only a
-   bucket of over ``CELL_MEMBERS`` members or ``CELL_SHINGLES`` shingles is split by further
-   values, in several ways and again until its cells are bounded. A pair of different
+   bucket of over ``CELL_MEMBERS`` members or ``CELL_SHINGLES`` shingles is dealt into parts, and
+   every two parts that hold different components make a cell, so all its pairs meet. A pair of different
    components whose values allow the similarity (within ``SLACK``, five standard deviations)
    is verified, unless it was before or its members are connected by then, and in one of the
    buckets that it shares, chosen by its hash. Such pairs travel one by one, or as one cell,
    to which its members bring their sets once, where a cell has many.
 
-So work is linear in the number of members, however large a family of copies is. What may be
-missed is a pair that shares no key (5 in 10^8), whose estimate lies five deviations off, or
-that meets in no cell of any split of all its large buckets; the tests measure recall against all pairs.
+So work is linear in the number of members, however large a family of copies is; only in a bucket
+of very many members outside its largest component all their pairs are compared. What may be
+missed is a pair that shares no key (5 in 10^8) or whose estimate lies five deviations off; the
+tests measure recall against all pairs.
 
 Words are either maximal runs of other than white space, with A-Z lower-cased ("space"), or
 runs of letters, marks and digits of any script in lower case ("unicode"). A text of fewer words
@@ -50,7 +51,6 @@ VALUES = 2 * PERMUTATIONS
 WIDTH = VALUES // BANDS
 NEAREST = 4
 GROUP = 256
-SPLITS, LEVELS, FURTHER = 4, 3, 4
 SLACK = 18  # percent
 SMALL = 8  # cells up to this size are compared in bulk
 CELL_MEMBERS, CELL_SHINGLES = 1 << 12, 1 << 20
@@ -307,26 +307,34 @@ def _chunks(members: DataFrame, size: F.Column) -> F.Column:
     return F.when(size <= GROUP, F.col("at")).otherwise(F.xxhash64("at", F.pmod(F.xxhash64("same", "at"), F.ceil(size / GROUP))))
 
 
-def split_cells(places: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(at, same, whole) with cells of bounded size: what is large is split by further values, in ``SPLITS`` ways each time."""
+def _parts_if(flag: F.Column) -> F.Column:
+    """The number of parts for the members of a bucket with ``flag``."""
+    m, w = F.count_if(flag), F.coalesce(F.sum(F.when(flag, F.col("n"))), F.lit(0))
+    return F.greatest(F.ceil(m / (CELL_MEMBERS // 2)), F.least(F.ceil(w / (CELL_SHINGLES // 2)), F.ceil(m / (GROUP // 2)))).cast("bigint")
+
+
+def split_cells(places: DataFrame, named: DataFrame) -> DataFrame:
+    """(at, same, whole) with cells of bounded size in which all pairs of different components of a bucket meet.
+
+    A bucket that is too large is dealt into parts, and every pair of parts becomes a cell. Members
+    of the bucket's largest component are dealt apart: two parts of it need not meet.
+    """
     fits = (F.col("m") <= CELL_MEMBERS) & ((F.col("w") <= CELL_SHINGLES) | (F.col("m") <= GROUP))
-    done, cells = [places.filter(fits).select("at", "same", F.lit(True).alias("whole"))], places.filter(~fits)
-    for level in range(LEVELS):
-        if cells.isEmpty():
-            break
-        first = 1 + level * SPLITS * FURTHER
-        ways = [F.xxhash64("at", F.lit(j), F.substring("sign", first + j * FURTHER, FURTHER)) for j in range(SPLITS)]
-        split = cells.join(nodes.select("same", "sign", "n"), "same").select("same", "n", F.explode(F.array(*ways)).alias("at"))
-        sizes = split.groupBy("at").agg(F.count("*").alias("m"), F.sum("n").alias("w")).filter("m > 1")
-        split = materialise(split.join(sizes, "at").select("at", "same", "m", "w"), "minmax-split")
-        done.append(split.filter(fits).select("at", "same", F.lit(False).alias("whole")))
-        cells = split.filter(~fits)
-    else:
-        done.append(cells.select(_chunks(cells, F.col("m")).alias("at"), "same", F.lit(False).alias("whole")))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    done, cells = places.filter(fits).select("at", "same", F.lit(True).alias("whole")), places.filter(~fits)
+    if cells.isEmpty():
+        return done
+    cells = cells.join(named.select("same", "n", "root"), "same")
+    sizes = cells.groupBy("at", "root").agg(F.count("*").alias("c"))
+    most = sizes.groupBy("at").agg(F.max(F.struct("c", "root"))["root"].alias("_most"))
+    cells = cells.join(most, "at").withColumn("_main", F.col("root") == F.col("_most"))
+    counted = cells.groupBy("at").agg(*[_parts_if(flag).alias(name) for flag, name in ((F.col("_main"), "_pm"), (~F.col("_main"), "_po"))])
+    cells = cells.join(counted, "at")
+    # parts of the others are 0 to _po - 1, those of the largest component follow
+    mine = F.when(F.col("_main"), F.col("_po") + F.pmod(F.xxhash64("same"), F.col("_pm"))).otherwise(F.pmod(F.xxhash64("same"), F.col("_po")))
+    last = F.when(F.col("_main"), F.col("_po") - 1).otherwise(F.col("_po") + F.col("_pm") - 1)
+    met = cells.withColumn("_part", mine).select("at", "same", "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_other"))
+    cell = F.xxhash64("at", F.least("_part", "_other"), F.greatest("_part", "_other"))
+    return done.unionByName(met.select(cell.alias("at"), "same", F.lit(False).alias("whole")))
 
 
 def open_cells(members: DataFrame, percent: int) -> DataFrame:
@@ -431,7 +439,7 @@ def similar_groups(documents: DataFrame, key: str = "doc_id", text: str = "text"
     named = materialise(named, "minmax-named")
 
     mixed = places.join(named.select("same", "root"), "same").groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("at")
-    cells = split_cells(places.join(mixed, "at", "left_semi"), nodes)
+    cells = split_cells(places.join(mixed, "at", "left_semi"), named)
     facts = named.join(nodes.select("same", "keys"), "same")
     left = open_cells(cells.join(facts, "same"), percent).join(pairs.select("at"), "at", "left_anti")
     left = materialise(left, "minmax-open")
