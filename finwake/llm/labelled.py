@@ -10,6 +10,13 @@ def remainder(key: Column, parts: int = 5) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def training_labels(labels: DataFrame, label: str, key: str = "doc_id", held: int = 0) -> DataFrame:
+    """(_k, _y): the label of every id outside fold ``held``; of conflicting ones the larger, null ids and other labels than 0 and 1 left out."""
+    known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
+    known = known.filter("_k is not null and _y in (0, 1)").groupBy("_k").agg(F.max("_y").alias("_y"))
+    return known.filter(remainder(F.col("_k")) != held)
+
+
 def training_rows(
     documents: DataFrame, labels: DataFrame, label: str, per_class: int | None, key: str = "doc_id", text: str = "text", held: int = 0
 ) -> DataFrame:
@@ -21,9 +28,7 @@ def training_rows(
     anything is collected, so there are never more rows than ids, however often one repeats.
     Only bounded choices are broadcast, and texts stay on the executors.
     """
-    known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
-    known = known.filter("_k is not null and _y in (0, 1)").groupBy("_k").agg(F.max("_y").alias("_y"))
-    known = known.filter(remainder(F.col("_k")) != held)
+    known = training_labels(labels, label, key, held)
     if per_class is not None:
         parts = [known.filter(F.col("_y") == y).orderBy(F.xxhash64("_k", F.lit(7)), "_k").limit(per_class) for y in (0, 1)]
         known = F.broadcast(parts[0].unionByName(parts[1]))

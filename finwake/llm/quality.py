@@ -1,13 +1,16 @@
 """Quality by Bradley-Terry pairwise ranking.
 
-A document's score is linear in features of its text. Preference pairs (a document
-labelled good over one labelled bad) are drawn from a bounded training sample, and the
-weights minimise the logistic loss of feature differences. The decision threshold is a
-score quantile: the share of bad documents among the training labels. Scores map to
-(0, 1) so that the threshold falls on ``CUT``.
-
-Fitting uses at most ``PER_CLASS`` labelled documents of each class and ``PAIRS`` pairs
-(both are parameters); every document is scored from its whole text.
+A document's score is linear in features of its text. The weights minimise the logistic
+loss of feature differences in preference pairs (a document labelled good over one labelled
+bad). All training documents take part: each class is numbered in the order of a hash of the
+ids, and every document of the larger class meets the next few of the smaller one in that
+order, at least ``MEETINGS`` (all, if there are fewer). A small table has more meetings, so that
+there are about ``PAIRS`` pairs; there is no upper bound. The decision threshold is a score
+quantile: the share of bad documents among the training labels, found exactly in the scores of
+all training documents. Scores map to (0, 1) so that the threshold falls on ``CUT``.
+
+Features are computed once, by the executors, and written (as 32-bit floats) for fitting and
+scoring. The driver gets sums only: a gradient and a curvature of each task and Newton step.
 
 Edge cases: null counts as empty; an empty text has all features zero and gets a score
 like any other; without labels of both classes every score is 0.5; of rows of one
@@ -20,15 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finwake.llm import textops as X
-from finwake.llm.labelled import by_id, logistic_fit, remainder, training_rows
+from finwake.llm.labelled import remainder, training_labels, training_rows
+from finwake.llm.store import materialise
 
 CUT = 0.3
-PER_CLASS = 4000
 PAIRS = 60_000
+MEETINGS = 4
+L2 = 2.5  # against a loss whose pairs weigh ``PAIRS`` in all
+TASK_ROWS = 1 << 15
+FEW = 50_000  # rows of features that may be broadcast
+BINS = 1024
 NAMES = [
     "upper",
     "digit",
@@ -135,46 +143,136 @@ def expand(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.concatenate([z, z * z / 8], axis=1)
 
 
-def training_features(documents: DataFrame, labels: DataFrame, per_class: int, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, features) of the training documents. Features are computed where the texts are; a few hundred bytes a document come back."""
+def _mapped(rows: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, x): the features of column ``_text``, computed where the texts are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pa.FixedSizeListArray.from_arrays(pa.array(text_features(batch.column(2)).ravel()), len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), x.cast(pa.list_(pa.float64()))], ["_k", "_y", "x"])
-
-    rows = training_rows(documents, labels, "quality", per_class, key, text)
-    kind = documents.schema[key].dataType.simpleString()
-    table = rows.select("_k", "_y", "_text").mapInArrow(run, f"_k {kind}, _y int, x array<double>").toArrow()
-    found = by_id(list(zip(*(table.column(c).to_pylist() for c in ("_k", "_y", "x")))))
-    return np.array([r[1] for r in found], dtype=int), np.array([r[2] for r in found]).reshape(len(found), len(NAMES))
+            x = pa.array(text_features(batch.column(len(keys))).astype(np.float32).ravel())
+            x = pa.FixedSizeListArray.from_arrays(x, len(NAMES)).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], x], [*keys, "x"])
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.select(*keys, "_text").mapInArrow(run, f"{kinds}, x array<float>")
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
+
+
+def training_features(featured: DataFrame, documents: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
+    """(_k, _y, x) of all training documents, one row an id; ``featured`` holds (_k, x) of all rows of ``documents``.
+
+    Only ids that repeat need their texts again, for the least one.
+    """
+    known = training_labels(labels, "quality", key)
+    met = featured.join(known, "_k").groupBy("_k", "_y").agg(F.count("*").alias("n"), F.first("x").alias("x"))
+    met = materialise(met, "quality-labelled")
+    found, repeated = met.filter("n = 1").drop("n"), met.filter("n > 1").select(F.col("_k").alias(key), F.col("_y").alias("quality"))
+    if not repeated.isEmpty():
+        found = found.unionByName(_mapped(training_rows(documents, repeated, "quality", None, key, text), "_k", "_y"))
+    return found
+
+
+def numbered(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` with ``_i``: 0, 1, ... within each class, in the order of a hash of the ids; the same however rows are dealt."""
+    order = ["_y", "_h", "_k"]
+    dealt = rows.withColumn("_h", F.xxhash64("_k", F.lit(7))).repartitionByRange(-(-total // TASK_ROWS), *order).sortWithinPartitions(*order)
+    dealt = materialise(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "quality-numbered")
+    counts = dealt.groupBy("_part", "_y").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))  # two rows a partition at most
+    above = Window.partitionBy("_y").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", "_y", "_first", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_start"))
+    return dealt.join(starts, ["_part", "_y"]).select("_k", "_y", "x", (F.col("_start") + F.col("_at") - F.col("_first")).alias("_i"))
+
+
+def preferences(train: DataFrame, counts: dict[int, int], pairs: int = PAIRS) -> DataFrame:
+    """(good, bad): the features of the documents of every pair. Each training document is in one pair or more."""
+    rows = numbered(train, sum(counts.values()))
+    large = int(counts[1] >= counts[0])
+    most, least = counts[large], counts[1 - large]
+    turns = min(least, max(MEETINGS, -(-pairs // most)))
+    side = {1: "good", 0: "bad"}
+    meets = F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))
+    a = rows.filter(F.col("_y") == large).select("_i", F.col("x").alias(side[large]), meets.alias("_t"))
+    a = a.withColumn("_j", F.pmod(F.col("_i") + F.col("_t"), F.lit(least)))
+    b = rows.filter(F.col("_y") == 1 - large).select(F.col("_i").alias("_j"), F.col("x").alias(side[1 - large]))
+    return a.join(F.broadcast(b) if least <= FEW else b, "_j").select("good", "bad")
+
+
+def fit(train: DataFrame, pairs: int = PAIRS, rounds: int = 30) -> dict | None:
+    """Bradley-Terry weights from all training documents, or None without both classes."""
+    counts = {r._y: r.n for r in train.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    if not counts.get(0) or not counts.get(1):
+        return None
+    x = [F.col("x")[i].cast("double") for i in range(len(NAMES))]
+    moments = np.array(train.agg(*[F.avg(c) for c in x], *[F.stddev_pop(c) for c in x]).first(), dtype=float)
+    centre, scale = moments[: len(NAMES)], np.maximum(moments[len(NAMES) :], 1e-6)
+    width = 2 * len(NAMES)
 
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good, bad = (expand(_matrix(batch.column(c), len(NAMES)), centre, scale) for c in (0, 1))
+            z = pa.FixedSizeListArray.from_arrays(pa.array((good - bad).astype(np.float32).ravel()), width)
+            yield pa.RecordBatch.from_arrays([z.cast(pa.list_(pa.float32()))], ["z"])
+
+    drawn = materialise(preferences(train, counts, pairs).mapInArrow(differences, "z array<float>"), "quality-pairs")
+    unit = pairs / drawn.count()
+    w = np.zeros(width)
+    for _ in range(rounds):
+        # of a preference the difference won; the same one lost adds an equal loss, gradient and curvature
+        def slopes(batches: Iterator[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
+            g, h = np.zeros(width), np.zeros((width, width))
+            for batch in batches:
+                z = _matrix(batch.column(0), width)
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                g += z.T @ (p - 1)
+                h += (z * (p * (1 - p))[:, None]).T @ z
+            sums = np.concatenate([g, h.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(sums), len(sums)).cast(pa.list_(pa.float64()))], ["s"])
+
+        sums = unit * sum(np.array(r.s) for r in drawn.mapInArrow(slopes, "s array<double>").collect())
+        step = np.linalg.solve(sums[width:].reshape(width, width) + L2 * np.eye(width), sums[:width] + L2 * w)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return {"w": w, "centre": centre, "scale": scale, "counts": counts}
+
+
+def raw_scores(featured: DataFrame, key: str, model: dict) -> DataFrame:
+    """(key, v): the linear score of every row."""
+    w, centre, scale = model["w"], model["centre"], model["scale"]
 
-def fit(y: np.ndarray, x: np.ndarray, pairs: int = PAIRS, seed: int = 42) -> dict | None:
-    """Bradley-Terry weights and the quantile threshold, or None without both classes."""
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        return None
-    centre, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    z = expand(x, centre, scale)
-    rng = np.random.default_rng(seed)
-    i, j = rng.choice(good, pairs), rng.choice(bad, pairs)
-    # of a preference the difference won; the same one lost adds an equal loss, gradient and curvature
-    w = logistic_fit(z[i] - z[j], np.ones(pairs), l2=2.5)
-    return {"w": w, "centre": centre, "scale": scale, "good": z[good] @ w, "bad": z[bad] @ w}
-
-
-def threshold(model: dict, share_bad: float) -> tuple[float, float]:
-    """The score below which a ``share_bad`` of the (re-weighted) training documents lies, and a score unit."""
-    values = np.concatenate([model["good"], model["bad"]])
-    weights = np.concatenate(
-        [np.full(len(model["good"]), (1 - share_bad) / len(model["good"])), np.full(len(model["bad"]), share_bad / len(model["bad"]))]
-    )
-    order = np.argsort(values, kind="stable")
-    at = int(np.searchsorted(np.cumsum(weights[order]), share_bad))
-    lo = values[order][min(at, len(values) - 1)]
-    hi = values[order][min(at + 1, len(values) - 1)]
-    return (lo + hi) / 2, max(np.std(values) / 2, 1e-6)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = expand(_matrix(batch.column(1), len(NAMES)), centre, scale) @ w
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(v)], [key, "v"])
+
+    return featured.select(key, "x").mapInArrow(run, f"`{key}` {featured.schema[key].dataType.simpleString()}, v double")
+
+
+def threshold(scores: DataFrame, counts: dict[int, int], share_bad: float) -> tuple[float, float]:
+    """The score below which a ``share_bad`` of the (re-weighted) training documents lies, and a score unit.
+
+    ``scores`` holds (_y, v) of all training documents. A histogram is narrowed to the one value at
+    which the weight below reaches the share; the cut stands beside it, on the side nearer to the share.
+    """
+    v, y = F.col("v"), F.col("_y")
+    mass = lambda good, bad: good * (1 - share_bad) / counts[1] + bad * share_bad / counts[0]
+    ends = scores.agg(F.min(v).alias("low"), F.max(v).alias("high"), F.stddev_pop(v).alias("sd")).first()
+    low, high, good, bad, here = ends.low, ends.high, 0, 0, (counts[1], counts[0])
+    while low < high:
+        bin_ = F.least(F.floor((v - F.lit(low)) / F.lit(high - low) * BINS), F.lit(BINS - 1)).alias("bin")
+        bins = scores.filter(v.between(low, high)).groupBy(bin_)
+        bins = bins.agg(F.sum(y).alias("good"), F.sum(1 - y).alias("bad"), F.min(v).alias("low"), F.max(v).alias("high")).orderBy("bin").collect()
+        for b in bins:
+            low, high, here = b.low, b.high, (b.good, b.bad)
+            if b is bins[-1] or mass(good + b.good, bad + b.bad) >= share_bad - 1e-9:
+                break
+            good, bad = good + b.good, bad + b.bad
+    near = scores.agg(F.max(F.when(v < low, v)).alias("before"), F.min(F.when(v > low, v)).alias("after")).first()
+    above = abs(mass(good + here[0], bad + here[1]) - share_bad) <= abs(share_bad - mass(good, bad))
+    other = near.after if above else near.before
+    return (low if other is None else (low + other) / 2), max(ends.sd / 2, 1e-6)
 
 
 def bad_share(labels: DataFrame, key: str = "doc_id", label: str = "quality", held: int = 0) -> float:
@@ -189,30 +287,22 @@ def score_quality(
     labels: DataFrame,
     key: str = "doc_id",
     text: str = "text",
-    per_class: int = PER_CLASS,
     pairs: int = PAIRS,
     row: str | None = None,
 ) -> DataFrame:
     """(key, score): the quality score of every row of ``documents``; with ``row`` that column instead of the key."""
-    model = fit(*training_features(documents, labels, per_class, key, text), pairs)
-    share = bad_share(labels, key) if model else 0.0
-    cut, unit = threshold(model, share) if model else (0.0, 1.0)
     out = row or key
-    kind = documents.schema[out].dataType.simpleString()
-    offset = np.log(CUT / (1 - CUT))
-    if model:
-        w, centre, scale = model["w"], model["centre"], model["scale"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if model:
-                raw = expand(text_features(batch.column(1)), centre, scale) @ w
-                score = 1 / (1 + np.exp(-np.clip((raw - cut) / unit + offset, -30, 30)))
-            else:
-                score = np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], [out, "score"])
-
-    return documents.select(out, text).mapInArrow(run, f"`{out}` {kind}, score double")
+    body = documents.select(F.col(out).alias("_o"), F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    featured = materialise(_mapped(body, "_o", "_k"), "quality-features")
+    train = training_features(featured.select("_k", "x"), documents, labels, key, text)
+    model = fit(train, pairs)
+    if not model:
+        return featured.select(F.col("_o").alias(out), F.lit(0.5).alias("score"))
+    scores = materialise(raw_scores(train, "_y", model), "quality-scores")
+    cut, unit = threshold(scores, model["counts"], bad_share(labels, key))
+    raw = (F.col("v") - F.lit(cut)) / F.lit(unit) + F.lit(float(np.log(CUT / (1 - CUT))))
+    score = 1 / (1 + F.exp(-F.greatest(F.least(raw, F.lit(30.0)), F.lit(-30.0))))
+    return raw_scores(featured, "_o", model).select(F.col("_o").alias(out), score.alias("score"))
 
 
 def decisions(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -67,6 +67,36 @@ def test_a_labelled_id_that_repeats_gives_one_training_row(spark, frame):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_quality_is_fitted_on_every_training_document(spark, tmp_path):
+    bad = [[float(i % 7)] + [0.0] * 21 for i in range(900)]
+    good = [[float(i % 5)] + [1.0] * 21 for i in range(5000)]
+    rows = [(i, y, x) for i, (y, x) in enumerate([(0, x) for x in bad] + [(1, x) for x in good])]
+    train = spark.createDataFrame(rows, "_k bigint, _y int, x array<float>")
+    places = quality.numbered(train, len(rows)).select("_y", "_i").collect()
+    assert sorted((r._y, r._i) for r in places) == [(0, i) for i in range(900)] + [(1, i) for i in range(5000)]
+    marked = train.withColumn("x", F.array(F.col("_k").cast("float")))
+    drawn = quality.preferences(marked, {0: 900, 1: 5000}, pairs=1).collect()
+    assert len(drawn) == quality.MEETINGS * 5000 == len({(r.good[0], r.bad[0]) for r in drawn})
+    assert len({r.good[0] for r in drawn}) == 5000 and len({r.bad[0] for r in drawn}) == 900
+    model = quality.fit(train)
+    assert model["counts"] == {0: 900, 1: 5000} and abs(model["centre"][1] - 5000 / 5900) < 1e-9
+
+
+def test_quality_threshold_is_exact(spark):
+    rng = np.random.default_rng(3)
+    for n_good, n_bad, share, place in ((6000, 5000, 0.3, 2), (50, 40, 0.5, 0), (5000, 1, 0.2, 3)):
+        good, bad = rng.normal(2, 1, n_good).round(place), rng.normal(0, 1, n_bad).round(place)
+        scores = spark.createDataFrame([(1, float(v)) for v in good] + [(0, float(v)) for v in bad], "_y int, v double")
+        cut, unit = quality.threshold(scores, {1: n_good, 0: n_bad}, share)
+        below = lambda t: (good < t).mean() * (1 - share) + (bad < t).mean() * share
+        values = np.unique(np.concatenate([good, bad]))
+        best = min(abs(below(t) - share) for t in (values[1:] + values[:-1]) / 2)
+        assert abs(abs(below(cut) - share) - best) < 1e-9
+        assert abs(unit - np.concatenate([good, bad]).std() / 2) < 1e-9
+    one = spark.createDataFrame([(1, 4.0), (0, 4.0)], "_y int, v double")
+    assert quality.threshold(one, {1: 1, 0: 1}, 0.5) == (4.0, 1e-6)
+
+
 def test_quality_features_follow_the_text():
     x = quality.text_features(pa.array(["AB cd", "", "a a a b"]))
     f = dict(zip(quality.NAMES, x.T))
