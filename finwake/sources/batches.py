@@ -2,8 +2,9 @@
 
 Rows are range-partitioned and sorted by the key and written once with their place in the
 partition; the partitions' counts give every row its place in the whole. A batch is the rows of
-one range of places; its task writes it under a temporary name and renames it, so a task that
-runs twice leaves one file. No row passes the driver.
+one range of places; a task holds one batch, or as many small ones as make ``TASK_ROWS`` rows. It
+writes each under a temporary name and renames it, so a task that runs twice leaves one file. No row
+passes the driver.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from finwake.operators.history import TASK_ROWS, tasks_for
 from finwake.sources.shared import written
 
 BATCH_ROWS = 1_000_000
@@ -25,13 +27,14 @@ IN_PARTITION = (1 << 33) - 1  # bits of monotonically_increasing_id that count w
 
 def numbered(frame: DataFrame, key: str = "txn_id") -> DataFrame:
     """``frame`` with ``_row``, its place (from 0) in the order of ``key``; nulls first, equal keys in any order."""
-    dealt = frame.repartitionByRange(F.asc_nulls_first(key)).sortWithinPartitions(F.asc_nulls_first(key))
+    frame = written(frame, "unordered")  # counted and sampled from files
+    dealt = frame.repartitionByRange(tasks_for(frame.count()), F.asc_nulls_first(key)).sortWithinPartitions(F.asc_nulls_first(key))
     dealt = dealt.withColumn("_place", F.monotonically_increasing_id())
     dealt = written(dealt.withColumns({"_part": F.shiftright("_place", 33), "_place": F.col("_place").bitwiseAND(F.lit(IN_PARTITION))}), "ordered")
     counts = dealt.groupBy("_part").agg(F.count("*").alias("n"))  # one row a partition
     above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_part", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("_start"))
-    return dealt.join(starts, "_part").withColumn("_row", F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
+    return dealt.join(F.broadcast(starts), "_part").withColumn("_row", F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
 
 
 def _open(dest: str) -> tuple[fs.FileSystem, str]:
@@ -78,7 +81,9 @@ def write_batches(frame: DataFrame, dest: str, key: str = "txn_id", rows: int =
         if writer is not None:
             yield close()
 
-    dealt = placed.repartition("batch").sortWithinPartitions("batch", "_row")
+    each = max(1, TASK_ROWS // rows)  # batches of a task
+    tasks = (placed.agg(F.max("batch")).first()[0] or 0) // each + 1
+    dealt = placed.repartitionById(tasks, F.floor(F.col("batch") / each).cast("int")).sortWithinPartitions("batch", "_row")
     done = dealt.select(*columns, "batch").mapInArrow(write, f"batch bigint, rows bigint, first {kind}, last {kind}")
     return written(done, "batches").orderBy("batch")
 

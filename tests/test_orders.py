@@ -10,11 +10,13 @@ from test_features import tx_frame
 from finwake.functions.quantiles import exact_quantile
 from finwake.operators import alerts as A
 from finwake.operators import archive_metrics as M
+from finwake.operators import history as H
 from finwake.operators.events import two_sided
 from finwake.operators.features import feature_table
 from finwake.operators.history import BASE, history, history_sliced
 from finwake.operators.rings import groups_of, reconcile, ring_split
 from finwake.plans.pipeline import features_frame, run
+from finwake.sources import adapters, batches
 from finwake.sources.batches import numbered, read_batches, write_batches
 from finwake.sources.demo import make_demo, make_transactions, sorted_uniforms, uniform
 from finwake.sources.transactions import is_nested, read_transactions
@@ -99,6 +101,27 @@ def test_ordered_batches(spark, tmp_path, rows):
     assert [f for f in (tmp_path / "out").iterdir() if f.name.startswith(".batch")] == []
 
 
+def test_tasks_of_the_ordered_export_follow_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(H, "TASK_ROWS", 100)
+    monkeypatch.setattr(batches, "TASK_ROWS", 100)
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("txn_id"), F.lit(1).alias("v"))
+    seen, written = {}, batches.written
+    monkeypatch.setattr(batches, "written", lambda frame, name: seen.update({name: frame.rdd.getNumPartitions()}) or written(frame, name))
+    done = write_batches(df, str(tmp_path / "out"), rows=30).collect()
+    assert [r.batch for r in done] == list(range(34)) and sum(r.rows for r in done) == 1000
+    assert seen["ordered"] == 10 and seen["batches"] == 12  # three batches of 30 rows make a task
+
+
+def test_partitions_of_joined_order_lines_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(H, "TASK_ROWS", 500)
+    tables = [spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("lineitem", "orders", "customer", "supplier")]
+    lines = tables[0].count()
+    for few in (500_000, 0):
+        monkeypatch.setattr(adapters, "FEW", few)
+        joined = adapters.from_lineitem(*tables)
+        assert joined.rdd.getNumPartitions() == -(-lines // 500) and joined.count() == lines
+
+
 def test_ordered_batches_of_nothing_and_of_ties(spark, tmp_path):
     df = spark.createDataFrame([(None, 1.0), (5, 2.0), (5, 3.0)], "txn_id bigint, x double")
     assert sorted(r._row for r in numbered(df).collect()) == [0, 1, 2]
