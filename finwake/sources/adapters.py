@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finwake.operators.history import tasks_for
 from finwake.sources.transactions import normalize
 
+FEW = 500_000  # rows of two numbers that may be broadcast
+
 
 def from_events(events: DataFrame) -> DataFrame:
     """Event stream rows as transfers: user -> user + id % 11, minute-granular."""
@@ -34,14 +37,25 @@ def from_events(events: DataFrame) -> DataFrame:
 
 
 def from_lineitem(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, supplier: DataFrame) -> DataFrame:
-    """Order lines as day-granular, tie-heavy transfers customer -> supplier."""
+    """Order lines as day-granular, tie-heavy transfers customer -> supplier.
+
+    The partitions of the joins follow the rows of the larger side.
+    """
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
     digest = F.xxhash64(*key)
-    j = (
-        lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    )
+    customer, supplier = customer.select("c_custkey", "c_nationkey"), supplier.select("s_suppkey", "s_nationkey")
+
+    def meet(left: DataFrame, right: DataFrame, a: str, b: str, rows: int) -> DataFrame:
+        n = tasks_for(rows)
+        return left.repartition(n, a).join(right.repartition(n, b), F.col(a) == F.col(b))
+
+    lines, suppliers = lineitem.count(), supplier.count()
+    placed = meet(orders.select("o_orderkey", "o_custkey", "o_orderpriority"), customer, "o_custkey", "c_custkey", max(orders.count(), customer.count()))
+    j = meet(lineitem, placed, "l_orderkey", "o_orderkey", lines)
+    if suppliers <= FEW:
+        j = j.join(F.broadcast(supplier), F.col("l_suppkey") == F.col("s_suppkey"))
+    else:
+        j = meet(j, supplier, "l_suppkey", "s_suppkey", max(lines, suppliers))
     euro = lambda c: F.when(F.col(c) % 2 == 1, "EUR").otherwise("USD")
     return normalize(
         j.select(
