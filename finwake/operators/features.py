@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from finwake.functions import scalars as S
 from finwake.operators.events import two_sided
-from finwake.operators.history import BASE, history, history_sliced, tasks_for
+from finwake.operators.history import BASE, history, history_sliced, in_small_parts, tasks_for
 
 PASSTHROUGH = ["txn_id", "event_time", "event_date", "sender_id", "receiver_id", "is_laundering"]
 # The order below is the model's input contract.
@@ -62,7 +62,7 @@ def feature_table(tx: DataFrame, exact: bool = True, linear: bool = True, sliced
 
     Right for any txn_id: repeated ids fan out as an outer join does.
     """
-    hist = (history_sliced if sliced else history)(two_sided(tx), exact, linear).select("txn_id", "side", *BASE)
+    hist = (history_sliced if sliced else history)(two_sided(in_small_parts(tx)), exact, linear).select("txn_id", "side", *BASE)
     hs = hist.filter("side = 's'").select("txn_id", F.struct(*BASE).alias("hs"))
     hr = hist.filter("side = 'r'").select("txn_id", F.struct(*BASE).alias("hr"))
     n = tasks_for(2 * tx.count())
@@ -79,7 +79,7 @@ def feature_table_onepass(tx: DataFrame, exact: bool = True, linear: bool = True
     meet again in one grouping on txn_id: two exchanges in all, no self join. With ``sliced``
     an account's past is cut into 30-day slices, so that no account is one task.
     """
-    wide = stateless(tx, "amount_paid").withColumn("_tx", F.struct(*PASSTHROUGH, *TX_FEATURES))
+    wide = stateless(in_small_parts(tx), "amount_paid").withColumn("_tx", F.struct(*PASSTHROUGH, *TX_FEATURES))
     hist = (history_sliced if sliced else history)(two_sided(wide, "_tx"), exact, linear)
     pick = lambda s, cols: F.max(F.when(F.col("side") == s, F.struct(*cols)))
     paired = hist.repartition(tasks_for(2 * tx.count()), "txn_id").groupBy("txn_id").agg(pick("s", ["_tx", "amount_paid", *BASE]).alias("hs"), pick("r", BASE).alias("hr"))

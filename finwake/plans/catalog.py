@@ -12,7 +12,7 @@ from finwake.operators import archive_metrics as M
 from finwake.operators import model
 from finwake.operators.events import two_sided, two_sided_union
 from finwake.operators.features import FEATURES, HISTORY, TX_FEATURES, feature_table, feature_table_onepass, matrix, stateless
-from finwake.operators.history import BASE, history, history_sliced, tasks_for
+from finwake.operators.history import BASE, history, history_sliced, in_small_parts, tasks_for
 from finwake.operators.rings import reconcile, ring_split
 from finwake.sources.adapters import load_events_tx, load_lineitem_tx
 from finwake.functions.quantiles import exact_quantile
@@ -138,7 +138,7 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _hist(tx: DataFrame, **how) -> DataFrame:
-    return history(two_sided(tx), **how).select(*KEY, *BASE)
+    return history(two_sided(in_small_parts(tx)), **how).select(*KEY, *BASE)
 
 
 def _roundtrip(spark: SparkSession, tx: DataFrame) -> DataFrame:
@@ -200,8 +200,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "events_inline": on(two_sided),
         "history_full": on(_hist),
         "history_linear": on(lambda tx: _hist(tx, linear=True)),
-        "history_sliced": on(lambda tx: history_sliced(two_sided(tx)).select(*KEY, *BASE)),
-        "history_blocks": on(lambda tx: history_sliced(two_sided(tx), linear=True).select(*KEY, *BASE)),
+        "history_sliced": on(lambda tx: history_sliced(two_sided(in_small_parts(tx))).select(*KEY, *BASE)),
+        "history_blocks": on(lambda tx: history_sliced(two_sided(in_small_parts(tx)), linear=True).select(*KEY, *BASE)),
         "feature_table": on(lambda tx: _rounded(feature_table(tx))),
         "feature_table_onepass": on(lambda tx: _rounded(feature_table_onepass(tx))),
         "feature_table_sliced": on(lambda tx: _rounded(feature_table_onepass(tx, linear=True, sliced=True))),
@@ -261,7 +261,7 @@ def _ties(tx: DataFrame) -> DataFrame:
     The joined lines are written once, so the joins are not run again for each reading.
     """
     tx = written(tx.select("txn_id", "event_time", "sender_id", "receiver_id", "amount_paid"), "ties")
-    hist = history(two_sided(tx)).repartition(tasks_for(2 * tx.count()), "account_id", "event_time")
+    hist = history(two_sided(in_small_parts(tx))).repartition(tasks_for(2 * tx.count()), "account_id", "event_time")
     return hist.groupBy("account_id", "event_time").agg(
         F.count("*").alias("rows"),
         F.max("n_1d").alias("n_1d"),

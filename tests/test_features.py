@@ -245,3 +245,16 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
     events = two_sided(from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet")))
     monkeypatch.setattr(H, "TASK_ROWS", 100)
     assert history(events).rdd.getNumPartitions() >= 40
+
+
+def test_transfers_of_a_wide_shuffle_are_dealt_before_they_become_events(spark, monkeypatch):
+    from finwake.operators import history as H
+
+    tx = from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet")).coalesce(1)
+    want, rows = sorted(map(str, feature_table_onepass(tx).collect())), tx.count()
+    assert H.in_small_parts(tx).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(H, "UNBUFFERED", 3)
+    monkeypatch.setattr(H, "TASK_ROWS", rows // 2)
+    parts = H.in_small_parts(tx).rdd.glom().map(len).collect()
+    assert len(parts) == 8 and max(parts) < rows // 4
+    assert sorted(map(str, feature_table_onepass(tx).collect())) == want
